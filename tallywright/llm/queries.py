@@ -4,16 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import pack
 from .sharding import histogram_shards
 from .shared import table
+from .tokenfile import read_token_files, write_token_files
+
+
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
 QUERIES = {
     "op2_histogram_sort": op2_histogram_sort,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_token_files": op5_token_files,
 }
 
 #: For the queries that DuckDB can express.

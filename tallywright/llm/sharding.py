@@ -69,6 +69,8 @@ def splitters(rows: DataFrame, key: Column, size: Column, parts: int, tolerance:
 
 def part_of(key: Column, cuts: list[int]) -> Column:
     """Number of cuts at or below the key."""
+    if len(cuts) > 64:
+        return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= key))
     return sum(((key >= F.lit(c).cast("long")).cast("int") for c in cuts), F.lit(0))
 
 
