@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import language_of
 from .packing import pack
 from .sharding import histogram_shards
 from .shared import table
@@ -28,10 +29,15 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_histogram_sort": op2_histogram_sort,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_files": op5_token_files,
+    "op7_language_id": op7_language_id,
 }
 
 #: For the queries that DuckDB can express.

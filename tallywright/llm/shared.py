@@ -37,14 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked(df: DataFrame, classes: list[str], order: list[str], name: str = "rank", rows_per_task: int = 500_000) -> DataFrame:
+def ranked(df: DataFrame, classes: list[str], order: list[str], name: str = "rank", rows: int | None = None, rows_per_task: int = 500_000) -> DataFrame:
     """Adds a gapless rank from 0 within each class, in parts.
 
     A class may hold any share of the rows, so no task takes a whole class: rows are dealt into salts by a hash of
     their order columns, ranked within (class, salt), and shifted by the counts of the salts before theirs. Equal
     rows (same classes and order columns) share a salt; which of them comes first doesn't matter.
     """
-    n = df.count()
+    n = df.count() if rows is None else rows
     salts = max(1, -(-n // rows_per_task), df.sparkSession.sparkContext.defaultParallelism)
     dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     before = (
