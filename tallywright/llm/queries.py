@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .langid import language_of
+from .mixing import mix, with_size
 from .packing import pack
 from .sharding import histogram_shards
-from .shared import table
+from .shared import keep, table
 from .tokenfile import read_token_files, write_token_files
 
 
@@ -33,11 +35,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
 
+def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mix(keep(with_size(docs).drop("text")))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "rate", "copies")
+
+
 QUERIES = {
     "op2_histogram_sort": op2_histogram_sort,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_files": op5_token_files,
     "op7_language_id": op7_language_id,
+    "op8_entropy_balancing": op8_entropy_balancing,
 }
 
 #: For the queries that DuckDB can express.
