@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .langid import language_of
 from .mixing import mix, with_size
+from . import pii
 from .packing import pack
 from .sharding import histogram_shards
 from .shared import keep, table
@@ -19,6 +20,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = pii.fit(pii.labelled_table(spark))
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), field))
+
+
 def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,7 @@ def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_personal_data": op1_personal_data,
     "op2_histogram_sort": op2_histogram_sort,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_files": op5_token_files,
