@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import language_of
+from .maxscore import search_top
 from .mixing import mix, with_size
 from . import pii
 from .packing import pack
+from .permindex import nearest
 from .sharding import histogram_shards
 from .shared import keep, table
 from .tokenfile import read_token_files, write_token_files
@@ -29,6 +31,10 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(table(spark, sf_dir, "documents"))
 
 
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_top(table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -37,6 +43,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
+def op6_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents"))
 
@@ -50,11 +60,27 @@ def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_histogram_sort": op2_histogram_sort,
+    "op3_maxscore": op3_maxscore,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_files": op5_token_files,
+    "op6_permutation_index": op6_permutation_index,
     "op7_language_id": op7_language_id,
     "op8_entropy_balancing": op8_entropy_balancing,
 }
 
 #: For the queries that DuckDB can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_maxscore": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS w
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.r AS q_row, q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.w::DOUBLE[], c.w::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.r <> c.r
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+}
