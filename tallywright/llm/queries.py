@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .langid import language_of
 from .maxscore import search_top
+from .minhash import near_duplicates
 from .mixing import mix, with_size
 from . import pii
 from .packing import pack
@@ -57,6 +58,10 @@ def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "rate", "copies")
 
 
+def op10_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_histogram_sort": op2_histogram_sort,
@@ -66,10 +71,24 @@ QUERIES = {
     "op6_permutation_index": op6_permutation_index,
     "op7_language_id": op7_language_id,
     "op8_entropy_balancing": op8_entropy_balancing,
+    "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
 }
 
 #: For the queries that DuckDB can express.
 ORACLE_SQL: dict[str, str] = {
+    "op10_fast_similarity_sketch": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:least(i + 4, len(ws))], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS i FROM w)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT a, b FROM both JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.reached) AS component_id, w.doc_id = min(r.reached) AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id, n.n
+""",
     "op3_maxscore": """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS w
