@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .langid import language_of
+from .linededup import line_components
 from .maxscore import search_top
 from .minhash import near_duplicates
 from .mixing import mix, with_size
@@ -58,6 +59,10 @@ def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "rate", "copies")
 
 
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_components(table(spark, sf_dir, "documents"))
+
+
 def op10_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op6_permutation_index": op6_permutation_index,
     "op7_language_id": op7_language_id,
     "op8_entropy_balancing": op8_entropy_balancing,
+    "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
 }
 
