@@ -9,8 +9,8 @@ set. Long sets need one round, and agreement of sketches is concentrated about t
 hashes. Bands of ``ROWS`` coordinates give the candidates: at similarity 0.85 a pair shares no band once in 200,000.
 
 Edge cases: a null text, or one without words, has an empty set and is linked with nothing; very long texts are one set each;
-equal rows share a class, ties go to the smallest doc_id; a null doc_id is a document too, and never an id of a component
-that has another; an empty table gives no rows; columns other than doc_id and text are ignored.
+equal rows share a class, ties go to the smallest doc_id; a null doc_id is a document too, is never the id of a component
+that has another, and is kept if its component has none; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -201,4 +201,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     of_class = keep(labelled.join(smallest, "root").select(F.col("digest").alias("_digest"), "component_id"))
     out = rows.select("doc_id", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("_digest"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of docs that are kept: one document of each component."""
+    kept = keep(near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")))
+    out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = kept.groupBy("_kept").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out

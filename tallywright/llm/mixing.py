@@ -91,9 +91,9 @@ def lambdas(counts: DataFrame, aims: list[tuple[str | None, int, int, float]], m
 
 def whole_copies(one: pd.DataFrame, most_copies: int) -> pd.DataFrame:
     """Adds _whole to the classes of one source: as many rows as it has different sizes."""
-    one = one.sort_values("_size", ascending=False)
+    one = one.sort_values("size", ascending=False)
     due, taken, out = 0.0, 0, []
-    for size, n, rate in zip(one["_size"].tolist(), one["n"].tolist(), one["rate"].tolist(), strict=True):
+    for size, n, rate in zip(one["size"].tolist(), one["n"].tolist(), one["rate"].tolist(), strict=True):
         due += n * size * rate
         whole = min(max(round((due - taken) / size) if size else round(n * rate), 0), most_copies * n)
         taken += whole * size
@@ -118,19 +118,18 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_copies: int
     )
     bound = F.when(F.col("source_size") > 0, float(most_copies)).otherwise(1.0)
     rate = F.when(F.col("_lambda").isNull(), bound).otherwise(F.least(F.exp(F.least(F.col("_lambda") * F.col("size") / F.col("_mean"), F.lit(50.0))), F.lit(float(most_copies))))
-    rated = counts.join(F.broadcast(params), F.col("source").eqNullSafe(F.col("_source"))).select("_i", "_source", F.col("size").alias("_size"), "n", rate.alias("rate"), "source_size", "target")
+    rated = counts.join(F.broadcast(params), F.col("source").eqNullSafe(F.col("_source"))).select("_i", "source", "size", "n", rate.alias("rate"), "source_size", "target")
     classes = rated.groupBy("_i").applyInPandas(lambda one: whole_copies(one, most_copies), StructType([*rated.schema.fields, StructField("_whole", LongType())])).drop("_i")
     order = [c for c in ("doc_id", "text") if c in rows.columns]
     total = sum(n for _, _, n in found)
-    dealt = ranked(rows, ["source", "size"], order, "_rank", rows=total)
+    dealt = ranked(rows, ["source", "size"], order, "_rank", rows=total, attach=classes)
     copies = F.floor((F.col("_rank") + 1) * F.col("_whole") / F.col("n")) - F.floor(F.col("_rank") * F.col("_whole") / F.col("n"))
-    return (
-        dealt.join(classes, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))
-        .withColumn("copies", copies.cast("int"))
-        .drop("_rank", "_source", "_size", "_whole", "n")
-    )
+    return dealt.withColumn("copies", copies.cast("int")).drop("_rank", "_whole", "n")
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """Each row as often as its copies say."""
-    return mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", *RESULTS)
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """The columns of docs, each row as often as its copies say."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in (*RESULTS, "n")}
+    mixed = mix(docs.withColumnsRenamed(own), **options)
+    out = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.drop("_copy", *RESULTS).withColumnsRenamed({v: k for k, v in own.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -44,12 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ranked(df: DataFrame, classes: list[str], order: list[str], name: str = "rank", rows: int | None = None, rows_per_task: int = 500_000) -> DataFrame:
+def ranked(df: DataFrame, classes: list[str], order: list[str], name: str = "rank", rows: int | None = None, rows_per_task: int = 500_000, attach: DataFrame | None = None) -> DataFrame:
     """Adds a gapless rank from 0 within each class, in parts.
 
     A class may hold any share of the rows, so no task takes a whole class: rows are dealt into salts by a hash of
     their order columns, ranked within (class, salt), and shifted by the counts of the salts before theirs. Equal
-    rows (same classes and order columns) share a salt; which of them comes first doesn't matter.
+    rows (same classes and order columns) share a salt; which of them comes first doesn't matter. ``attach``: a table with
+    one row a class, whose other columns come along.
     """
     n = df.count() if rows is None else rows
     salts = max(1, -(-n // rows_per_task), df.sparkSession.sparkContext.defaultParallelism)
@@ -60,6 +61,12 @@ def ranked(df: DataFrame, classes: list[str], order: list[str], name: str = "ran
         .withColumn("_before", F.sum("_n").over(Window.partitionBy(*classes).orderBy("_salt")) - F.col("_n"))
         .select(*[F.col(c).alias(f"_{c}") for c in classes], F.col("_salt").alias("__salt"), "_before")
     )
+    if attach is not None:
+        known = attach.withColumnsRenamed({c: f"_of_{c}" for c in classes})
+        match = F.lit(True)
+        for c in classes:
+            match = match & F.col(f"_{c}").eqNullSafe(F.col(f"_of_{c}"))
+        before = before.join(known, match).drop(*[f"_of_{c}" for c in classes])
     inside = Window.partitionBy(*classes, "_salt").orderBy(*order)
     same: Column = F.col("_salt") == F.col("__salt")
     for c in classes:
