@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from . import governed
+
+MODULES = (governed,)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
