@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import governed
+from . import detection, governed, metrics
 
-MODULES = (governed,)
+MODULES = (governed, metrics, detection)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
