@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, governed, metrics
+from . import detection, findings, governed, metrics
 
-MODULES = (governed, metrics, detection)
+MODULES = (governed, metrics, detection, findings)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
