@@ -1,58 +1,70 @@
 """From buckets of candidates to components, without all pairs of a bucket and without losing a link.
 
-In each bucket every member is first verified against two pivots, its smallest and its largest member, and the links found are
-joined to components. Members of one component need no more comparing. What is left are the buckets that still hold several
-components; there, and only there, all pairs across components are verified. So every candidate pair is either verified
-or already joined, while a bucket of many copies costs two comparisons a member.
+1. In each bucket every member is verified against one pivot: the member whose buckets are the fullest, which of a group of
+   copies is the one nearest to the others. The links found are joined to components.
+2. Members of one component need no more comparing. For the members of buckets that still hold several components the
+   exact prefix filter takes over: all elements are put in one order, rare ones first, and two sets as similar as asked
+   share an element among the first of both, at places that leave enough elements for the overlap they need. Only
+   pairs that meet so, in different components, are verified.
+
+A pair that banding has made a candidate is thus verified, already joined, or proved not to be similar; and a bucket of n copies costs n
+comparisons, not n * n.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shared import keep
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], able: Callable[[str, str], F.Column] | None = None) -> DataFrame:
+def overlap(a: str, b: str, percent: int) -> Column:
+    """The least intersection of sets of sizes a and b at that similarity."""
+    return F.ceil(percent * (F.col(a) + F.col(b)) / (100 + percent))
+
+
+def prefix_size(size: Column, percent: int) -> Column:
+    return size - F.ceil(percent * size / 100) + 1
+
+
+def link(members: DataFrame, load: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame, DataFrame], DataFrame], prefix: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """node, root of all nodes that have a link.
 
-    members: key, node, size; verify keeps the pairs (a, b) that are linked; able(size a, size b) says what pairs can be
-    linked at all.
+    members: key, node; load(nodes) gives their sets; verify(pairs, sets) keeps the pairs (a, b) that are linked;
+    prefix(sets) gives key, node, size, place of the first elements of each set in one order of all elements.
     """
-    edge = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    inside = keep(members.join(edge.drop("n"), "key"))
-    sizes = inside.select("node", "size").distinct()
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        if able is None:
-            return pairs
-        both = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("size_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("size_b")), "b")
-        return both.where(able("size_a", "size_b")).select("a", "b")
-
-    to_low = inside.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    to_high = inside.where("node <> high and node <> low").select(F.col("high").alias("a"), F.col("node").alias("b"))
-    tested = keep(possible(to_low.unionByName(to_high).distinct()))
-    linked = keep(verify(tested))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    inside = keep(members.select("key", "node").join(shared, "key"))
+    weight = inside.groupBy("node").agg(F.sum("n").alias("w"))
+    pivots = inside.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("pivot"))
+    rows = keep(inside.join(pivots, "key").select("key", "node", "pivot"))
+    sets = load(rows.select("node").distinct())
+    tested = keep(rows.where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+    linked = keep(verify(tested, sets))
     found = keep(components(linked))
-    labelled = inside.drop("low", "high").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counted = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-    main = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    open_rows = keep(labelled.join(main.select("key", "main"), "key"))
-    # pairs across components: those outside a bucket's largest component against all others of the bucket
-    outside = open_rows.where("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"))
-    fits = F.lit(True) if able is None else able("x_size", "size")
+
+    labelled = rows.select("key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_nodes = keep(labelled.join(several.select("key"), "key", "left_semi").select("node", "root").distinct())
+    first = keep(prefix(sets.join(open_nodes.select("node"), "node", "left_semi")).join(open_nodes, "node"))
+    counted = first.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+    met = keep(first.join(main, "key"))
+    # of each element: those outside its largest component against all others that have it
+    outside = met.where("root <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "place", "root")])
+    enough = F.least(F.col("x_size") - F.col("x_place"), F.col("size") - F.col("place")) >= overlap("x_size", "size", percent)
     across = (
-        outside.join(open_rows.select("key", "node", "root", "size", "main"), "key")
-        .where((F.col("x_root") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node"))) & fits)
-        .select(F.greatest("x", "node").alias("a"), F.least("x", "node").alias("b"))
+        outside.join(met, "key")
+        .where((F.col("x_root") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("x_node") < F.col("node"))) & enough)
+        .select(F.greatest("x_node", "node").alias("a"), F.least("x_node", "node").alias("b"))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
     )
-    more = keep(verify(keep(across)))
+    more = keep(verify(keep(across), sets))
     if more.isEmpty():
         return found
     return keep(components(linked.unionByName(more)))

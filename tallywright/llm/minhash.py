@@ -19,12 +19,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import PRIME, mixed, salts, slices_hash
 from .linking import link
-from .shared import keep, written
+from .shared import keep, release, written
 
 WORDS = 5
 ROWS, BANDS = 5, 21
@@ -173,6 +173,56 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+#: Slots of the table of frequencies that orders elements: a fixed size, whatever the corpus.
+SLOTS = 1 << 20
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many sets have an element of each slot."""
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total = np.zeros(SLOTS, "i8")
+        for batch in batches:
+            for x in batch.column("set"):
+                np.add.at(total, (np.frombuffer(x.as_buffer(), "<u8") % np.uint64(SLOTS)).astype("i8"), 1)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(total[slot], pa.int64())], names=["slot", "n"])
+
+    rows = sets.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros(SLOTS, "i4")
+    for r in rows.toArrow().to_batches():
+        out[r.column(0).to_numpy()] = np.minimum(r.column(1).to_numpy(), 2**31 - 1)
+    return out
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """key, node, size, place: each set's first elements in the order of (frequency of the slot, element)."""
+    spark = sets.sparkSession
+    known = spark.sparkContext.broadcast(frequencies(sets))  # SLOTS numbers
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        frequency = known.value
+        for batch in batches:
+            keys, nodes, sizes, places = [], [], [], []
+            for node, x in zip(batch.column("node").to_pylist(), batch.column("set"), strict=True):
+                e = np.frombuffer(x.as_buffer(), "<u8")
+                n = len(e)
+                k = n - -(-percent * n // 100) + 1
+                first = np.lexsort((e, frequency[(e % np.uint64(SLOTS)).astype("i8")]))[:k]
+                keys.append(e[first].view("i8"))
+                nodes.append(np.full(k, node))
+                sizes.append(np.full(k, n))
+                places.append(np.arange(k))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in (keys, nodes, sizes, places)], names=["key", "node", "size", "place"])
+
+    return sets.select("node", "set").mapInArrow(run, "key long, node long, size long, place long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     rows = written(sketch_rows(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
@@ -181,21 +231,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .groupBy("digest")
         .agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("one"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     )
-    members = classes.select("node", "size", F.explode("bands").alias("key"))
-
-    def able(a: str, b: str) -> Column:
-        return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    members = classes.select("node", F.explode("bands").alias("key"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Sets are made again, from the whole texts of the documents that the pairs name, and joined to the pairs."""
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        ones = keep(wanted.join(classes.select("node", "one", "digest"), "node"))
+    def load(nodes: DataFrame) -> DataFrame:
+        """Sets are made again, from the whole texts of the documents that may have links."""
+        ones = keep(nodes.join(classes.select("node", "one", "digest"), "node"))
         named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ones.select("one").distinct(), F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
         sets = written(set_rows(named).join(ones.select("node", "digest"), "digest").select("node", "set").dropDuplicates(["node"]), "sets")
-        with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+        release(docs.sparkSession)
+        return sets
+
+    def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        size = F.expr("octet_length(set) div 8")
+        sizes = sets.select("node", size.alias("size"))
+        able = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("s")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("t")), "b")
+        able = able.where(F.least("s", "t") * 100 >= F.greatest("s", "t") * percent).select("a", "b")
+        with_a = able.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         return similar(with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"), percent)
 
-    linked = link(members, verify, able)
+    linked = link(members, load, verify, lambda sets: prefixes(sets, percent), percent)
     labelled = classes.select("digest", "node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = keep(labelled.join(smallest, "root").select(F.col("digest").alias("_digest"), "component_id"))

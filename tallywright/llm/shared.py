@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,7 +43,22 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless they find it as the driver does (by PYTHONPATH or the working folder)."""
+    top = Path(__file__).resolve().parents[2]
+    known = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
+    context = spark.sparkContext
+    if top in known or context.applicationId in _SHIPPED:
+        return
+    context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tallywright", "zip", top, "tallywright"))
+    _SHIPPED.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
