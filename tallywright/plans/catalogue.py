@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, findings, governed, metrics
+from . import detection, findings, governed, intake, metrics
 
-MODULES = (governed, metrics, detection, findings)
+MODULES = (governed, metrics, detection, findings, intake)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
