@@ -122,14 +122,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_copies: int
     classes = rated.groupBy("_i").applyInPandas(lambda one: whole_copies(one, most_copies), StructType([*rated.schema.fields, StructField("_whole", LongType())])).drop("_i")
     order = [c for c in ("doc_id", "text") if c in rows.columns]
     total = sum(n for _, _, n in found)
-    dealt = ranked(rows, ["source", "size"], order, "_rank", rows=total, attach=classes)
-    copies = F.floor((F.col("_rank") + 1) * F.col("_whole") / F.col("n")) - F.floor(F.col("_rank") * F.col("_whole") / F.col("n"))
-    return dealt.withColumn("copies", copies.cast("int")).drop("_rank", "_whole", "n")
+    dealt = ranked(rows, ["source", "size"], order, "_rank", rows=total, attach=classes.withColumnRenamed("n", "_docs"))
+    copies = F.floor((F.col("_rank") + 1) * F.col("_whole") / F.col("_docs")) - F.floor(F.col("_rank") * F.col("_whole") / F.col("_docs"))
+    return dealt.withColumn("copies", copies.cast("int")).drop("_rank", "_whole", "_docs")
 
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The columns of docs, each row as often as its copies say."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in (*RESULTS, "n")}
+    own = {c: f"_own_{c}" for c in docs.columns if c in RESULTS}
     mixed = mix(docs.withColumnsRenamed(own), **options)
     out = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return out.drop("_copy", *RESULTS).withColumnsRenamed({v: k for k, v in own.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])

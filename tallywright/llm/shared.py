@@ -93,5 +93,5 @@ def ranked(df: DataFrame, classes: list[str], order: list[str], name: str = "ran
         dealt.withColumn("_in", F.row_number().over(inside) - 1)
         .join(before, same)
         .withColumn(name, (F.col("_before") + F.col("_in")).cast("long"))
-        .drop("_salt", "__salt", "_before", "_in", *[f"_{c}" for c in classes])
+        .drop("_salt", "__salt", "_before", "_in", "_n", *[f"_{c}" for c in classes])
     )
