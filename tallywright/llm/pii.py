@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .hashing import PRIME, mixed, slices_hash
+
 KINDS = ("email", "ip", "card", "phone", "name")
 BASE = KINDS[:4]
 LABELS = ("O", *KINDS)
@@ -88,8 +90,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 SPACE, UPPER, LOWER, DIGIT, OTHER = 0, 1, 2, 3, 4
 _TABLES: list[tuple[np.ndarray, np.ndarray]] = []
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
-PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tables() -> tuple[np.ndarray, np.ndarray]:
@@ -111,28 +111,6 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """PRIME ** i and its inverse, modulo 2 ** 64, for i below n."""
-    if not _POWERS or len(_POWERS[0][0]) < n:
-        inverse = np.uint64(pow(int(PRIME), -1, 1 << 64))
-        both = tuple(np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(n, CHUNK + 2), p, "u8")))) for p in (PRIME, inverse))
-        _POWERS[:] = [both]
-    return _POWERS[0]
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def slices_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each slice of values, by prefix sums of a polynomial."""
-    up, down = powers(len(values) + 1)
-    sums = np.concatenate((np.zeros(1, "u8"), np.cumsum((values.astype("u8") + np.uint64(1)) * up[: len(values)])))
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype("u8"))
-
-
 def tokens(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each token of points (0 where there is none), and the classes of points."""
     kind = tables()[0][np.minimum(points, 0xFFFF)]
