@@ -2,9 +2,10 @@
 
 Lines are compared by their lower-case, trimmed form; lines of fewer than ``LEAST`` characters always stay. Equal lines become
 one class before anything else. A class's set holds its distinct shingles of ``K`` characters (a shorter line is one
-shingle). For its signature the shingles that begin a word are hashed once each and XORed with fixed salts: the smallest
-value under each salt is one MinHash coordinate. ``ROWS`` coordinates make a band; at similarity 0.8 a pair shares no band once
-in 300, at 0.9 once in 30,000. Candidates are verified on their full sets, links are joined by distributed
+shingle). Its signature is made of all of them: the range of hashes is cut into ``COORDINATES`` cells, and the smallest hash in a
+cell is one MinHash coordinate; for a cell without a hash it is the smallest of all hashes salted with the cell. Two lines
+agree in a coordinate with the probability of their similarity, whatever their lengths. ``ROWS`` coordinates make a band; at similarity
+0.8 a pair shares no band once in 300, at 0.9 once in 30,000. Candidates are verified on their full sets, links are joined by distributed
 union-find, and of each component the first line (smallest doc_id, then line number) stays.
 
 Signatures are made where the lines are read; what is shuffled are hashes and band keys, and then the lines that may have links.
@@ -19,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +27,8 @@ from .linking import link, prefix_size
 from .shared import keep, release, written
 
 K, LEAST = 8, 16
-#: Characters a word from which on a line's signature is made of all its shingles.
-LONG_WORD = 16
 ROWS, BANDS = 3, 8
-SALTS = np.random.Generator(np.random.PCG64(20)).integers(-(2**63), 2**63 - 1, ROWS * BANDS).tolist()
+COORDINATES = ROWS * BANDS
 
 
 def normal(line: Column) -> Column:
@@ -53,34 +51,43 @@ def identity(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("2"), line).alias("h2")]
 
 
-def salted(salt: int) -> Callable[[Column], Column]:
-    return lambda h: h.bitwiseXOR(F.lit(salt).cast("long"))
+def hashes(line: Column) -> Column:
+    return F.transform(shingles(line), lambda s: F.xxhash64(s))
 
 
-def sampled(line: Column) -> Column:
-    """Hashes of the shingles that signatures are made of: those that begin with a word, or all where words are long.
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
-    Where a shingle begins depends on its own surroundings only, so equal passages give equal samples in any two lines.
-    """
-    # arrays of one element bind a name to what would be made again for every element otherwise
-    head = lambda words: lambda w, i: F.xxhash64(F.substring(F.concat_ws(" ", w, F.try_element_at(words, i + 2)), 1, K))
-    heads = F.transform(F.array(F.split(line, " ")), lambda words: F.transform(words, head(words)))[0]
-    long_words = F.char_length(line) > LONG_WORD * (1 + F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))))
-    return F.when(long_words, hashes(line)).otherwise(heads)
 
+def cell(h: Column) -> Column:
+    """The coordinate, from 0, in whose range of hashes h lies."""
+    return F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31).cast("long")) * COORDINATES, 32)
 
-def hashes(line: Column) -> Column:
-    return F.transform(shingles(line), lambda s: F.xxhash64(s))
+
+def coordinates(h: Column) -> Column:
+    """One MinHash for each of COORDINATES cells: the least hash in the cell or, where the line has none, the least of all hashes salted anew."""
+
+    def of_ordered(ordered: Column) -> Column:
+        new = lambda x, i: (i == 0) | (cell(x) != cell(F.try_element_at(ordered, i)))  # noqa: E731 (element i is the one before x)
+        return bound(F.filter(ordered, new), lambda least: F.when(F.size(least) == COORDINATES, least).otherwise(bound(F.transform(least, cell), lambda cells: filled(ordered, least, cells))))
+
+    def filled(ordered: Column, least: Column, cells: Column) -> Column:
+        anew = lambda c: F.array_min(F.transform(ordered, lambda x: F.xxhash64(x, c)))
+        own = lambda c: F.try_element_at(least, F.array_position(cells, c).cast("int"))
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(COORDINATES - 1).cast("long")), lambda c: F.when(F.array_contains(cells, c), own(c)).otherwise(anew(c)))
+
+    return bound(F.sort_array(h), of_ordered)
+
+
+def bands(line: Column) -> Column:
+    return bound(coordinates(hashes(line)), lambda c: F.array(*[F.xxhash64(F.lit(b), *[c[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """node, h1, h2, bands of each distinct line; lines: line."""
 
-    def keys(h: Column) -> Column:
-        least = [F.array_min(F.transform(h, salted(s))) for s in SALTS]
-        return F.array(*[F.xxhash64(F.lit(b), *least[b * ROWS : (b + 1) * ROWS]) for b in range(BANDS)])
-
-    made = lines.select(*identity(F.col("line")), F.transform(F.array(sampled(F.col("line"))), keys)[0].alias("bands"))
+    made = lines.select(*identity(F.col("line")), bands(F.col("line")).alias("bands"))
     # equal lines have equal bands, so any of them will do; minima of numbers are merged before the shuffle
     one = made.select("h1", "h2", *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)]).groupBy("h1", "h2").agg(*[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
     return one.select("h1", "h2", F.array(*[f"b{i}" for i in range(BANDS)]).alias("bands"), F.monotonically_increasing_id().alias("node"))

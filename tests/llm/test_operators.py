@@ -324,6 +324,27 @@ def test_line_components(docs, none):
     assert 5 not in {r.doc_id for r in cleaned.collect()}
 
 
+def text_of(r, *sizes: int) -> str:
+    return " ".join("".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in sizes)
+
+
+def missed(spark, pairs) -> int:
+    """How many pairs of lines share no band."""
+    d = spark.createDataFrame(pairs, "x string, y string").repartition(8)
+    made = linededup.signatures(d.select(F.explode(F.array("x", "y")).alias("line"))).cache()
+    for c in "xy":
+        d = d.join(made.select(*[F.col(h).alias(f"{c}{h}") for h in ("h1", "h2")], F.col("bands").alias(f"{c}_bands")), [F.xxhash64(c) == F.col(f"{c}h1"), F.xxhash64(F.lit("2"), c) == F.col(f"{c}h2")])
+    assert d.count() == len(pairs)
+    return d.where(~F.arrays_overlap("x_bands", "y_bands")).count()
+
+
+def test_near_lines_of_any_word_length_share_a_band(spark):
+    r = np.random.default_rng(11)
+    pairs = [(x, x + text_of(r, 1)) for x in (text_of(r, 16) for _ in range(300))]
+    pairs += [(x, x + "ab") for x in (text_of(r, 15, 15, 15, 15) for _ in range(300))]
+    assert missed(spark, pairs) <= 3
+
+
 # -- language, personal data
 
 
