@@ -5,7 +5,7 @@ one class before anything else. A class's set holds its distinct shingles of ``K
 shingle). Its signature is made of all of them: the range of hashes is cut into ``COORDINATES`` cells, and the smallest hash in a
 cell is one MinHash coordinate; for a cell without a hash it is the smallest of all hashes salted with the cell. Two lines
 agree in a coordinate with the probability of their similarity, whatever their lengths. ``ROWS`` coordinates make a band; at similarity
-0.8 a pair shares no band once in 300, at 0.9 once in 30,000. Candidates are verified on their full sets, links are joined by distributed
+0.8 a pair shares no band once in 200,000. Candidates are verified on their full sets, links are joined by distributed
 union-find, and of each component the first line (smallest doc_id, then line number) stays.
 
 Signatures are made where the lines are read; what is shuffled are hashes and band keys, and then the lines that may have links.
@@ -27,7 +27,7 @@ from .linking import link, prefix_size
 from .shared import keep, release, written
 
 K, LEAST = 8, 16
-ROWS, BANDS = 3, 8
+ROWS, BANDS = 3, 17
 COORDINATES = ROWS * BANDS
 
 

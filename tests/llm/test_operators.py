@@ -345,6 +345,19 @@ def test_near_lines_of_any_word_length_share_a_band(spark):
     assert missed(spark, pairs) <= 3
 
 
+def test_lines_at_the_least_similarity_share_a_band(spark):
+    r = np.random.default_rng(12)
+    pairs = []
+    while len(pairs) < 20_000:
+        x = text_of(r, *r.integers(10, 17, 16))
+        starts = [0] + [i + 1 for i, c in enumerate(x) if c == " "]
+        y = "".join("#" if i in starts[2:15:6] else c for i, c in enumerate(x))
+        a, b = ({t[i : i + 8] for i in range(len(t) - 7)} for t in (x, y))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            pairs.append((x, y))
+    assert missed(spark, pairs) <= 2
+
+
 # -- language, personal data
 
 
