@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, with DataFrame operations only.
 
-Lines are compared by their lower-case, trimmed form; lines of fewer than ``LEAST`` characters always stay. Equal lines become
+Lines are compared by their lower-case, trimmed form; blank lines (nothing but white space) always stay. Equal lines become
 one class before anything else. A class's set holds its distinct shingles of ``K`` characters (a shorter line is one
 shingle). Its signature is made of all of them: the range of hashes is cut into ``COORDINATES`` cells, and the smallest hash in a
 cell is one MinHash coordinate; for a cell without a hash it is the smallest of all hashes salted with the cell. Two lines
@@ -10,7 +10,7 @@ union-find, and of each component the first line (smallest doc_id, then line num
 
 Signatures are made where the lines are read; what is shuffled are hashes and band keys, and then the lines that may have links.
 
-Edge cases: a null text has no lines; lines part at line feeds; blank and short lines are kept, each its own component; lines of
+Edge cases: a null text has no lines; lines part at line feeds; blank lines are kept, each its own component; lines of
 any length are one set each; rows with the same doc_id count as one document, so that equal line numbers in them fall
 together; null doc_ids come last; an empty table gives no rows; columns other than doc_id and text are ignored, and pass through
 in deduplicated().
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .linking import link, prefix_size
 from .shared import keep, release, written
 
-K, LEAST = 8, 16
+#: Characters of a shingle; characters of a line, trimmed, from which on it takes part.
+K, LEAST = 8, 1
 ROWS, BANDS = 3, 17
 COORDINATES = ROWS * BANDS
 
@@ -35,6 +36,10 @@ def normal(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
+def takes_part(line: Column) -> Column:
+    return (F.char_length(line) >= LEAST) & line.rlike(r"\S")
+
+
 def shingles(line: Column) -> Column:
     """All shingles of a line, repeated ones too."""
     found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{K}}}))"), F.lit(1))
@@ -122,8 +127,8 @@ def prefixes(texts: DataFrame, percent: int) -> DataFrame:
 def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, line_no, component_doc, component_line (of the line that stays), kept."""
     lines = numbered_lines(docs)
-    long_lines = lines.where(F.char_length("line") >= LEAST)
-    classes = written(signatures(long_lines), "lines")
+    full = lines.where(takes_part(F.col("line")))
+    classes = written(signatures(full), "lines")
     release(docs.sparkSession)
     members = classes.select("node", F.explode("bands").alias("key"))
     ids = classes.select("node", "h1", "h2")
@@ -133,7 +138,7 @@ def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
         wanted = keep(nodes.join(ids, "node"))
         slot = F.pmod("h1", F.lit(SLOTS)).alias("slot")
         near = F.broadcast(wanted.select(slot).distinct())  # SLOTS rows at most; keeps most other lines out of the shuffle
-        hashed = long_lines.select("line", *identity(F.col("line"))).withColumn("slot", slot).join(near, "slot", "left_semi")
+        hashed = full.select("line", *identity(F.col("line"))).withColumn("slot", slot).join(near, "slot", "left_semi")
         found = hashed.join(wanted, ["h1", "h2"]).select("node", "line").dropDuplicates(["node"])
         texts = written(found.select("node", "line", F.size(F.array_distinct(hashes(F.col("line")))).alias("n")), "candidates")
         release(docs.sparkSession)
@@ -144,12 +149,12 @@ def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
     fuzzy = linked.join(ids, "node").join(roots, "root").where("node <> root").select("h1", "h2", "r1", "r2")
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
     occurrences = (
-        lines.select("doc_id", "line_no", (F.char_length("line") >= LEAST).alias("long"), *identity(F.col("line")))
+        lines.select("doc_id", "line_no", takes_part(F.col("line")).alias("full"), *identity(F.col("line")))
         .join(fuzzy, ["h1", "h2"], "left")
-        .select("doc_id", "line_no", "long", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"))
+        .select("doc_id", "line_no", "full", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"))
     )
-    first = occurrences.where("long").groupBy("r1", "r2").agg(F.min(at).alias("first"))
-    own = F.when(F.col("long") & F.col("first").isNotNull(), F.col("first")).otherwise(at)
+    first = occurrences.where("full").groupBy("r1", "r2").agg(F.min(at).alias("first"))
+    own = F.when(F.col("full") & F.col("first").isNotNull(), F.col("first")).otherwise(at)
     return occurrences.join(first, ["r1", "r2"], "left").withColumn("own", own).select("doc_id", "line_no", F.col("own.doc_id").alias("component_doc"), F.col("own.line_no").alias("component_line"), (F.col("own") == at).alias("kept"))
 
 

@@ -358,6 +358,12 @@ def test_lines_at_the_least_similarity_share_a_band(spark):
     assert missed(spark, pairs) <= 2
 
 
+def test_short_lines_take_part_and_blank_ones_stay(spark):
+    d = spark.createDataFrame([(1, "ietzte.\n\t\n\na"), (2, "Ietzte. \n\t\n\nstteen erachtz."), (3, "b\nA\nstteen erachtz.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.deduplicated(d).collect()}
+    assert got == {1: "ietzte.\n\t\n\na", 2: "\t\n\nstteen erachtz.", 3: "b"}
+
+
 # -- language, personal data
 
 
