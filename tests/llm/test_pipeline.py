@@ -32,6 +32,13 @@ def test_stages(spark):
     assert langid.UND == "und" and p.ORACLE_SQL is None
 
 
+def test_documents_of_a_similarity_of_four_fifths_are_near_duplicates(spark):
+    long = " ".join(f"w{i}" for i in range(126))
+    rows = [(1, " ".join(long.split()[:104])), (2, long), (3, " ".join(f"v{i}" for i in range(60)))]  # 100 of 122 shingles
+    single = p.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert {r.doc_id for r in single.collect()} == {1, 3}
+
+
 def test_run(spark):
     rows = p.run(spark, SF).collect()
     assert rows and max(r.offset + r.length for r in rows) <= 1024
