@@ -32,6 +32,8 @@ BLOCK = 2048
 CHUNK = 1 << 21
 UND = "und"
 FLAG = 1 << 30
+#: Languages whose automata are one table at a time; letters of a language's sample that stay however many languages there are.
+GROUP, LEAST_SAMPLE = 64, 2_500
 #: Symbols: 0 is the blank, then the sample's most frequent letters, then hashed ones.
 LETTERS, HASHED = 96, 31
 
@@ -114,11 +116,11 @@ class Model:
         known = self.alphabet[at] == points
         return np.where(points == 0, 0, np.where(known, at + 1, 1 + len(self.alphabet) + points % HASHED)).astype("u1")
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, int]:
-        """Next state for state + symbol, states being multiples of the width, with FLAG where a new phrase begins there; the start of each language."""
+    def table(self, group: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+        """Of a group of languages: next state for state + symbol, states being multiples of the width, with FLAG where a new phrase begins there; the start of each language."""
         width = 1 + len(self.alphabet) + HASHED
         parts, starts, base = [], [], 0
-        for edges in self.edges:
+        for edges in self.edges[group * GROUP : (group + 1) * GROUP]:
             states = int(edges[:, [0, 2]].max()) + 1
             root = np.full(width, base * width, "i4")
             at_root = edges[edges[:, 0] == 0]
@@ -131,23 +133,23 @@ class Model:
         return np.concatenate(parts), np.array(starts, "i4"), width
 
 
-def learn(labelled: DataFrame, docs_per_language: int = 64, chars_per_language: int = 20_000, most_chars: int = 160_000, most_languages: int = 64) -> Model:
+def learn(labelled: DataFrame, docs_per_language: int = 64, chars_per_language: int = 20_000, most_chars: int = 160_000) -> Model:
     """A model of a bounded sample of (doc_id, text, lang).
 
-    The most_languages most frequent languages; of each the docs_per_language documents with the smallest hash of their
-    id, one sixteenth of the sample from each document at most; chars_per_language letters, or an equal share of most_chars if that is less.
+    Every language that has a label; of each the docs_per_language documents with the smallest hash of their id, one sixteenth
+    of the sample from each document at most; chars_per_language letters, or an equal share of most_chars if that is less, but LEAST_SAMPLE.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
+    langs = [r["lang"] for r in rows.select("lang").distinct().collect()]
     if not langs:
         return Model({})
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
-    ids = F.broadcast(chosen.drop("n").distinct())  # at most docs_per_language * most_languages rows
+    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
+    ids = F.broadcast(chosen.drop("n").distinct())  # at most docs_per_language rows a language
     texts: dict[str, list] = {}
     for r in rows.join(ids, ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").collect():
         texts.setdefault(r["lang"], []).append((zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["text"]))
-    share = min(chars_per_language, most_chars // len(langs))
+    share = min(chars_per_language, max(LEAST_SAMPLE, most_chars // len(langs)))
     samples = {}
     for lang, found in texts.items():
         parts, n = [], 0
@@ -168,10 +170,14 @@ _TABLES: dict[str, tuple] = {}
 
 def phrases(model: Model, key: str, docs: list[np.ndarray]) -> np.ndarray:
     """Numbers of phrases of each language (rows) in each text's symbols (columns)."""
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = model.table()
-    table, starts, _ = _TABLES[key]
+    return np.concatenate([group_phrases(model, key, g, docs) for g in range(-(-len(model.langs) // GROUP))])
+
+
+def group_phrases(model: Model, key: str, group: int, docs: list[np.ndarray]) -> np.ndarray:
+    if f"{key}-{group}" not in _TABLES:
+        _TABLES.clear()  # one group's table at a time, however many languages
+        _TABLES[f"{key}-{group}"] = model.table(group)
+    table, starts, _ = _TABLES[f"{key}-{group}"]
     lengths = np.array([len(d) for d in docs], "i8")
     all_symbols = np.concatenate(docs) if docs else np.zeros(0, "u1")
     first = np.concatenate(([0], np.cumsum(lengths)))[:-1]

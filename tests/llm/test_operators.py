@@ -395,6 +395,18 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_labelled_language_is_learned(spark):
+    rows = []
+    for k in range(70):
+        r = np.random.default_rng(100 + k)
+        own = ["".join(r.choice(list("abcdefghijklmnoprstuvz"), r.integers(3, 9))) for _ in range(40)]
+        rows += [(100 * k + i, " ".join(r.choice(own, 50)), f"l{k:02}") for i in range(12 if k < 69 else 10)]
+    got = langid.language_of(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    right = [r.lang_pred == f"l{r.doc_id // 100:02}" for r in got]
+    print(sum(right), len(right))
+    assert len(right) > 100 and sum(right) / len(right) > 0.97
+
+
 def test_language_edge_cases(docs, none, spark):
     got = {r.doc_id: r for r in langid.language_of(docs).collect()}
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (0, 1, 2, 14, 15)) and got[6].lang_pred == "en"
