@@ -1,19 +1,20 @@
 """Fuzzy line deduplication by MinHash, with DataFrame operations only.
 
-Lines are compared by their lower-case, trimmed form; blank lines (nothing but white space) always stay. Equal lines become
-one class before anything else. A class's set holds its distinct shingles of ``K`` characters (a shorter line is one
-shingle). Its signature is made of all of them: the range of hashes is cut into ``COORDINATES`` cells, and the smallest hash in a
-cell is one MinHash coordinate; for a cell without a hash it is the smallest of all hashes salted with the cell. Two lines
-agree in a coordinate with the probability of their similarity, whatever their lengths. ``ROWS`` coordinates make a band; at similarity
-0.8 a pair shares no band once in 200,000. Candidates are verified on their full sets, links are joined by distributed
-union-find, and of each component the first line (smallest doc_id, then line number) stays.
+Lines are compared by their lower-case, trimmed form; blank lines (nothing but white space) always stay. Every distinct
+line is written once, with a number; all that follows works on those. A line's set holds its distinct shingles of ``K``
+code points (a shorter line is one shingle). Its signature is made of all of them: ``ROWS * BANDS`` fixed points lie evenly on the ring
+of 64-bit hashes, and the coordinate of a point is the first hash at or after it. Two lines agree in a coordinate with the
+probability of their similarity, whatever their lengths. A band joins ``ROWS`` neighbouring coordinates (in a short line one new hash
+may take a long arc of the ring; so it changes few bands); at similarity 0.8 a pair shares no band once in 200,000. Candidates are verified on their full sets, links are joined by distributed
+union-find, and of each component the first line (smallest doc_id, then row, then line number) stays.
 
-Signatures are made where the lines are read; what is shuffled are hashes and band keys, and then the lines that may have links.
+Band keys are shuffled once. A key that a large share of the lines has is dealt into parts (see ``hot_keys``), so that no
+task gets a whole hot bucket.
 
 Edge cases: a null text has no lines; lines part at line feeds; blank lines are kept, each its own component; lines of
-any length are one set each; rows with the same doc_id count as one document, so that equal line numbers in them fall
-together; null doc_ids come last; an empty table gives no rows; columns other than doc_id and text are ignored, and pass through
-in deduplicated().
+any length are one set each; rows with the same doc_id, or none, are documents of their own, in an arbitrary order; null
+doc_ids come last; an empty table gives no rows; columns other than doc_id and text are ignored, and pass through in
+deduplicated(), where of equal rows (same doc_id and text) with lines that are not blank one stays.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import link, prefix_size
-from .shared import keep, release, written
+from .shared import KEY, identity, joined, keep, with_key, written
 
-#: Characters of a shingle; characters of a line, trimmed, from which on it takes part.
-K, LEAST = 8, 1
+#: Code points of a shingle, and bytes of one in UTF-32, where all have the same width.
+K, WIDTH = 8, 4
 ROWS, BANDS = 3, 17
-COORDINATES = ROWS * BANDS
+#: The points of the ring of hashes, ascending.
+POINTS = [(i << 64) // (ROWS * BANDS) - (1 << 63) for i in range(ROWS * BANDS)]
 
 
 def normal(line: Column) -> Column:
@@ -37,65 +39,76 @@ def normal(line: Column) -> Column:
 
 
 def takes_part(line: Column) -> Column:
-    return (F.char_length(line) >= LEAST) & line.rlike(r"\S")
-
-
-def shingles(line: Column) -> Column:
-    """All shingles of a line, repeated ones too."""
-    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{K}}}))"), F.lit(1))
-    return F.when(F.char_length(line) < K, F.array(line)).otherwise(found)
+    return line.rlike(r"\S")
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0), line (normal form)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("doc_id", "line_no", normal(F.col("line")).alias("line"))
+    """Every line of every row: row, doc_id, t1 and t2 (two hashes of the row's text), line_no (from 0), line (normal form)."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *identity(F.col("text"), "t"),
+        F.monotonically_increasing_id().alias("row"),
+        F.split("text", "\n").alias("lines"),
+    )
+    split = rows.select("row", "doc_id", "t1", "t2", F.posexplode("lines").alias("line_no", "line"))
+    return split.withColumn("line", normal(F.col("line")))
 
 
-def identity(line: Column) -> list[Column]:
-    """Two 64-bit hashes, by which equal lines are recognised once their classes are made."""
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("2"), line).alias("h2")]
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value made once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def hashes(line: Column) -> Column:
-    return F.transform(shingles(line), lambda s: F.xxhash64(s))
+    """The hashes of all shingles of a line, repeated ones too."""
 
+    def cut(b: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.length(b) - K * WIDTH, F.lit(0)), F.lit(WIDTH))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(K * WIDTH))))
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value made once however often it is used."""
-    return F.transform(F.array(value), use)[0]
+    return bound(F.encode(line, "UTF-32"), cut)
 
 
-def cell(h: Column) -> Column:
-    """The coordinate, from 0, in whose range of hashes h lies."""
-    return F.shiftright((F.shiftright(h, 32) + F.lit(1 << 31).cast("long")) * COORDINATES, 32)
+def band_keys(lines: DataFrame) -> DataFrame:
+    """node, key: BANDS rows for each row of lines (node, line).
 
+    The place of a point among the sorted hashes and points, less the points before it, tells how many hashes lie before it.
+    """
+    points = F.array(*[F.lit(p) for p in POINTS])
+    ordered = lines.select("node", F.sort_array(hashes(F.col("line"))).alias("ring"))
+    merged = ordered.select("node", "ring", F.sort_array(F.concat("ring", points)).alias("both"))
+    banded = merged.select("node", "ring", "both", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
 
-def coordinates(h: Column) -> Column:
-    """One MinHash for each of COORDINATES cells: the least hash in the cell or, where the line has none, the least of all hashes salted anew."""
+    def coordinate(at: Column) -> Column:
+        before = F.array_position("both", F.element_at(points, (at + 1).cast("int"))) - 1 - at
+        return F.element_at("ring", (F.pmod(before, F.size("ring")) + 1).cast("int"))
 
-    def of_ordered(ordered: Column) -> Column:
-        new = lambda x, i: (i == 0) | (cell(x) != cell(F.try_element_at(ordered, i)))  # noqa: E731 (element i is the one before x)
-        return bound(F.filter(ordered, new), lambda least: F.when(F.size(least) == COORDINATES, least).otherwise(bound(F.transform(least, cell), lambda cells: filled(ordered, least, cells))))
+    return banded.select("node", F.xxhash64("band", *[coordinate(F.col("band") * ROWS + r) for r in range(ROWS)]).alias("key"))
 
-    def filled(ordered: Column, least: Column, cells: Column) -> Column:
-        anew = lambda c: F.array_min(F.transform(ordered, lambda x: F.xxhash64(x, c)))
-        own = lambda c: F.try_element_at(least, F.array_position(cells, c).cast("int"))
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(COORDINATES - 1).cast("long")), lambda c: F.when(F.array_contains(cells, c), own(c)).otherwise(anew(c)))
 
-    return bound(F.sort_array(h), of_ordered)
+#: One line of so many tells which keys are hot; a key is if it has one line of HOT or more.
+ONE_OF, HOT = 64, 1000
 
 
-def bands(line: Column) -> Column:
-    return bound(coordinates(hashes(line)), lambda c: F.array(*[F.xxhash64(F.lit(b), *[c[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]))
+def hot_keys(lines: DataFrame) -> DataFrame:
+    """key, parts: band keys that so large a share of all lines has that their members must be dealt into parts.
 
+    Found on a sample of lines, as it only decides how rows are spread: which pairs are linked doesn't depend on it. The share a
+    key must have bounds the table to BANDS * HOT rows, whatever the corpus.
+    """
+    sample = lines.where(F.pmod(F.xxhash64("node"), F.lit(ONE_OF)) == 0)
+    n = sample.count()
+    counts = band_keys(sample).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= 8 + n / HOT)
+    return keep(counts.select("key", F.ceil(F.col("n") * HOT / max(n, 1)).alias("parts")))
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """node, h1, h2, bands of each distinct line; lines: line."""
 
-    made = lines.select(*identity(F.col("line")), bands(F.col("line")).alias("bands"))
-    # equal lines have equal bands, so any of them will do; minima of numbers are merged before the shuffle
-    one = made.select("h1", "h2", *[F.col("bands")[i].alias(f"b{i}") for i in range(BANDS)]).groupBy("h1", "h2").agg(*[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
-    return one.select("h1", "h2", F.array(*[f"b{i}" for i in range(BANDS)]).alias("bands"), F.monotonically_increasing_id().alias("node"))
+def shared_keys(lines: DataFrame) -> DataFrame:
+    """key, node: the members of all buckets that more than one line is in."""
+    dealt = band_keys(lines).join(F.broadcast(hot_keys(lines)), "key", "left")  # BANDS * HOT rows at most
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "parts"))
+    others = F.count("*").over(Window.partitionBy("key", "part"))
+    counted = dealt.select("key", "node", part.alias("part"), F.col("parts").isNotNull().alias("hot")).withColumn("n", others)
+    return counted.where(F.col("hot") | (F.col("n") > 1)).select("key", "node")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -105,65 +118,92 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """
     x = texts.select(F.col("node").alias("a"), F.col("line").alias("x"), F.col("n").alias("n_x"))
     y = texts.select(F.col("node").alias("b"), F.col("line").alias("y"), F.col("n").alias("n_y"))
-    able = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    sizes = texts.select("node", "n")
+    with_x = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a")
+    able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    possible = with_x.join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b").where(able).select("a", "b")
     both = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
-    return pairs.join(x, "a").join(y, "b").where(able).where(100 * both >= percent * (F.col("n_x") + F.col("n_y") - both)).select("a", "b")
+    joined = possible.join(x, "a").join(y, "b").withColumn("both", both)
+    return joined.where(100 * F.col("both") >= percent * (F.col("n_x") + F.col("n_y") - F.col("both"))).select("a", "b")
 
 
-#: Slots of the tables that are broadcast: a fixed size, whatever the corpus.
+#: Slots of the table of frequencies that is broadcast: a fixed size, whatever the corpus.
 SLOTS = 1 << 20
 
 
 def prefixes(texts: DataFrame, percent: int) -> DataFrame:
     """key, node, size, place: each line's first shingles in the order of (frequency of the slot, hash)."""
     slot = F.pmod("key", F.lit(SLOTS)).alias("slot")
-    counts = keep(texts.select(F.explode(hashes(F.col("line"))).alias("key")).groupBy(slot).agg(F.count("*").alias("f")))  # SLOTS rows at most
-    elements = texts.repartition("node").select("node", F.col("n").cast("long").alias("size"), F.explode(F.array_distinct(hashes(F.col("line")))).alias("key")).withColumn("slot", slot)
+    keys = texts.select(F.explode(hashes(F.col("line"))).alias("key"))
+    counts = keep(keys.groupBy(slot).agg(F.count("*").alias("f")))  # SLOTS rows at most
+    placed = texts.repartition("node").select("node", F.col("n").cast("long").alias("size"), "line")
+    elements = placed.select("node", "size", F.explode(F.array_distinct(hashes(F.col("line")))).alias("key"))
     own = Window.partitionBy("node").orderBy("f", "key")  # one line's shingles, which already lie together
-    ordered = elements.join(F.broadcast(counts), "slot").withColumn("place", F.row_number().over(own).cast("long") - 1)
-    return ordered.where(F.col("place") < prefix_size(F.col("size"), percent)).select("key", "node", "size", "place")
+    ordered = elements.withColumn("slot", slot).join(F.broadcast(counts), "slot")
+    ranked = ordered.withColumn("place", F.row_number().over(own).cast("long") - 1)
+    return ranked.where(F.col("place") < prefix_size(F.col("size"), percent)).select("key", "node", "size", "place")
 
 
-def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """doc_id, line_no, component_doc, component_line (of the line that stays), kept."""
-    lines = numbered_lines(docs)
-    full = lines.where(takes_part(F.col("line")))
-    classes = written(signatures(full), "lines")
-    release(docs.sparkSession)
-    members = classes.select("node", F.explode("bands").alias("key"))
-    ids = classes.select("node", "h1", "h2")
+def linked_lines(lines: DataFrame, percent: int) -> DataFrame:
+    """node, root of the lines (node, line) that have a link."""
 
     def load(nodes: DataFrame) -> DataFrame:
-        """The lines that may have links, whole, and the sizes of their sets."""
-        wanted = keep(nodes.join(ids, "node"))
-        slot = F.pmod("h1", F.lit(SLOTS)).alias("slot")
-        near = F.broadcast(wanted.select(slot).distinct())  # SLOTS rows at most; keeps most other lines out of the shuffle
-        hashed = full.select("line", *identity(F.col("line"))).withColumn("slot", slot).join(near, "slot", "left_semi")
-        found = hashed.join(wanted, ["h1", "h2"]).select("node", "line").dropDuplicates(["node"])
-        texts = written(found.select("node", "line", F.size(F.array_distinct(hashes(F.col("line")))).alias("n")), "candidates")
-        release(docs.sparkSession)
-        return texts
-
-    linked = link(members, load, lambda pairs, texts: similar(pairs, texts, percent), lambda texts: prefixes(texts, percent), percent)
+        """The lines that may have links, and the sizes of their sets."""
+        size = F.size(F.array_distinct(hashes(F.col("line"))))
+        return written(lines.join(nodes, "node", "left_semi").select("node", "line", size.alias("n")), "candidates")
+
+    def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        return similar(pairs, texts, percent)
+
+    members = written(shared_keys(lines), "buckets")
+    return link(members, load, verify, lambda texts: prefixes(texts, percent), percent)
+
+
+def components_of_lines(docs: DataFrame, percent: int) -> DataFrame:
+    """row, doc_id, t1, t2, line_no, full (not blank), first (line of its component), kept."""
+    of_row = ["row", "doc_id", "t1", "t2", "line_no"]
+    lines = numbered_lines(docs)
+    everywhere = written(lines.select(*of_row, takes_part(F.col("line")).alias("full"), *identity(F.col("line"))), "occurrences")
+    distinct = lines.select("line").where(takes_part(F.col("line"))).distinct()
+    distinct = written(distinct.select(F.monotonically_increasing_id().alias("node"), *identity(F.col("line")), "line"), "lines")
+    linked = linked_lines(distinct.select("node", "line"), percent)
+
+    ids = distinct.select("node", "h1", "h2")
     roots = ids.select(F.col("node").alias("root"), F.col("h1").alias("r1"), F.col("h2").alias("r2"))
-    fuzzy = linked.join(ids, "node").join(roots, "root").where("node <> root").select("h1", "h2", "r1", "r2")
-    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no")
-    occurrences = (
-        lines.select("doc_id", "line_no", takes_part(F.col("line")).alias("full"), *identity(F.col("line")))
-        .join(fuzzy, ["h1", "h2"], "left")
-        .select("doc_id", "line_no", "full", F.coalesce("r1", "h1").alias("r1"), F.coalesce("r2", "h2").alias("r2"))
-    )
-    first = occurrences.where("full").groupBy("r1", "r2").agg(F.min(at).alias("first"))
-    own = F.when(F.col("full") & F.col("first").isNotNull(), F.col("first")).otherwise(at)
-    return occurrences.join(first, ["r1", "r2"], "left").withColumn("own", own).select("doc_id", "line_no", F.col("own.doc_id").alias("component_doc"), F.col("own.line_no").alias("component_line"), (F.col("own") == at).alias("kept"))
+    fuzzy = keep(linked.where("node <> root").join(ids, "node").join(roots, "root").select("h1", "h2", "r1", "r2"))
+    # a blank line has a key of its own, so that they don't meet
+    own_key = [F.when(F.col("full"), F.coalesce(f"r{i}", f"h{i}")).otherwise(F.xxhash64("row", "line_no")).alias(f"r{i}") for i in (1, 2)]
+    keyed = everywhere.join(fuzzy, ["h1", "h2"], "left").select(*of_row, "full", *own_key)
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line_no")
+    first = keyed.where("full").groupBy("r1", "r2").agg(F.min(at).alias("first"))
+    own = F.when(F.col("full"), F.col("first")).otherwise(at)
+    return keyed.join(first, ["r1", "r2"], "left").select(*of_row, "full", own.alias("first"), (own == at).alias("kept"))
+
+
+def line_components(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """doc_id, line_no, component_doc, component_line (of the line that stays), kept."""
+    first = [F.col("first.doc_id").alias("component_doc"), F.col("first.line_no").alias("component_line")]
+    return components_of_lines(docs, percent).select("doc_id", "line_no", *first, "kept")
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs without the lines that don't stay; a document that had lines and keeps none but blank ones goes."""
-    gone = line_components(docs, percent).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # at most one document's lines
-    gone = gone.select(F.col("doc_id").alias("_doc"), "_gone")
+    found = components_of_lines(docs, percent)
+    by_row = found.groupBy("doc_id", "t1", "t2").agg(
+        F.collect_set(F.when(F.col("kept"), F.col("line_no"))).alias("__stay"),  # at most one document's lines
+        (F.max("line_no") + 1).alias("__lines"),
+        (F.max("full") & (F.sum(F.when(F.col("line_no") == 0, 1)) > 1)).alias("__copied"),
+    )
+    changed = by_row.where((F.size("__stay") < F.col("__lines")) | F.col("__copied"))
+    changed = written(changed.withColumnsRenamed({"doc_id": "__doc", "t1": "__t1", "t2": "__t2"}), "changed")
+
+    rows = with_key(docs)
+    copies = changed.where("__copied")
+    single = joined(rows, copies, "inner").dropDuplicates(KEY)
+    rows = joined(rows, changed.where("not __copied"), "left")
+    if not copies.isEmpty():
+        rows = joined(rows, copies.select(*[f"__{k}" for k in ("doc", "t1", "t2")]), "left_anti").unionByName(single)
     parts = F.split("text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.element_at(parts, i + 1))
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left")
-    cleaned = joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    return cleaned.where(F.col("_gone").isNull() | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = F.array_join(F.transform(F.array_sort("__stay"), lambda i: F.element_at(parts, i + 1)), "\n")
+    cleaned = rows.withColumn("text", F.when(F.col("__stay").isNull(), F.col("text")).otherwise(left))
+    return cleaned.where(F.col("__stay").isNull() | F.col("text").rlike(r"\S")).select(*[F.col(f"`{c}`") for c in docs.columns])

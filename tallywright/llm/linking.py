@@ -1,9 +1,10 @@
 """From buckets of candidates to components, without all pairs of a bucket and without losing a link.
 
 1. In each bucket every member is verified against one pivot: the member whose buckets are the fullest, which of a group of
-   copies is the one nearest to the others. The links found are joined to components.
-2. Members of one component need no more comparing. For the members of buckets that still hold several components the
-   exact prefix filter takes over: all elements are put in one order, rare ones first, and two sets as similar as asked
+   copies is the one nearest to the others. A hot bucket is dealt into parts of about ``MOST`` members with a pivot each, and these pivots
+   are verified against one of them. The links found are joined to components.
+2. Members of one component need no more comparing. For the members not yet compared with each other (other than pivots) of
+   buckets that still hold several components the exact prefix filter takes over: all elements are put in one order, rare ones first, and two sets as similar as asked
    share an element among the first of both, at places that leave enough elements for the overlap they need. Only
    pairs that meet so, in different components, are verified.
 
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import keep
 
+#: Members of a bucket, or of a part of one, that have one pivot.
+MOST = 100_000
+
 
 def overlap(a: str, b: str, percent: int) -> Column:
     """The least intersection of sets of sizes a and b at that similarity."""
@@ -38,18 +42,23 @@ def link(members: DataFrame, load: Callable[[DataFrame], DataFrame], verify: Cal
     prefix(sets) gives key, node, size, place of the first elements of each set in one order of all elements.
     """
     shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    inside = keep(members.select("key", "node").join(shared, "key"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MOST))
+    inside = keep(members.select("key", "node").join(shared, "key").withColumn("part", part))
     weight = inside.groupBy("node").agg(F.sum("n").alias("w"))
-    pivots = inside.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("w", "node")).alias("pivot"))
-    rows = keep(inside.join(pivots, "key").select("key", "node", "pivot"))
+    pivots = keep(inside.join(weight, "node").groupBy("key", "part").agg(F.max_by("node", F.struct("w", "node")).alias("pivot")))
+    rows = keep(inside.join(pivots, ["key", "part"]).select("key", "node", "pivot", (F.col("n") > MOST).alias("hot")))
+    top = pivots.groupBy("key").agg(F.max("pivot").alias("top"))
+    among = pivots.join(top, "key").select(F.col("pivot").alias("node"), F.col("top").alias("pivot"))
     sets = load(rows.select("node").distinct())
-    tested = keep(rows.where("node <> pivot").select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
+    compared = rows.select("node", "pivot").unionByName(among).where("node <> pivot")
+    tested = keep(compared.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
     linked = keep(verify(tested, sets))
     found = keep(components(linked))
 
-    labelled = rows.select("key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_nodes = keep(labelled.join(several.select("key"), "key", "left_semi").select("node", "root").distinct())
+    # of a bucket with one pivot, all members have been compared with it: what is open is among the others
+    others = rows.where("hot or node <> pivot").select("key", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = others.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    open_nodes = keep(others.join(several.select("key"), "key", "left_semi").select("node", "root").distinct())
     first = keep(prefix(sets.join(open_nodes.select("node"), "node", "left_semi")).join(open_nodes, "node"))
     counted = first.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")

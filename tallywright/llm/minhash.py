@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .hashing import PRIME, mixed, salts, slices_hash
 from .linking import link
-from .shared import keep, release, written
+from .shared import KEY, identity, joined, keep, with_key, written
 
 WORDS = 5
 ROWS, BANDS = 5, 21
@@ -127,7 +127,7 @@ def text_chunks(batch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 def sketch_rows(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set), bands."""
+    """doc_id, t1 and t2 (two hashes of the text), n_shingles, digest (null for an empty set), bands."""
     size, number = shape(percent)
 
     def run(batches: Iterator) -> Iterator:
@@ -141,10 +141,12 @@ def sketch_rows(docs: DataFrame, percent: int = 85) -> DataFrame:
                 raw = elements.astype("<u8").tobytes()
                 digest = [hashlib.blake2b(raw[8 * x : 8 * y], digest_size=16).digest() if y > x else None for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * number + 1, number, dtype="i4")), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(n.astype("i8")), pa.array(digest, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
+                same = [batch.column(c).slice(a, b - a) for c in ("doc_id", "t1", "t2")]
+                columns = [*same, pa.array(n.astype("i8")), pa.array(digest, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "n_shingles", "digest", "bands"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity(F.col("text"), "t"), "text")
+    return rows.mapInArrow(run, "doc_id long, t1 long, t2 long, n_shingles long, digest binary, bands array<long>")
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
@@ -233,44 +235,64 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("node", "set").mapInArrow(run, "key long, node long, size long, place long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
+def grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, root (a number of the component; null for an empty set), component_id."""
     rows = written(sketch_rows(docs, percent).withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = keep(
         rows.where(F.col("digest").isNotNull())
         .groupBy("digest")
-        .agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("one"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("row").alias("node"),
+            F.min("doc_id").alias("least"),
+            F.min_by(F.struct("doc_id", "t1", "t2"), "row").alias("one"),
+            F.first("n_shingles").alias("size"),
+            F.first("bands").alias("bands"),
+        )
     )
     members = classes.select("node", F.explode("bands").alias("key"))
 
     def load(nodes: DataFrame) -> DataFrame:
         """Sets are made again, from the whole texts of the documents that may have links."""
         ones = keep(nodes.join(classes.select("node", "one", "digest"), "node"))
-        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ones.select("one").distinct(), F.col("doc_id").eqNullSafe(F.col("one")), "left_semi")
-        sets = written(set_rows(named).join(ones.select("node", "digest"), "digest").select("node", "set").dropDuplicates(["node"]), "sets")
-        release(docs.sparkSession)
-        return sets
+        wanted = ones.select(F.col("one.doc_id").alias("__doc"), F.col("one.t1").alias("__t1"), F.col("one.t2").alias("__t2"))
+        named = joined(with_key(docs.select("doc_id", "text")), wanted, "left_semi")
+        made = set_rows(named).join(ones.select("node", "digest"), "digest")
+        return written(made.select("node", "set").dropDuplicates(["node"]), "sets")
 
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        size = F.expr("octet_length(set) div 8")
-        sizes = sets.select("node", size.alias("size"))
-        able = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("s")), "a").join(sizes.select(F.col("node").alias("b"), F.col("size").alias("t")), "b")
-        able = able.where(F.least("s", "t") * 100 >= F.greatest("s", "t") * percent).select("a", "b")
+        sizes = sets.select("node", F.expr("octet_length(set) div 8").alias("size"))
+        of_a = sizes.select(F.col("node").alias("a"), F.col("size").alias("s"))
+        of_b = sizes.select(F.col("node").alias("b"), F.col("size").alias("t"))
+        near = F.least("s", "t") * 100 >= F.greatest("s", "t") * percent
+        able = pairs.join(of_a, "a").join(of_b, "b").where(near).select("a", "b")
         with_a = able.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
         return similar(with_a.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"), percent)
 
     linked = link(members, load, verify, lambda sets: prefixes(sets, percent), percent)
     labelled = classes.select("digest", "node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = keep(labelled.join(smallest, "root").select(F.col("digest").alias("_digest"), "component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("_digest"), "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    of_class = keep(labelled.join(smallest, "root").select(F.col("digest").alias("_digest"), "root", "component_id"))
+    out = rows.select("doc_id", "t1", "t2", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("_digest"), "left")
+    return out.select("doc_id", "t1", "t2", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return grouped(docs, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of docs that are kept: one document of each component."""
-    kept = keep(near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept")))
-    out = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    repeated = kept.groupBy("_kept").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    """One row of docs for each component, that of the smallest doc_id (nulls last, ties by the text's hash); all rows with an empty set."""
+    rows = keep(grouped(docs, percent).where("root is not null").select("root", "doc_id", "t1", "t2"))
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t1", "t2")
+    first = rows.groupBy("root").agg(F.min(at).alias("first"))
+    judged = rows.join(first, "root").withColumn("stays", at == F.col("first"))
+    by_key = judged.groupBy("doc_id", "t1", "t2").agg(F.min("stays").alias("stays"), F.count("*").alias("n"))
+    changed = keep(by_key.where("not stays or n > 1").withColumnsRenamed({"doc_id": "__doc", "t1": "__t1", "t2": "__t2"}))
+    keyed = with_key(docs)
+    out = joined(keyed, changed, "left_anti")
+    copies = changed.where("stays").drop("stays", "n")
+    if not copies.isEmpty():
+        out = out.unionByName(joined(keyed, copies, "inner").dropDuplicates(KEY))
+    return out.drop(*KEY)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,25 +23,57 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+#: Lets Spark remove the shuffle files of an action as soon as it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Within it, each action's shuffle files go when the action ends: its result is in the shared folder then."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """A copy of df in the shared folder, so that what follows neither repeats its work nor depends on one executor."""
     shared = shared_dir(spark := df.sparkSession)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    with cleaned_up(spark):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like keep(), as a Parquet table: compressed, and read by column."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark := df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    with cleaned_up(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def identity(text: Column, name: str = "h") -> list[Column]:
+    """Two 64-bit hashes, by which equal texts are recognised."""
+    return [F.xxhash64(text).alias(f"{name}1"), F.xxhash64(F.lit("2"), text).alias(f"{name}2")]
+
+
+#: What identifies a row of documents: rows with the same doc_id, or none, differ in their text or are copies of each other.
+KEY = ["_key_doc", "_key_t1", "_key_t2"]
+
+
+def with_key(docs: DataFrame) -> DataFrame:
+    """docs with the columns KEY: doc_id as a long, and two hashes of the text."""
+    return docs.select("*", F.col("doc_id").cast("long").alias(KEY[0]), *identity(F.col("text"), "_key_t"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps now; it does so once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def joined(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
+    """Joins rows, which have KEY, with others, which have it as __doc, __t1 and __t2."""
+    same = F.col(KEY[0]).eqNullSafe(F.col("__doc")) & (F.col(KEY[1]) == F.col("__t1")) & (F.col(KEY[2]) == F.col("__t2"))
+    out = rows.join(others, same, how)
+    return out if how == "left_anti" else out.drop("__doc", "__t1", "__t2")
 
 
 _SHIPPED: set[str] = set()
