@@ -4,8 +4,9 @@ Lines are compared by their lower-case, trimmed form; blank lines (nothing but w
 line is written once, with a number; all that follows works on those. A line's set holds its distinct shingles of ``K``
 code points (a shorter line is one shingle). Its signature is made of all of them: ``ROWS * BANDS`` fixed points lie evenly on the ring
 of 64-bit hashes, and the coordinate of a point is the first hash at or after it. Two lines agree in a coordinate with the
-probability of their similarity, whatever their lengths. A band joins ``ROWS`` neighbouring coordinates (in a short line one new hash
-may take a long arc of the ring; so it changes few bands); at similarity 0.8 a pair shares no band once in 200,000. Candidates are verified on their full sets, links are joined by distributed
+probability of their similarity, whatever their lengths. A band joins ``ROWS`` coordinates whose points lie ``STRIDE`` apart: in a
+short line one hash may hold a long arc of the ring, so nearer points would make bands of one hash, and farther ones would let
+one new hash change all bands. At similarity 0.8 a pair shares no band once in 200,000; of two lines of four and five shingles, once in 1000. Candidates are verified on their full sets, links are joined by distributed
 union-find, and of each component the first line (smallest doc_id, then row, then line number) stays.
 
 Band keys are shuffled once. A key that a large share of the lines has is dealt into parts (see ``hot_keys``), so that no
@@ -29,17 +30,13 @@ from .shared import KEY, identity, joined, keep, with_key, written
 
 #: Code points of a shingle, and bytes of one in UTF-32, where all have the same width.
 K, WIDTH = 8, 4
-ROWS, BANDS = 3, 17
+ROWS, BANDS, STRIDE = 3, 17, 4
 #: The points of the ring of hashes, ascending.
 POINTS = [(i << 64) // (ROWS * BANDS) - (1 << 63) for i in range(ROWS * BANDS)]
 
 
-def normal(line: Column) -> Column:
-    return F.lower(F.trim(line))
-
-
 def takes_part(line: Column) -> Column:
-    return line.rlike(r"\S")
+    return F.ltrim(line, F.lit(" \t\n\x0b\f\r")) != ""
 
 
 def numbered_lines(docs: DataFrame) -> DataFrame:
@@ -48,10 +45,10 @@ def numbered_lines(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         *identity(F.col("text"), "t"),
         F.monotonically_increasing_id().alias("row"),
-        F.split("text", "\n").alias("lines"),
+        F.split(F.lower("text"), "\n").alias("lines"),
     )
     split = rows.select("row", "doc_id", "t1", "t2", F.posexplode("lines").alias("line_no", "line"))
-    return split.withColumn("line", normal(F.col("line")))
+    return split.withColumn("line", F.trim("line"))
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -63,8 +60,8 @@ def hashes(line: Column) -> Column:
     """The hashes of all shingles of a line, repeated ones too."""
 
     def cut(b: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.length(b) - K * WIDTH, F.lit(0)), F.lit(WIDTH))
-        return F.transform(starts, lambda i: F.xxhash64(F.substring(b, i + 1, F.lit(K * WIDTH))))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(b) - K * WIDTH, F.lit(0)) + 1, F.lit(WIDTH))
+        return F.transform(starts, lambda i: F.xxhash64(F.substring(b, i, F.lit(K * WIDTH))))
 
     return bound(F.encode(line, "UTF-32"), cut)
 
@@ -80,10 +77,11 @@ def band_keys(lines: DataFrame) -> DataFrame:
     banded = merged.select("node", "ring", "both", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
 
     def coordinate(at: Column) -> Column:
+        at = F.pmod(at, F.lit(ROWS * BANDS))
         before = F.array_position("both", F.element_at(points, (at + 1).cast("int"))) - 1 - at
         return F.element_at("ring", (F.pmod(before, F.size("ring")) + 1).cast("int"))
 
-    return banded.select("node", F.xxhash64("band", *[coordinate(F.col("band") * ROWS + r) for r in range(ROWS)]).alias("key"))
+    return banded.select("node", F.xxhash64("band", *[coordinate(F.col("band") * ROWS + r * STRIDE) for r in range(ROWS)]).alias("key"))
 
 
 #: One line of so many tells which keys are hot; a key is if it has one line of HOT or more.
@@ -105,8 +103,8 @@ def hot_keys(lines: DataFrame) -> DataFrame:
 def shared_keys(lines: DataFrame) -> DataFrame:
     """key, node: the members of all buckets that more than one line is in."""
     dealt = band_keys(lines).join(F.broadcast(hot_keys(lines)), "key", "left")  # BANDS * HOT rows at most
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), "parts"))
-    others = F.count("*").over(Window.partitionBy("key", "part"))
+    part = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")))
+    others = F.count("*").over(Window.partitionBy("part"))  # one long, so that the sort is by radix
     counted = dealt.select("key", "node", part.alias("part"), F.col("parts").isNotNull().alias("hot")).withColumn("n", others)
     return counted.where(F.col("hot") | (F.col("n") > 1)).select("key", "node")
 
@@ -116,15 +114,14 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     Lines travel as text, which packs far better than hashes of their shingles; sets are made beside each other, in pairs.
     """
-    x = texts.select(F.col("node").alias("a"), F.col("line").alias("x"), F.col("n").alias("n_x"))
-    y = texts.select(F.col("node").alias("b"), F.col("line").alias("y"), F.col("n").alias("n_y"))
-    sizes = texts.select("node", "n")
-    with_x = pairs.join(sizes.withColumnsRenamed({"node": "a", "n": "n_a"}), "a")
-    able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    possible = with_x.join(sizes.withColumnsRenamed({"node": "b", "n": "n_b"}), "b").where(able).select("a", "b")
-    both = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
-    joined = possible.join(x, "a").join(y, "b").withColumn("both", both)
-    return joined.where(100 * F.col("both") >= percent * (F.col("n_x") + F.col("n_y") - F.col("both"))).select("a", "b")
+    sizes = texts.select("node", "size")
+    of_a = pairs.join(sizes.select(F.col("node").alias("a"), F.col("size").alias("n_a")), "a")
+    of_both = of_a.join(sizes.select(F.col("node").alias("b"), F.col("size").alias("n_b")), "b")
+    able = of_both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    with_x = able.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
+    with_y = with_x.join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
+    both = with_y.withColumn("both", F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y")))))
+    return both.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
 
 
 #: Slots of the table of frequencies that is broadcast: a fixed size, whatever the corpus.
@@ -136,7 +133,7 @@ def prefixes(texts: DataFrame, percent: int) -> DataFrame:
     slot = F.pmod("key", F.lit(SLOTS)).alias("slot")
     keys = texts.select(F.explode(hashes(F.col("line"))).alias("key"))
     counts = keep(keys.groupBy(slot).agg(F.count("*").alias("f")))  # SLOTS rows at most
-    placed = texts.repartition("node").select("node", F.col("n").cast("long").alias("size"), "line")
+    placed = texts.repartition("node").select("node", "size", "line")
     elements = placed.select("node", "size", F.explode(F.array_distinct(hashes(F.col("line")))).alias("key"))
     own = Window.partitionBy("node").orderBy("f", "key")  # one line's shingles, which already lie together
     ordered = elements.withColumn("slot", slot).join(F.broadcast(counts), "slot")
@@ -150,7 +147,7 @@ def linked_lines(lines: DataFrame, percent: int) -> DataFrame:
     def load(nodes: DataFrame) -> DataFrame:
         """The lines that may have links, and the sizes of their sets."""
         size = F.size(F.array_distinct(hashes(F.col("line"))))
-        return written(lines.join(nodes, "node", "left_semi").select("node", "line", size.alias("n")), "candidates")
+        return written(lines.join(nodes, "node", "left_semi").select("node", "line", size.cast("long").alias("size")), "candidates")
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return similar(pairs, texts, percent)

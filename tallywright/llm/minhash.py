@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import PRIME, mixed, salts, slices_hash
-from .linking import link
+from .linking import COMMON, link
 from .shared import KEY, identity, joined, keep, with_key, written
 
 WORDS = 5
@@ -223,7 +223,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             for node, x in zip(batch.column("node").to_pylist(), batch.column("set"), strict=True):
                 e = np.frombuffer(x.as_buffer(), "<u8")
                 n = len(e)
-                k = n - -(-percent * n // 100) + 1
+                k = min(n, n - -(-percent * n // 100) + COMMON)
                 first = np.lexsort((e, frequency[(e % np.uint64(SLOTS)).astype("i8")]))[:k]
                 keys.append(e[first].view("i8"))
                 nodes.append(np.full(k, node))
@@ -256,11 +256,11 @@ def grouped(docs: DataFrame, percent: int) -> DataFrame:
         ones = keep(nodes.join(classes.select("node", "one", "digest"), "node"))
         wanted = ones.select(F.col("one.doc_id").alias("__doc"), F.col("one.t1").alias("__t1"), F.col("one.t2").alias("__t2"))
         named = joined(with_key(docs.select("doc_id", "text")), wanted, "left_semi")
-        made = set_rows(named).join(ones.select("node", "digest"), "digest")
-        return written(made.select("node", "set").dropDuplicates(["node"]), "sets")
+        made = set_rows(named).join(ones.select("node", "digest"), "digest").dropDuplicates(["node"])
+        return written(made.select("node", "set", F.expr("octet_length(set) div 8").alias("size")), "sets")
 
     def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        sizes = sets.select("node", F.expr("octet_length(set) div 8").alias("size"))
+        sizes = sets.select("node", "size")
         of_a = sizes.select(F.col("node").alias("a"), F.col("size").alias("s"))
         of_b = sizes.select(F.col("node").alias("b"), F.col("size").alias("t"))
         near = F.least("s", "t") * 100 >= F.greatest("s", "t") * percent

@@ -51,7 +51,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Like keep(), as a Parquet table: compressed, and read by column."""
     path = f"{shared_dir(spark := df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with cleaned_up(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

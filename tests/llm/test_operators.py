@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallywright.llm import components, langid, linededup, maxscore, minhash, mixing, packing, permindex, pii, sharding, tokenfile
+from tallywright.llm import components, langid, linededup, linking, maxscore, minhash, mixing, packing, permindex, pii, sharding, tokenfile
 from tallywright.llm.queries import tokenizer_file
 from tallywright.llm.tokens import Encoder
 
@@ -271,8 +271,10 @@ def test_near_duplicates_of_the_odd_table(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_a_hot_group_of_near_copies(spark):
-    """Many versions of one text, linked in part: nothing is lost and not all pairs are made."""
+@pytest.mark.parametrize("most", [100_000, 7])
+def test_a_hot_group_of_near_copies(spark, monkeypatch, most):
+    """Many versions of one text, linked in part: nothing is lost and not all pairs are made, also where a bucket is dealt into groups."""
+    monkeypatch.setattr(linking, "MOST", most)
     r = np.random.default_rng(5)
     base = words(9, 120).split()
     texts = []
@@ -347,6 +349,18 @@ def test_line_components_on_both_sides_of_every_limit(spark):
     assert got_lines(d) == want
 
 
+def test_hot_keys_are_dealt_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "ONE_OF", 1)
+    monkeypatch.setattr(linking, "MOST", 7)
+    r = np.random.default_rng(23)
+    base = text_of(r, *[7] * 15)
+    rows = [(i, base[:k] + text_of(r, 3) + base[k + 3 :]) for i, k in enumerate(r.integers(0, len(base) - 4, 80).tolist())]
+    rows += [(100 + i, text_of(r, 9, 9, 9)) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert linededup.hot_keys(d.select(F.col("doc_id").alias("node"), F.col("text").alias("line"))).count() > 0
+    assert got_lines(d) == sorted(brute_lines(rows))
+
+
 def test_every_line_of_160_characters_is_linked_with_itself_and_three_letters(spark):
     r = np.random.default_rng(22)
     rows = []
