@@ -41,9 +41,8 @@ def prefix_size(size: Column, percent: int) -> Column:
 
 
 def groups(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """key, group, n, node, hot: groups within buckets, of n members."""
-    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = members.select("key", "node").join(shared, "key").join(sizes, "node").withColumn("hot", F.col("n") > MOST)
+    """key, group, n, node, hot: groups within buckets of n members (key, node, n)."""
+    sized = members.join(sizes, "node").withColumn("hot", F.col("n") > MOST)
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / MOST))
     ascending = Window.partitionBy("key", "part").orderBy("size", "node")
     apart = F.lag("size").over(ascending) * 100 < F.col("size") * percent
@@ -64,8 +63,10 @@ def link(
     members: key, node; load(nodes) gives their sets and the sets' sizes; verify(pairs, sets) keeps the pairs (a, b) that are linked;
     prefix(sets) gives key, node, size, place of the first elements of each set in one order of all elements.
     """
-    sets = load(members.select("node").distinct())
-    inside = keep(groups(members, sets.select("node", "size"), percent))
+    shared = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keep(members.select("key", "node").join(shared, "key"))
+    sets = load(shared.select("node").distinct())
+    inside = keep(groups(shared, sets.select("node", "size"), percent))
     weight = inside.groupBy("node").agg(F.sum("n").alias("w"))
     chosen = inside.join(weight, "node").groupBy("key", "group")
     pivots = keep(chosen.agg(F.max_by("node", F.struct("w", "node")).alias("pivot"), F.max("hot").alias("hot")))
