@@ -1,8 +1,8 @@
 """From buckets of candidates to components, without all pairs of a bucket and without losing a link.
 
 1. The members of a bucket are put in the order of their sizes and parted where a size is too far above the one before it for
-   any link across. In each such group every member is verified against one pivot: the member whose buckets are the fullest, which
-   of a group of copies is the one nearest to the others. A hot bucket is dealt into groups of about ``MOST`` members
+   any link across. In each such group every member is verified against ``PIVOTS`` pivots: the members whose buckets are the fullest,
+   which of a group of copies are nearest to the others. A hot bucket is dealt into groups of about ``MOST`` members
    instead, and its pivots are verified against one of them. The links found are joined to components.
 2. Members of one component need no more comparing. For the members not yet compared with each other (other than pivots) of
    groups that still hold several components the exact prefix filter takes over: all elements are put in one order, rare ones
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import keep
 
-#: Members of a bucket, or of a group of a hot one, that have one pivot.
+#: Members of a bucket from which on it is hot.
 MOST = 100_000
+PIVOTS = 8
 #: Elements that the prefixes of two linked sets have in common.
 COMMON = 4
 
@@ -68,19 +69,19 @@ def link(
     sets = load(shared.select("node").distinct())
     inside = keep(groups(shared, sets.select("node", "size"), percent))
     weight = inside.groupBy("node").agg(F.sum("n").alias("w"))
-    chosen = inside.join(weight, "node").groupBy("key", "group")
-    pivots = keep(chosen.agg(F.max_by("node", F.struct("w", "node")).alias("pivot"), F.max("hot").alias("hot")))
-    rows = keep(inside.join(pivots.drop("hot"), ["key", "group"]).select("key", "group", "node", "pivot", "hot"))
-    hot = pivots.where("hot")
-    top = hot.groupBy("key").agg(F.max("pivot").alias("top"))
-    among = hot.join(top, "key").select(F.col("pivot").alias("node"), F.col("top").alias("pivot"))
-    compared = rows.select("node", "pivot").unionByName(among).where("node <> pivot")
+    fullest = Window.partitionBy("key", "group").orderBy(F.desc("w"), F.desc("node"))
+    rows = keep(inside.join(weight, "node").select("key", "group", "node", "hot", F.row_number().over(fullest).alias("rank")))
+    pivots = rows.where(F.col("rank") <= PIVOTS).select("key", "group", F.col("node").alias("pivot"), F.col("rank").alias("of"), "hot")
+    within = rows.join(pivots.drop("hot"), ["key", "group"]).where("rank > of").select("node", "pivot")
+    hot = pivots.where("hot and of = 1")
+    among = hot.join(hot.groupBy("key").agg(F.max("pivot").alias("top")), "key").select(F.col("pivot").alias("node"), F.col("top").alias("pivot"))
+    compared = within.unionByName(among.where("node <> pivot"))
     tested = keep(compared.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct())
     linked = keep(verify(tested, sets))
     found = keep(components(linked))
 
-    # all members have been compared with their group's pivot: what is open is among the others, and across a hot bucket
-    others = rows.where("hot or node <> pivot").withColumn("group", F.when(F.col("hot"), -1).otherwise(F.col("group")))
+    # all members have been compared with their group's pivots: what is open is among the others, and across a hot bucket
+    others = rows.where(F.col("hot") | (F.col("rank") > PIVOTS)).withColumn("group", F.when(F.col("hot"), -1).otherwise(F.col("group")))
     others = others.select("key", "group", "node").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = others.groupBy("key", "group").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     open_nodes = others.join(several.select("key", "group"), ["key", "group"], "left_semi")

@@ -38,23 +38,19 @@ def cleaned_up(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """A copy of df in the shared folder, so that what follows neither repeats its work nor depends on one executor."""
-    shared = shared_dir(spark := df.sparkSession)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared)
-    with cleaned_up(spark):
-        return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Like keep(), as a Parquet table: compressed, and read by column."""
+    """A copy of df as a Parquet table in the shared folder: what follows neither repeats its work nor depends on one executor."""
     path = f"{shared_dir(spark := df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     with cleaned_up(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """The same, for steps without a name of their own."""
+    return written(df, "kept")
+
+
 def identity(text: Column, name: str = "h") -> list[Column]:
     """Two 64-bit hashes, by which equal texts are recognised."""
     return [F.xxhash64(text).alias(f"{name}1"), F.xxhash64(F.lit("2"), text).alias(f"{name}2")]
