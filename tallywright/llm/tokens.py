@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -9,7 +10,7 @@ from functools import lru_cache
 #: A piece is a union of whole pre-tokens of the byte-level pattern: every place between two pieces is a place where that
 #: pattern always parts a text, so the pieces' ids in a row are the text's ids.
 PIECE = re.compile(r" ?[^\W_]+(?:'[^\W_]+)*| ?(?:[^\s\w]|_)+[^\W_]*|\s+(?!\S)|\s+")
-#: White space for Python and not for the tokenizer; texts that hold one are encoded in one go.
+#: White space for Python and not for the tokenizer.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 LONGEST_CACHED = 48
 
@@ -50,14 +51,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            made_of = json.load(f)
+        before = made_of["pre_tokenizer"] or {}
+        self.by_pieces = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not made_of["normalizer"]
+        #: Texts that hold one of these are encoded in one go, as the library does with them what it does.
+        self.whole = [*ODD_SPACE, *(t["content"] for t in made_of["added_tokens"])]
         self.plain, self.vocabulary = tokenizer.encode, tokenizer.get_vocab_size()
         self.cache = _Cache(tokenizer, cached_pieces)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(c in text for c in ODD_SPACE):
+        if not self.by_pieces or any(c in text for c in self.whole):
             return array("I", self.plain(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.cache.__getitem__, PIECE.findall(text)))
 
