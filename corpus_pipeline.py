@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again as the next stage's
 docs. All but the last return the columns of documents.
+
+Edge cases: ``language`` drops null texts and those without a letter; ``lines`` keeps texts without lines to compare and, of rows
+with one doc_id (or none) and one text, a single one; ``near_duplicates`` keeps one row of each component and all without words;
+``mixture`` never takes a document of size 0 out of or into the mix more than once; ``sequences`` packs an empty text as its end id. Texts of
+any length are worked on whole, rows that share a doc_id are documents of their own, equal ones are interchangeable; an empty table
+stays empty through all stages; columns of other names pass through all but the last stage.
 """
 
 from __future__ import annotations
@@ -13,8 +19,8 @@ from tallywright.llm import langid, linededup, minhash, mixing, packing
 from tallywright.llm.queries import tokenizer_file
 from tallywright.llm.shared import table, written
 
-#: A text of this many characters or more is rejected if not even its best language explains it: more phrases a letter than
-#: LEAST_KNOWN. Texts of a learned language need about a third of that.
+#: A text of this many letters or more is rejected if not even its best language explains it: more phrases for each letter or blank
+#: than LEAST_KNOWN. Texts of a learned language need about a third of that.
 LONG_ENOUGH, LEAST_KNOWN = 50, 0.6
 
 
@@ -22,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and texts in no learned language."""
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
     found = langid.identify(docs, model)
-    unknown = (F.col("lang_pred") == langid.UND) | ((F.char_length("text") >= LONG_ENOUGH) & (F.col("lang_rate") > LEAST_KNOWN))
+    unknown = (F.col("lang_pred") == langid.UND) | ((F.col("lang_letters") >= LONG_ENOUGH) & (F.col("lang_rate") > LEAST_KNOWN))
     return found.where(~unknown).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

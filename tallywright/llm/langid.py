@@ -5,9 +5,10 @@ start of a phrase the automaton is followed as long as what was read occurs in t
 and where it can't go on the next phrase begins. The language whose sample explains the text in the fewest phrases,
 normalised by the sample's length, wins.
 
-Texts are parsed whole, in lower case, letters only with one blank between words. The automata are tables, and blocks of
-many texts advance through all of them together, one symbol a step, in numpy. Blocks have ``BLOCK`` symbols; a phrase ends with its
-block.
+Texts are parsed whole, in lower case, letters only with one blank between words. The automata are tables, and many texts
+advance through all of them together, one symbol a step, in numpy; the last ``FEW``, the longest, one after another. The samples'
+``LETTERS`` most frequent letters are one symbol each, their other letters ``DIGITS`` symbols, and letters of no sample one that
+no automaton reads.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language that comes first by
 code point; without any labelled text all are ``und``; equal rows get equal results; an empty table gives no rows;
@@ -25,17 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-BLOCK = 2048
+FEW = 12
 #: Symbols of texts that are parsed together.
 CHUNK = 1 << 21
 UND = "und"
+MADE = ("lang_pred", "lang_score", "lang_rate", "lang_letters")
 FLAG = 1 << 30
 #: Languages whose automata are one table at a time; letters of a language's sample that stay however many languages there are.
 GROUP, LEAST_SAMPLE = 64, 2_500
-#: Symbols: 0 is the blank, then the sample's most frequent letters, then hashed ones.
-LETTERS, HASHED = 96, 31
+#: Symbols: 0 is the blank, then the samples' most frequent letters, an unknown letter, and the digits of the other letters' numbers.
+LETTERS, DIGITS, BASE = 96, 3, 32
 
 
 def folded() -> np.ndarray:
@@ -105,24 +107,39 @@ class Model:
     def __init__(self, samples: dict[str, np.ndarray]):
         self.langs = sorted(samples)
         counts = Counter(p for s in samples.values() for p in s.tolist() if p)
-        self.alphabet = np.array(sorted(p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]), "u4")
+        ordered = [p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
+        if len(ordered) > LETTERS + BASE**DIGITS:
+            raise ValueError(f"more than {LETTERS + BASE**DIGITS} letters in the samples")
+        self.known = np.array(sorted(ordered), "u4")
+        own = {p: i for i, p in enumerate(ordered)}
+        self.number = np.array([own[p] for p in self.known.tolist()], "i8")
+        self.unknown = 1 + min(len(ordered), LETTERS)
+        self.width = self.unknown + 1 + (DIGITS * BASE if len(ordered) > LETTERS else 0)
         self.lengths = [max(2, len(samples[x])) for x in self.langs]
         self.edges = [np.array(suffix_automaton(self.symbols(samples[x]).tolist()), "i4") for x in self.langs]
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        if not len(self.alphabet):
-            return np.zeros(len(points), "u1")
-        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        known = self.alphabet[at] == points
-        return np.where(points == 0, 0, np.where(known, at + 1, 1 + len(self.alphabet) + points % HASHED)).astype("u1")
+        if not len(self.known):
+            return np.where(points == 0, 0, self.unknown).astype("u1")
+        at = np.minimum(np.searchsorted(self.known, points), len(self.known) - 1)
+        number = np.where(self.known[at] == points, self.number[at], -1)
+        out = np.where(points == 0, 0, np.where(number < 0, self.unknown, number + 1))
+        if not (rare := number >= LETTERS).any():
+            return out.astype("u1")
+        times = np.where(rare, DIGITS, 1)
+        out = np.repeat(out, times)
+        first = (np.cumsum(times) - times)[rare]
+        for d in range(DIGITS):
+            out[first + d] = self.unknown + 1 + d * BASE + (number[rare] - LETTERS) // BASE**d % BASE
+        return out.astype("u1")
 
     def table(self, group: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
         """Of a group of languages: next state for state + symbol, states being multiples of the width, with FLAG where a new phrase begins there; the start of each language."""
-        width = 1 + len(self.alphabet) + HASHED
+        width = self.width
         parts, starts, base = [], [], 0
         for edges in self.edges[group * GROUP : (group + 1) * GROUP]:
-            states = int(edges[:, [0, 2]].max()) + 1
-            root = np.full(width, base * width, "i4")
+            states = int(edges[:, [0, 2]].max()) + 2  # the last one is where a symbol leads that not even the start can read
+            root = np.full(width, (base + states - 1) * width, "i4")
             at_root = edges[edges[:, 0] == 0]
             root[at_root[:, 1]] = (base + at_root[:, 2]) * width
             t = np.tile(root | FLAG, (states, 1))
@@ -137,7 +154,7 @@ def learn(labelled: DataFrame, docs_per_language: int = 64, chars_per_language:
     """A model of a bounded sample of (doc_id, text, lang).
 
     Every language that has a label; of each the docs_per_language documents with the smallest hash of their id, one sixteenth
-    of the sample from each document at most; chars_per_language letters, or an equal share of most_chars if that is less, but LEAST_SAMPLE.
+    of the sample from each document at most, out of its first characters; chars_per_language letters, or an equal share of most_chars if that is less, but LEAST_SAMPLE.
     """
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     langs = [r["lang"] for r in rows.select("lang").distinct().collect()]
@@ -147,9 +164,11 @@ def learn(labelled: DataFrame, docs_per_language: int = 64, chars_per_language:
     chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
     ids = F.broadcast(chosen.drop("n").distinct())  # at most docs_per_language rows a language
     texts: dict[str, list] = {}
-    for r in rows.join(ids, ["doc_id", "lang"], "left_semi").select("doc_id", "lang", "text").collect():
-        texts.setdefault(r["lang"], []).append((zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["text"]))
     share = min(chars_per_language, max(LEAST_SAMPLE, most_chars // len(langs)))
+    # of rows with one doc_id one text, and of it what can hold the letters that a document gives at most
+    part = F.min(F.substring("text", 1, share)).alias("text")
+    for r in rows.join(ids, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(part).collect():
+        texts.setdefault(r["lang"], []).append((zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"]), r["text"]))
     samples = {}
     for lang, found in texts.items():
         parts, n = [], 0
@@ -181,40 +200,49 @@ def group_phrases(model: Model, key: str, group: int, docs: list[np.ndarray]) ->
     lengths = np.array([len(d) for d in docs], "i8")
     all_symbols = np.concatenate(docs) if docs else np.zeros(0, "u1")
     first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    blocks = -(-lengths // BLOCK)
-    owner = np.repeat(np.arange(len(docs)), blocks)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = first[owner] + within * BLOCK
-    size = np.minimum(BLOCK, lengths[owner] - within * BLOCK)
-    order = np.argsort(-size, kind="stable")
-    owner, begin, size = owner[order], begin[order], size[order]
-    lanes, langs = len(owner), len(starts)
+    order = np.argsort(-lengths, kind="stable")
+    begin, size = first[order], lengths[order]
+    lanes, langs = len(order), len(starts)
     state = np.repeat(starts[:, None], lanes, 1)
-    count = np.ones((langs, lanes), "i4")
+    count = np.ones((langs, lanes), "i8")
     live = np.searchsorted(-size, -np.arange(1, (size[0] if lanes else 0) + 1), "right")
+    done = 0
     for t, n in enumerate(live.tolist()):
-        c = all_symbols[begin[:n] + t].astype("i4")
-        v = table.take(state[:, :n] + c)
+        if n <= FEW:
+            break
+        v = table.take(state[:, :n] + all_symbols[begin[:n] + t].astype("i4"))
         if t:
             count[:, :n] += v >> 30
         state[:, :n] = v & (FLAG - 1)
+        done = t + 1
+    cells = memoryview(table)
+    for lane in range(int(live[done]) if done < len(live) else 0):
+        rest = all_symbols[begin[lane] + done : begin[lane] + size[lane]].tolist()
+        for i in range(langs):
+            at, n = int(state[i, lane]), int(count[i, lane])
+            if not done:
+                at = cells[at + rest[0]] & (FLAG - 1)
+            for c in rest if done else rest[1:]:
+                at = cells[at + c]
+                n += at >> 30
+                at &= FLAG - 1
+            count[i, lane] = n
     out = np.zeros((langs, len(docs)), "i8")
-    for i in range(langs):
-        out[i] = np.bincount(owner, count[i], len(docs))
+    out[:, order] = np.where(size > 0, count, 0)
     return out
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, and lang_pred, lang_score, lang_rate (phrases of the best language for each letter or blank; null for ``und``)."""
+    """All columns of docs, and lang_pred, lang_score, lang_rate (phrases of the best language for each letter or blank; null for ``und``), lang_letters."""
     packed = pickle.dumps(model)
     key = hashlib.sha1(packed).hexdigest()
-    names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_rate")]
+    names = [c for c in docs.columns if c not in MADE]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_rate", DoubleType())])
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_rate", DoubleType()), StructField("lang_letters", LongType())])
 
-    def predict(texts: list[str | None]) -> tuple[list, list, list]:
+    def predict(texts: list[str | None]) -> tuple[list, list, list, list]:
         model = pickle.loads(packed)
-        pred, score, rate = [UND] * len(texts), [0.0] * len(texts), [None] * len(texts)
+        pred, score, rate, size = [UND] * len(texts), [0.0] * len(texts), [None] * len(texts), [0] * len(texts)
         bits = np.log2(np.array(model.lengths, "f8"))[:, None]
 
         def settle(at: list[int], symbols: list[np.ndarray]) -> None:
@@ -235,6 +263,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             if not len(points) or not points.any():
                 continue
             at.append(i)
+            size[i] = int(np.count_nonzero(points))
             symbols.append(model.symbols(points))
             n += len(points)
             if n >= CHUNK:
@@ -242,14 +271,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 at, symbols, n = [], [], 0
         if at:
             settle(at, symbols)
-        return pred, score, rate
+        return pred, score, rate, size
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            pred, score, rate = predict(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, "string"), pa.array(score, "float64"), pa.array(rate, "float64")], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rate"])
+            pred, score, rate, size = predict(batch.column("text").to_pylist())
+            made = [pa.array(pred, "string"), pa.array(score, "float64"), pa.array(rate, "float64"), pa.array(size, "int64")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *MADE])
 
     return rows.mapInArrow(run, schema)
 
