@@ -7,7 +7,8 @@ rows of the shard reach. Terms whose bounds together, from the smallest up, stay
 in none of the other, essential terms cannot compete. Essential postings are traversed; the others are probed only for
 rows whose score so far plus the bounds left still reaches the threshold. Shards' results are merged by Spark.
 
-Edge cases: see vectors.py; fewer rows than top give all; an empty table gives no rows. Weights must fit 32 bits.
+Edge cases: see vectors.py; fewer rows than top give all; an empty table gives no rows. Weights are 64-bit; where a score might
+not fit 64 bits the search fails.
 """
 
 from __future__ import annotations
@@ -71,7 +72,13 @@ class Shard:
 
 
 def whole_numbers(scale: float):
-    return lambda vectors: np.floor(scale * vectors).astype("<i4")
+    def made(vectors: np.ndarray) -> np.ndarray:
+        weights = np.floor(scale * vectors)
+        if weights.size and weights.shape[1] * float(np.abs(weights).max()) ** 2 >= 2**63:
+            raise ValueError("scores of such large components don't fit 64 bits")
+        return weights.astype("<i8")
+
+    return made
 
 
 def search_top(embeddings: DataFrame, every: int = 20, top: int = 20, scale: float = 64.0, shard_rows: int = 8192, query_rows: int = 512) -> DataFrame:
@@ -81,8 +88,8 @@ def search_top(embeddings: DataFrame, every: int = 20, top: int = 20, scale: flo
     queries, _ = blocks(rows.where(F.col("vec_id") % every == 0), query_rows, whole_numbers(scale))
 
     def find(q_rows: np.ndarray, q_vectors: bytes, c_rows: np.ndarray, c_ids: np.ndarray, c_vectors: bytes) -> Iterator:
-        shard = Shard(c_rows, c_ids, np.frombuffer(c_vectors, "<i4").reshape(-1, length))
-        for i, query in enumerate(np.frombuffer(q_vectors, "<i4").reshape(-1, length)):
+        shard = Shard(c_rows, c_ids, np.frombuffer(c_vectors, "<i8").reshape(-1, length))
+        for i, query in enumerate(np.frombuffer(q_vectors, "<i8").reshape(-1, length)):
             yield (i, *shard.top(q_rows[i], query, top))
 
     return search(queries, shards, n, find, "long", top)

@@ -84,8 +84,8 @@ def lambdas(counts: DataFrame, aims: list[tuple[str | None, int, int, float]], m
             if step in (low[i], high[i]):
                 solved[i] = step
         open_ones = [i for i in open_ones if solved[i] is None]
-    for i in open_ones:
-        solved[i] = at[i]
+    if open_ones:
+        raise RuntimeError(f"rates of {len(open_ones)} sources did not settle in {most_steps} steps")
     return solved
 
 
@@ -123,7 +123,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_copies: int
     order = [c for c in ("doc_id", "text") if c in rows.columns]
     total = sum(n for _, _, n in found)
     dealt = ranked(rows, ["source", "size"], order, "_rank", rows=total, attach=classes.withColumnRenamed("n", "_docs"))
-    copies = F.floor((F.col("_rank") + 1) * F.col("_whole") / F.col("_docs")) - F.floor(F.col("_rank") * F.col("_whole") / F.col("_docs"))
+    up_to = "cast({} as decimal(19, 0)) * cast(_whole as decimal(19, 0)) div _docs"  # exact, and too large for a long before the division
+    copies = F.expr(up_to.format("_rank + 1")) - F.expr(up_to.format("_rank"))
     return dealt.withColumn("copies", copies.cast("int")).drop("_rank", "_whole", "_docs")
 
 

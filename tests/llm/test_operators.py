@@ -31,7 +31,7 @@ def docs(spark):
     """Odd rows: nulls, blanks, repeated rows, copies, a long text, columns named like results."""
     base = words(1, 60)
     near = base.replace(base.split()[30], "changed", 1)
-    texts = [None, "", "   ", base, base, near, words(2, 40), words(3, 4), "one", "ONE", words(4, 30) + "\n" + base, "€uro ünï\U0001f600 " + words(5, 20), words(6, 3000), "a\x1cb  c\t\n d'll !'s 12²", ".,;!", "1234 5678"]
+    texts = [None, "", "   ", base, base, near, words(2, 40), words(3, 4), "one", "ONE", words(4, 30) + "\n" + base, "€uro ünï\U0001f600 " + words(5, 20), words(6, 3000), "a\x1cb  c\t\n d'll !'s 12²", ".,;!", "1234 5678", words(8, 6) + " <|endoftext|>" + words(9, 6) + "<|endoftext|>"]
     rows = [(i, t, "en" if i % 2 else None, None if i % 5 == 0 else f"s{i % 3}", 7, "x", 1.5, i) for i, t in enumerate(texts)]
     rows += [rows[3], rows[3], (None, words(7, 25), "en", "s1", 1, None, None, 0)]
     return spark.createDataFrame(rows, DOC).cache()
@@ -46,7 +46,6 @@ def reference_ids(text: str | None) -> list[int]:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -164,6 +163,23 @@ def test_targets():
     assert mixing.targets([0, 0], [5, 2], 3) == [0.0, 0.0]
 
 
+def test_rates_are_the_optimum_of_the_dual(spark):
+    """Rates against a fine bisection of the one dual variable of each source, and whole copies against the words they must take."""
+    r = np.random.default_rng(17)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 3}") for i, n in enumerate(r.integers(1, 400, 600) ** (1 + np.arange(600) % 3 == 0))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in {x.source for x in got}:
+        own = [x for x in got if x.source == source]
+        size, target = np.array([x.size for x in own], "f8"), own[0].target
+        taken = lambda v: (size * np.minimum(np.exp(np.minimum(v * size / size.mean(), 50)), 3)).sum()
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            low, high = ((low + high) / 2, high) if taken((low + high) / 2) < target else (low, (low + high) / 2)
+        best = np.minimum(np.exp(np.minimum(low * size / size.mean(), 50)), 3)
+        assert np.abs(best - [x.rate for x in own]).max() < 1e-3
+        assert abs(sum(x.copies * x.size for x in own) - target) <= size.max()
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs.select("doc_id", "text", "source")).collect()
     assert len(got) == docs.count()
@@ -208,6 +224,14 @@ def test_maxscore_is_exact(vectors):
         assert sorted(got[q]) == sorted(want)
 
 
+def test_large_components_are_exact_or_refused(spark):
+    rows = [(20, [1.0, 1.0]), (1, [1e7, 1e7]), (2, [3.0, -5.0]), (3, [-2e7, 1.0])]
+    got = maxscore.search_top(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 64 * 64 * 2 * 10**7), (2, -64 * 64 * 2), (3, 64 * 64 * (1 - 2 * 10**7))]
+    with pytest.raises(Exception, match="64 bits"):
+        maxscore.search_top(spark.createDataFrame([(20, [1e12]), (1, [1e12])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_permutation_index_recall(vectors):
     got = defaultdict(set)
     for r in permindex.nearest(vectors, every=20, block_rows=128, query_rows=8, least=60).collect():
@@ -440,27 +464,37 @@ def test_short_lines_take_part_and_blank_ones_stay(spark):
 
 
 def brute_phrases(symbols, sample):
-    count = 0
-    for block in range(0, len(symbols), langid.BLOCK):
-        part, i = symbols[block : block + langid.BLOCK], 0
-        while i < len(part):
-            j = i + 1
-            while j < len(part) and part[i : j + 1] in sample:
-                j += 1
-            i, count = j, count + 1
+    i = count = 0
+    while i < len(symbols):
+        j = i + 1
+        while j < len(symbols) and symbols[i : j + 1] in sample:
+            j += 1
+        i, count = j, count + 1
     return count
 
 
-def test_cross_parsing_is_longest_match():
-    samples = {x: langid.letters(words(i, 80)) for i, x in enumerate("ab")}
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_cross_parsing_is_longest_match(monkeypatch, few):
+    """Texts of every length, parsed side by side or one by one, with more letters than have a symbol of their own."""
+    monkeypatch.setattr(langid, "FEW", few)
+    r = np.random.default_rng(8)
+    many = ["".join(chr(0x4E00 + int(x)) for x in r.integers(0, 300, 400)) for _ in range(2)]
+    samples = {"a": langid.letters(words(0, 80)), "b": langid.letters(words(1, 80)), "c": langid.letters(many[0])}
     model = langid.Model(samples)
-    texts = [model.symbols(langid.letters(words(40 + i, 30 + 400 * (i == 2)))) for i in range(4)]
-    got = langid.phrases(model, "t", texts)
+    texts = [model.symbols(langid.letters(t)) for t in [words(40, 30), words(41, 700), many[0][50:90] + many[1] + "\u3042\u3042", "x"]]
+    got = langid.phrases(model, f"t{few}", texts)
     for row, lang in enumerate(model.langs):
         sample = bytes(model.symbols(samples[lang]))
         assert got[row].tolist() == [brute_phrases(bytes(t), sample) for t in texts]
 
 
+def test_letters_have_symbols_of_their_own():
+    text = "".join(chr(0x4E00 + i) for i in range(500)) + "abc"
+    model = langid.Model({"x": langid.letters(text)})
+    seen = {bytes(model.symbols(langid.letters(c))) for c in text}
+    assert len(seen) == 503 and bytes(model.symbols(langid.letters("\u3042"))) not in seen
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.language_of(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
