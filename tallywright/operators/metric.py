@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What a measure may never hold, and the functions it may call.
-FORBIDDEN = re.compile(r";|--|/\*|\b(insert|update|delete|drop|alter|create|grant|union|select|system|attach|file|url)\b", re.I)
+FORBIDDEN = re.compile(r";|--|/\*|\b(insert|update|delete|drop|truncate|alter|create|grant|revoke|union|select|system|attach|file|url)\b", re.I)
 FUNCTIONS = frozenset("count count_if sum avg min max if nullif coalesce abs round least greatest".split())
+#: Names of the quality tests: fixed values of the contract.
 TESTS = ("not_null", "between_0_and_1", "non_negative", "denominator_min_30", "monotonic_non_decreasing")
 
 

@@ -67,15 +67,28 @@ def gap_upsert(spark, sf_dir):
     return after(spark, sf_dir).select("dedupe_key", "scope_id", "status", "owner", "severity", "observed", "exposure_base", "first_seen", "last_seen", "lifecycle_version")
 
 
-def assert_gap_invariants(spark, sf_dir):
-    """Gaps that break a rule of the ledger; also keys with more than one open gap."""
-    rows = after(spark, sf_dir)
+def broken_invariants(rows: DataFrame) -> DataFrame:
+    """dedupe_key of gaps that break a rule of the ledger, and of keys with more than one open gap."""
     wrong = "exposure_low > exposure_base or exposure_base > exposure_high or confidence_score < 0 or confidence_score > 1 or observed = expected or first_seen > last_seen or lifecycle_version < 1"
     broken = rows.where(wrong).select("dedupe_key")
     twice = rows.where(book.is_open()).groupBy("dedupe_key").count().where("count > 1").select("dedupe_key")
     return broken.unionByName(twice)
 
 
+def assert_gap_invariants(spark, sf_dir):
+    """Over a ledger with six kinds of damage, one for each remainder of the scope's number by 7."""
+    rows = after(spark, sf_dir)
+    kind = num() % 7
+    damaged = (
+        rows.withColumn("first_seen", F.when(kind == 0, F.expr("last_seen + interval 1 day")).otherwise(F.col("first_seen")))
+        .withColumn("lifecycle_version", F.when(kind == 1, 0).otherwise(F.col("lifecycle_version")))
+        .withColumn("exposure_low", F.when(kind == 2, F.col("exposure_base") + 1).otherwise(F.col("exposure_low")))
+        .withColumn("confidence_score", F.when(kind == 3, 1.5).otherwise(F.col("confidence_score")))
+        .withColumn("observed", F.when(kind == 4, F.col("expected")).otherwise(F.col("observed")))
+    )
+    return broken_invariants(damaged.unionByName(damaged.where(kind == 5)))
+
+
 def suppress(spark, sf_dir):
     gaps = ledger(spark, sf_dir).withColumn("gap_type", F.when(num() % 4 == 1, "source_freshness_breach").otherwise(F.col("gap_type")))
     return book.suppress(found(spark, sf_dir, SECOND_RUN), gaps).select("scope_id", "confidence_band", "reason_codes", "suppressed")
@@ -253,7 +266,7 @@ ORACLE_SQL = {
     "dedupe_key": f"WITH {BOOK} SELECT scope_id, dedupe_key FROM run2",
     "dedupe_decisions": f"WITH {BOOK} SELECT scope_id, ordinal, CASE WHEN ordinal = 1 AND dedupe_key NOT IN (SELECT dedupe_key FROM ledger WHERE status NOT IN ('resolved', 'dismissed')) THEN 'create' ELSE 'update' END AS decision FROM cand",
     "gap_upsert": f"WITH {BOOK}{UPSERTED} SELECT * FROM merged",
-    "assert_gap_invariants": f"WITH {BOOK}{UPSERTED} SELECT dedupe_key FROM merged WHERE first_seen > last_seen",
+    "assert_gap_invariants": f"WITH {BOOK}{UPSERTED} SELECT dedupe_key FROM merged WHERE first_seen > last_seen OR {N} % 7 IN (0, 1, 3, 4) OR ({N} % 7 = 2 AND exposure_base IS NOT NULL) UNION ALL SELECT dedupe_key FROM merged WHERE {N} % 7 = 5 AND status NOT IN ('resolved', 'dismissed')",
     "suppress": f"WITH {BOOK}, q AS (SELECT scope_id FROM ledger WHERE {N} % 4 = 1 AND status NOT IN ('resolved', 'dismissed')) SELECT scope_id, CASE WHEN hit THEN 'low' ELSE confidence_band END AS confidence_band, CASE WHEN hit THEN reason_codes || ',suppressed_by_data_quality' ELSE reason_codes END AS reason_codes, hit AS suppressed FROM (SELECT *, scope_id IN (SELECT scope_id FROM q) AS hit FROM run2)",
     "correlate": f"""WITH c AS (SELECT gap_type, scope_id, gap_type || ':' || scope_id AS name, CASE WHEN {N} % 10 = 0 THEN {N} % 50 END AS k FROM (
   SELECT gap_type, scope_id FROM ({mismatch_sql()}) UNION ALL SELECT gap_type, scope_id FROM ({detection.ORACLE_SQL['det_ratio_threshold']})))

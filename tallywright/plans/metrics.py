@@ -77,7 +77,9 @@ def metric_catalogue(spark, sf_dir):
 
 
 def quality_not_null(spark, sf_dir):
-    return violations("not_null", metric_stock_discrepancy_rate(spark, sf_dir))
+    """With the values of odd numbers of observations lost."""
+    lost = F.when(F.col("observations") % 2 == 0, F.col("value"))
+    return violations("not_null", metric_stock_discrepancy_rate(spark, sf_dir).withColumn("value", lost))
 
 
 def quality_between(spark, sf_dir):
@@ -85,7 +87,9 @@ def quality_between(spark, sf_dir):
 
 
 def quality_non_negative(spark, sf_dir):
-    return violations("non_negative", metric_stock_units_missing(spark, sf_dir))
+    """With the sign of odd numbers of observations turned."""
+    turned = F.when(F.col("observations") % 2 == 1, -F.col("value")).otherwise(F.col("value"))
+    return violations("non_negative", metric_stock_units_missing(spark, sf_dir).withColumn("value", turned))
 
 
 def by_variant(spark, sf_dir):
@@ -168,9 +172,9 @@ ORACLE_SQL = {
       ('stock_units_missing', 1, 'count', 'location_id', 'variant_id', 'non_negative', TRUE),
       ('data_completeness', 1, 'ratio', 'source_key', 'day', 'between_0_and_1', TRUE),
       ('revenue', 1, 'money', 'location_id', 'channel_id', 'non_negative', TRUE)) t(metric_key, version, unit, grain, dimensions, tests, certified)""",
-    "quality_not_null": f"SELECT * FROM ({SDR}) WHERE value IS NULL",
+    "quality_not_null": f"SELECT location_id, CAST(NULL AS DOUBLE) AS value, observations FROM ({SDR}) WHERE value IS NULL OR observations % 2 = 1",
     "quality_between": f"SELECT * FROM ({SUM}) WHERE value < 0 OR value > 1",
-    "quality_non_negative": f"SELECT * FROM ({SUM}) WHERE value < 0",
+    "quality_non_negative": f"SELECT location_id, CASE WHEN observations % 2 = 1 THEN -value ELSE value END AS value, observations FROM ({SUM}) WHERE CASE WHEN observations % 2 = 1 THEN -value ELSE value END < 0",
     "quality_sufficiency": f"SELECT * FROM ({SDR.replace('SELECT location_id, round', 'SELECT variant_id, round')}) WHERE observations < 30",
     "quality_monotonic": f"{DAYS} SELECT source_key, day, value, observations FROM (SELECT *, lag(value) OVER (PARTITION BY source_key ORDER BY day) AS b FROM d) WHERE value < b",
     "valid_on": "SELECT * FROM (VALUES ('stock_discrepancy_rate', 1), ('stock_units_missing', 1), ('data_completeness', 1), ('revenue', 1)) t(metric_key, version)",
