@@ -98,6 +98,16 @@ def query(metric: Metric, model: DataFrame, organization_id: str, grain: tuple[s
     return rows.groupBy(*grain).agg(*aggregates) if grain else rows.agg(*aggregates)
 
 
+def joined(metric: Metric, sources: dict[str, DataFrame]) -> DataFrame:
+    """The metric's source with its declared joins, in their order: each on one shared column, rows without a match kept."""
+    rows = sources[metric.source]
+    for other, column in metric.joins:
+        if column not in rows.columns or column not in sources[other].columns:
+            raise ValueError(f"{metric.key}: {other} can't be joined on {column}")
+        rows = rows.join(sources[other], column, "left")
+    return rows
+
+
 def violations(test: str, result: DataFrame, order: str | None = None, per: tuple[str, ...] = ()) -> DataFrame:
     """Rows of a metric's result that break a test; none when it holds."""
     if test == "not_null":

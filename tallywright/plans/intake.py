@@ -177,7 +177,24 @@ def late_arrivals(spark, sf_dir):
     return e.withColumn("late", F.coalesce(F.col("ts") < seen - F.expr("INTERVAL 1 DAY"), F.lit(False))).groupBy("source").agg(F.count_if("late").alias("late"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (validate_csv, apply_mapping, schema_drift_mapping, mapping_preview, transforms, scalar_functions, json_path, json_types, inspect_schema, record_ids, upload_guard, quality_flags, scan_csv, scan_json, backfill_windows, fulfilment_rank, unmet_demand, capacity, tumbling_footfall, stream_dedupe, session_funnel, late_arrivals)}
+def validate_amounts(spark, sf_dir):
+    """Orders delivered with amounts and currencies as text, some of them wrong: why each is refused."""
+    k = F.col("o_orderkey")
+    amount = F.when(k % 7 == 0, "abc").when(k % 11 == 0, F.concat(F.lit("-"), k.cast("string"))).when(k % 13 == 0, "").otherwise(k.cast("string"))
+    currency = F.when(k % 5 == 0, "G1P").when(k % 17 == 0, "  ").otherwise("gbp")
+    rows = overlay.table(spark, sf_dir, "orders").select(k.alias("record_id"), amount.alias("amount"), currency.alias("currency"))
+    why = ingest.reasons(*ingest.amounts("amount"), *ingest.currencies("currency"))
+    return rows.select("record_id", F.array_join(why, ",").alias("why")).where("why <> ''")
+
+
+def labels(spark, sf_dir):
+    """Amounts and shares as they are shown."""
+    k = F.col("o_orderkey")
+    rows = overlay.table(spark, sf_dir, "orders")
+    return rows.select(k.alias("record_id"), scalars.money(k * 1000 + 5).alias("amount"), scalars.percent(k % 1000 / 1000).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (validate_amounts, labels, validate_csv, apply_mapping, schema_drift_mapping, mapping_preview, transforms, scalar_functions, json_path, json_types, inspect_schema, record_ids, upload_guard, quality_flags, scan_csv, scan_json, backfill_windows, fulfilment_rank, unmet_demand, capacity, tumbling_footfall, stream_dedupe, session_funnel, late_arrivals)}
 
 from .governed import TX  # noqa: E402
 
@@ -200,6 +217,9 @@ OFFERS = """o AS (
   UNION ALL SELECT request_id, 'home_delivery', CASE WHEN why IS NULL THEN 31 ELSE 77 END, 0, NULL FROM c WHERE online
   UNION ALL SELECT request_id, 'alternative_product', 96, 0, why FROM c WHERE why IS NOT NULL)"""
 ORACLE_SQL = {
+    "validate_amounts": """SELECT * FROM (SELECT o_orderkey AS record_id, concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'type_coerced:amount' WHEN o_orderkey % 11 = 0 THEN 'negative_amount:amount' END,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'currency_mismatch:currency' END) AS why FROM orders) WHERE why <> ''""",
+    "labels": "SELECT o_orderkey AS record_id, format('{:,.2f}', (o_orderkey * 1000 + 5) / 100.0) AS amount, printf('%.1f%%', o_orderkey % 1000 / 1000.0 * 100) AS share FROM orders",
     "validate_csv": f"WITH {DELIVERED} SELECT check_id, concat_ws(',', CASE WHEN occurred_at = '' THEN 'missing_required:occurred_at' END, CASE WHEN location_id IS NULL THEN 'missing_required:location_id' END, CASE WHEN occurred_at = 'not a date' THEN 'type_coerced:occurred_at' END, CASE WHEN occurred_at LIKE '2031%' THEN 'future_dated:occurred_at' END, CASE WHEN q IN ('abc', 'NaN') THEN 'type_coerced:observed_quantity' END, CASE WHEN q LIKE '-%' THEN 'out_of_range:observed_quantity' END) AS reasons FROM d",
     "apply_mapping": f"WITH {DELIVERED} SELECT check_id AS id, product, location_id AS place, TRY_CAST(q AS BIGINT) AS quantity, {WHY} AS why FROM d",
     "schema_drift_mapping": f"WITH {DELIVERED} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(concat_ws(',', nullif({WHY}, ''), 'schema_drift:channel_code'), ',')) AS reason FROM d) GROUP BY 1",

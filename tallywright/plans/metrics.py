@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.metric import Metric, Registry, catalogue, query, violations
+from ..operators.metric import Metric, Registry, catalogue, joined, query, violations
 from ..sources import overlay
 from . import governed
 from .governed import QUALITY, STOCK, TX
@@ -61,9 +61,9 @@ def metric_grain_override(spark, sf_dir):
 def metric_join_path(spark, sf_dir):
     """A metric grouped by a column of a joined source: revenue by the name of its location."""
     names = overlay.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("location_id"), F.col("n_name").alias("location_name"))
-    joined = governed.transactions(spark, sf_dir).join(F.broadcast(names), "location_id")
     metric = Metric("revenue_by_name", 1, "sum(amount_minor)", "transactions", ("location_name",), unit="money", currency_policy="single", joins=(("locations", "location_id"),))
-    return query(metric, joined, ORG).withColumn("value", F.col("value").cast("long"))
+    rows = joined(metric, {"transactions": governed.transactions(spark, sf_dir), "locations": names})
+    return query(metric, rows, ORG).withColumn("value", F.col("value").cast("long"))
 
 
 def metric_rollup(spark, sf_dir):

@@ -126,6 +126,11 @@ def test_rounding(spark):
 def test_metric_refusals(spark):
     with pytest.raises(ValueError):
         metric.Metric("m", 1, "sum(x); drop table y", "s", ("a",), unit="count")
+    for word in ("truncate", "revoke"):
+        with pytest.raises(ValueError):
+            metric.Metric("m", 1, f"sum(x) {word} y", "s", ("a",), unit="count")
+    with pytest.raises(ValueError):
+        metric.joined(metric.Metric("m", 1, "sum(x)", "s", ("a",), unit="count", joins=(("t", "b"),)), {"s": spark.range(1), "t": spark.range(1)})
     with pytest.raises(ValueError):
         metric.Metric("m", 1, "java_method(x)", "s", ("a",), unit="count")
     m = metric.Metric("m", 1, "sum(x)", "s", ("a",), unit="count")
