@@ -1,13 +1,18 @@
-"""Best-fit packing of token sequences, in supersteps over runs of equal size.
-
-Documents are encoded once; longer ones are cut into pieces of ``capacity`` ids, a shorter piece first. Pieces are then
-ranked within their length, in parts, by Spark. Lengths and gaps are whole numbers up to the capacity, so the sorted
-documents are at most ``capacity`` runs (length, count), and so are the sorted gaps. In each superstep the longest
-run of documents left sweeps the gaps upwards: its next ranks go to the successor, the smallest gap that holds them, as
-many to each gap as fit; new sequences open when no gap is left; the gaps it met shrink, and the next superstep begins.
-Ranks decide which rows of a run meet which gaps, so no two can claim one place. The outcome is that of
-best-fit decreasing over all single pieces. The sweep's state is bounded by capacity, not by rows; the join that gives
-each piece its place is distributed.
+"""Bulk-synchronous best-fit packing of token sequences.
+
+Documents are encoded once; longer ones are cut into pieces of ``capacity`` ids, a shorter piece first. Pieces are
+range-sorted by length and ranked within it, by Spark. Bands of lengths follow each other, longest first: band j holds the
+lengths of which j, and not j + 1, fill a sequence; short lengths share bands. A superstep sorts the gaps by room and ranks
+them, and sweeps both sorts upwards: each gap takes the longest piece still waiting that it holds (its predecessor; the
+piece has its successor). Where several ask for one gap, ranks decide: in an upward sweep waiting pieces form a stack, so a
+piece's and a gap's height on it follow from counts by size and from their rank, and the two that meet are neighbours at
+one height. Matching is a window over heights. Gaps then shrink, and the next superstep begins. What no gap of a band
+takes opens sequences, in full groups; fewer than a group's worth wait for the last step.
+
+The driver sees counts by length and room, at most two times ``capacity`` numbers, and no piece or gap; the last step's
+pieces are fewer than a sequence's worth for each band, and they are placed by their counts. A height holds at most one piece
+and one gap of each size, and a sequence at most ``capacity`` pieces, so no window's group grows with the input. There are
+at most about 20 bands, whatever the input, with one sweep each where lengths are above capacity / 17.
 
 Edge cases: a null text is empty and has just the end id; equal rows are packed each for itself; an empty table gives no
 rows; columns other than doc_id and text are ignored.
@@ -18,15 +23,19 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import keep, ranked
 from .tokens import encoder
 
+#: Bands below capacity / LAST_HARMONIC halve instead.
+LAST_HARMONIC = 16
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
@@ -93,16 +102,133 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return placed
 
 
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+
+
+def bands(capacity: int) -> list[tuple[int, int, int]]:
+    """(shortest length, longest, pieces of it that surely fill no more than a sequence; 0: cut by running length)."""
+    out = [(capacity // (j + 1) + 1, capacity // j, j) for j in range(1, LAST_HARMONIC + 1)]
+    high = capacity // (LAST_HARMONIC + 1)
+    while high:
+        out.append((high // 2 + 1, high, 0))
+        high //= 2
+    return [b for b in out if b[0] <= b[1]]
+
+
+def numbers(spark: SparkSession, names: str, rows: list[tuple[int, ...]]) -> DataFrame:
+    """Whole numbers as a table that is part of the plan: at most a few times capacity of them, all known to the driver."""
+    if not rows:
+        return spark.createDataFrame([], ", ".join(f"{c} long" for c in names.split(", ")))
+    values = ", ".join(f"({', '.join(f'{int(v)}L' for v in row)})" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
+def sweep(lengths: dict[int, int], rooms: dict[int, int]) -> tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int]], dict[int, int]]:
+    """The upward sweep by counts: length -> (height of rank 0, pieces no gap takes), room -> (height of rank 0, gaps that take one), rooms after.
+
+    A length's pieces rise from its height by rank, a room's gaps fall from theirs.
+    """
+    stack, depth = [], 0
+    first, takes, after = {}, {}, {}
+    left = dict(lengths)
+    for size in sorted({*lengths, *rooms}):
+        if n := lengths.get(size, 0):
+            first[size] = depth
+            stack.append(size)
+            depth += n
+        gaps = rooms.get(size, 0)
+        meet = min(gaps, depth)
+        takes[size] = (depth - 1, meet)
+        after[size] = after.get(size, 0) + gaps - meet
+        depth -= meet
+        while meet:
+            most = min(meet, left[x := stack[-1]])
+            left[x] -= most
+            meet -= most
+            after[size - x] = after.get(size - x, 0) + most
+            if not left[x]:
+                stack.pop()
+    return {x: (first[x], left[x]) for x in first}, {r: takes[r] for r in rooms}, {r: n for r, n in after.items() if r and n}
+
+
+def matched(pieces: DataFrame, gaps: DataFrame, counts: dict[int, int], rooms: dict[int, int], heights: dict, takes: dict) -> DataFrame:
+    """One row a gap (sequence_id, room): the piece it takes, or nulls, and the room left."""
+    spark = pieces.sparkSession
+    ups = numbers(spark, "_x, _height, _waits, _counted", [(x, h, u, counts[x]) for x, (h, u) in heights.items()])
+    downs = numbers(spark, "_x, _height, _takes", [(r, h, n) for r, (h, n) in takes.items()])
+    up = pieces.join(F.broadcast(ups), F.col("length") == F.col("_x")).where("_rank >= _waits AND _rank < _counted")  # bounded by capacity
+    numbered = ranked(gaps, ["room"], ["sequence_id"], "_g", rows=sum(rooms.values()), rows_per_task=2_000_000)
+    down = numbered.join(F.broadcast(downs), F.col("room") == F.col("_x"))  # bounded by capacity
+    asks = up.select((F.col("_height") + F.col("_rank")).alias("_at"), F.col("length").alias("_size"), F.lit(0).alias("_kind"), F.struct(*PIECE, "_rank").alias("_p"), F.lit(None).cast("long").alias("sequence_id"))
+    offers = down.where("_g < _takes").select((F.col("_height") - F.col("_g")).alias("_at"), F.col("room").alias("_size"), F.lit(1).alias("_kind"), F.lit(None).alias("_p"), "sequence_id")
+    pairs = asks.unionByName(offers).withColumn("_p", F.lag("_p").over(Window.partitionBy("_at").orderBy("_size", "_kind"))).where("_kind = 1")
+    met = pairs.select("_p.*", "sequence_id", (F.col("_size") - F.col("_p.length")).alias("room"))
+    return met.unionByName(down.where("_g >= _takes").select("sequence_id", "room"), allowMissingColumns=True)
+
+
+def opened(pieces: DataFrame, waiting: dict[int, int], capacity: int, each: int, first: int) -> tuple[DataFrame, int, dict[int, tuple[int, int]]]:
+    """Waiting pieces, longest first, in full groups as new sequences from number ``first``: (rows, sequences, length -> (first rank, pieces) of what waits for the end)."""
+    starts, before = [], 0
+    for x in sorted(waiting, reverse=True):
+        starts.append((x, before, waiting[x]))
+        before += waiting[x] * (1 if each else x)
+    size = each or capacity - max(waiting) + 1
+    groups = before // size
+    table = numbers(pieces.sparkSession, "_x, _before, _waits", starts)
+    rows = pieces.join(F.broadcast(table), F.col("length") == F.col("_x")).where("_rank < _waits")  # bounded by capacity
+    rows = rows.withColumn("sequence_id", F.expr(f"{first} + (_before + _rank * {'1' if each else '_x'}) div {size}")).where(F.col("sequence_id") < first + groups)
+    rest = {}
+    for x, at, n in starts:
+        step = 1 if each else x
+        if last := n - min(n, max(0, -(-(groups * size - at) // step))):
+            rest[x] = (n - last, last)
+    return rows.select(*PIECE, "_rank", "sequence_id"), groups, rest
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    spark = docs.sparkSession
     cut = keep(pieces(docs, tokenizer_path, end_id, capacity))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
-    plan = best_fit(counts, capacity)
-    places = docs.sparkSession.createDataFrame(plan, "length long, _first long, _n long, _sequence long, _each long, _offset long")
+    by_length = ranked(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_rank", rows=sum(counts.values()))
+    cut = keep(by_length.repartitionByRange("length", "_rank").sortWithinPartitions("length", "_rank"))
+    gaps, rooms, sequences, placed, residue = None, {}, 0, [], {}
+
+    def place(rows: DataFrame) -> DataFrame:
+        written = keep(rows.withColumn("_turn", F.lit(len(placed))))
+        placed.append(written.where("_rank IS NOT NULL").drop("room"))
+        return written
+
+    for low, high, each in bands(capacity):
+        waiting = {x: n for x, n in counts.items() if low <= x <= high}
+        least = min((x for x in counts if x <= high), default=0)
+        band = cut.where(F.col("length").between(low, high))
+        met = sum(waiting.values())
+        # A gap holds one piece of a harmonic band; the others sweep on until a sweep places little.
+        while waiting and rooms and met * 64 >= sum(waiting.values()):
+            before, now = waiting, {r: n for r, n in rooms.items() if r >= least}
+            heights, takes, after = sweep(before, now)
+            waiting = {x: u for x, (_, u) in heights.items() if u}
+            met = sum(before.values()) - sum(waiting.values())
+            if met:
+                gaps = place(matched(band, gaps.where(F.col("room") >= least), before, now, heights, takes)).select("sequence_id", "room").where("room > 0")
+                rooms = after
+            if each:
+                break
+        if waiting:
+            rows, groups, rest = opened(band, waiting, capacity, each, sequences)
+            residue |= rest
+            if groups:
+                new = place(rows).groupBy("sequence_id").agg((capacity - F.sum("length")).alias("room")).where("room > 0")
+                for r in new.groupBy("room").count().collect():  # at most capacity rows
+                    rooms[r["room"]] = rooms.get(r["room"], 0) + r["count"]
+                gaps = new if gaps is None else gaps.unionByName(new)
+                sequences += groups
+    plan = [(x, residue[x][0] + a, n, sequences + q, k) for x, a, n, q, k, _ in best_fit({x: n for x, (_, n) in residue.items()}, capacity)]
+    places = numbers(spark, "_x, _first, _n, _sequence, _each", plan)
     at = F.col("_rank") - F.col("_first")
-    return (
-        ranked(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_rank")
-        .join(F.broadcast(places), "length")  # bounded by capacity
-        .where((at >= 0) & (at < F.col("_n")))
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_sequence") + F.floor(at / F.col("_each"))).cast("long").alias("sequence_id"), (F.col("_offset") + at % F.col("_each") * F.col("length")).cast("long").alias("offset"))
-    )
+    last = cut.join(F.broadcast(places), F.col("length") == F.col("_x")).where((at >= 0) & (at < F.col("_n")))  # bounded by capacity
+    place(last.select(*PIECE, "_rank", F.expr("_sequence + (_rank - _first) div _each").alias("sequence_id")))
+    before = Window.partitionBy("sequence_id").orderBy("_turn", F.desc("length"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    everything = reduce(DataFrame.unionByName, placed)
+    return everything.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_rank", "_turn")

@@ -113,6 +113,53 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer_file()).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=20), st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=20))
+def test_sweep_is_the_stack_of_single_rows(lengths, rooms):
+    """Heights, ranks and counts against an upward sweep over single pieces and gaps."""
+    heights, takes, after = packing.sweep(lengths, rooms)
+    stack, pairs, left = [], set(), defaultdict(int)
+    for size in sorted({*lengths, *rooms}):
+        stack += [(size, rank) for rank in range(lengths.get(size, 0))]
+        for g in range(rooms.get(size, 0)):
+            met = stack.pop() if stack else None
+            left[size - met[0] if met else size] += 1
+            if met:
+                pairs.add((met, (size, g)))
+    assert {x: sum(1 for s, _ in stack if s == x) for x in lengths} == {x: u for x, (_, u) in heights.items()}
+    assert {r: n for r, n in left.items() if r} == after
+    at = [(heights[x][0] + k, x, 0, (x, k)) for x, n in lengths.items() for k in range(n) if k >= heights[x][1]]
+    at += [(takes[r][0] - g, r, 1, (r, g)) for r, n in rooms.items() for g in range(n) if g < takes[r][1]]
+    ordered = sorted(at)
+    got = {(a[3], b[3]) for a, b in zip(ordered, ordered[1:]) if a[0] == b[0] and a[2] == 0 and b[2] == 1}
+    assert got == pairs
+
+
+def test_packing_of_many_short_and_long_documents(spark):
+    """Bands, sweeps and full groups at a small capacity: whole, gapless, and hardly more sequences than best-fit decreasing."""
+    r = np.random.default_rng(3)
+    sizes = [*r.integers(0, 40, 900), *r.integers(0, 5, 700), *[20] * 500]
+    table = spark.createDataFrame([(i, " a" * int(n)) for i, n in enumerate(sizes)], "doc_id long, text string")
+    rows = packing.pack(table, tokenizer_file(), capacity=32).collect()
+    taken, by_sequence = defaultdict(int), defaultdict(list)
+    for row in rows:
+        taken[row.doc_id] += row.length
+        by_sequence[row.sequence_id].append((row.offset, row.length))
+    assert taken == {i: n + 1 for i, n in enumerate(sizes)}
+    for places in by_sequence.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+        assert sum(n for _, n in places) <= 32
+    rooms: list[int] = []
+    for length in sorted((row.length for row in rows), reverse=True):
+        best = min((i for i, room in enumerate(rooms) if room >= length), key=lambda i: rooms[i], default=None)
+        if best is None:
+            rooms.append(32 - length)
+        else:
+            rooms[best] -= length
+    assert len(by_sequence) <= len(rooms) * 1.02 + 2
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=20))
 def test_best_fit_equals_best_fit_decreasing(counts):
