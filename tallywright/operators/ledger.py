@@ -126,3 +126,22 @@ def envelope(ledger: DataFrame, *groups: str) -> DataFrame:
         *groups, "kind", *[F.when(shown, F.col(c)).alias(c) for c in ("low", "high", "contributing")], (F.col("priced") - F.col("contributing")).alias("excluded_low_confidence"), "without_exposure",
         F.when(shown, F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("_rank").cast("int"))).alias("band"),
     )
+
+
+def suppress_by_source(candidates: DataFrame, open_gaps: DataFrame) -> DataFrame:
+    """Business candidates that read a source (sources, an array) with an open data-quality gap: suppressed, low confidence."""
+    bad = open_gaps.where(F.col("gap_type").isin(*QUALITY_TYPES) & is_open()).select(F.explode("sources").alias("source")).distinct()
+    hit = candidates.select("dedupe_key", F.explode("sources").alias("source")).join(bad, "source").select("dedupe_key", F.lit(True).alias("_hit")).distinct()
+    suppressed = F.coalesce("_hit", F.lit(False)) & ~F.col("gap_type").isin(*QUALITY_TYPES)
+    out = candidates.join(hit, "dedupe_key", "left")
+    return out.withColumns({"suppressed": suppressed, "confidence_band": F.when(suppressed, "low").otherwise(F.col("confidence_band"))}).drop("_hit")
+
+
+def candidate_faults(candidates: DataFrame) -> Column:
+    """What makes a candidate invalid, and with it the whole run: no evidence, no scope, nothing that differs."""
+    faults = [
+        F.when(F.coalesce(F.size("evidence"), F.lit(0)) < 1, "no_evidence"),
+        F.when(F.trim(F.coalesce("scope_id", F.lit(""))) == "", "no_scope"),
+        F.when(F.col("observed").eqNullSafe(F.col("expected")), "observed_is_expected"),
+    ]
+    return F.filter(F.array(*faults), lambda f: f.isNotNull())

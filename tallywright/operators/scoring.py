@@ -60,3 +60,34 @@ def exposure(factors: list[tuple[Column, Column, Column]]) -> list[Column]:
             product = (product * f[i]).cast("decimal(38,10)")
         out.append(F.round(product, 0).cast("long"))
     return out
+
+
+def weight_record(components: dict[str, Column]) -> list[Column]:
+    """(weights, dropped): the known components' weights, normalised to 4 digits, and the names of the unknown, both by name."""
+    names = sorted(components)
+    total = sum((F.when(components[k].isNotNull(), WEIGHTS[k]).otherwise(0.0) for k in names), F.lit(0.0))
+    weights = F.filter(F.array(*[F.when(components[k].isNotNull(), F.struct(F.lit(k).alias("name"), F.round(F.lit(WEIGHTS[k]) / total, 4).alias("weight"))) for k in names]), lambda w: w.isNotNull())
+    dropped = F.filter(F.array(*[F.when(components[k].isNull(), k) for k in names]), lambda n: n.isNotNull())
+    return [weights, dropped]
+
+
+def exposure_faults(low: Column, base: Column, high: Column, currency: Column, assumptions: Column) -> Column:
+    """Why an exposure can't be stated: it isn't ordered, has no currency of three letters, or rests on no assumption."""
+    faults = [
+        F.when(~F.coalesce((low <= base) & (base <= high), F.lit(False)), "not_ordered"),
+        F.when(~F.coalesce(currency.rlike("^[A-Za-z]{3}$"), F.lit(False)), "no_currency"),
+        F.when(F.coalesce(F.size(assumptions), F.lit(0)) < 1, "no_assumptions"),
+    ]
+    return F.filter(F.array(*faults), lambda f: f.isNotNull())
+
+
+def assumption(key: str, statement: str, low: Column, base: Column, high: Column, source: str, kind: str) -> Column:
+    """One input of an exposure as a record, whether observed or assumed."""
+    value = F.concat(low.cast("string"), F.lit(".."), high.cast("string"), F.lit(" (base "), base.cast("string"), F.lit(")"))
+    return F.struct(F.lit(key).alias("key"), F.lit(statement).alias("statement"), value.alias("value"), F.lit(source).alias("source"), F.lit(kind).alias("kind"))
+
+
+def describe(low_minor: Column, high_minor: Column, currency: Column, confidence: Column) -> Column:
+    """The one wording of an exposure; it never speaks of savings."""
+    money = lambda c: F.format_number((c / 100).cast("decimal(38,2)"), 2)
+    return F.concat(F.lit("Estimated exposure "), F.upper(currency), F.lit(" "), money(low_minor), F.lit("\u2013"), money(high_minor), F.lit(" ("), confidence, F.lit(" confidence)"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import detection, findings, governed, intake, metrics
+from . import admission, detection, findings, governed, intake, metrics
 
-MODULES = (governed, metrics, detection, findings, intake)
+MODULES = (governed, metrics, detection, findings, intake, admission)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

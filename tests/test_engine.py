@@ -8,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallywright.functions import scalars
-from tallywright.operators import detect, ingest, ledger, metric, scoring
+from tallywright.functions import scalars, signing
+from tallywright.operators import access, detect, ingest, ledger, metric, scoring
 from tallywright.operators.asof import asof_left
 from tallywright.operators.detect import Rule
 from tallywright.operators.latest import latest_wins
@@ -164,3 +164,24 @@ def test_upsert_replay_changes_nothing(spark):
     once = findings.after(spark, SF)
     twice = ledger.upsert(once, findings.second_run(spark, SF), F.lit(findings.SECOND_RUN).cast("timestamp_ntz"))
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.select(*once.columns).collect()))
+
+
+def test_hmac_is_the_standard_one(spark):
+    import hashlib
+    import hmac
+
+    bodies = ["", "1.{}", "ünï"]
+    data = rows(spark, [(b,) for b in bodies], "b string")
+    for key in (b"k", b"\x00\xff" * 60):
+        got = [r[0] for r in data.select(signing.hmac_sha256(key, F.encode("b", "UTF-8"))).collect()]
+        assert got == [hmac.new(key, b.encode(), hashlib.sha256).hexdigest() for b in bodies]
+
+
+def test_fingerprints_part_their_values(spark):
+    data = rows(spark, [("a", "bc"), ("ab", "c"), (None, "x"), ("", "x")], "a string, b string")
+    assert data.select(signing.fingerprint(F.col("a"), F.col("b")).alias("f")).distinct().count() == 4
+
+
+def test_no_organization_sees_nothing(spark):
+    data = rows(spark, [("1",), ("2",), (None,)], "o string")
+    assert [access.scoped(data, "o", x).count() for x in ("1", None, "", "3")] == [1, 0, 0, 0]
