@@ -16,7 +16,7 @@ ROLES = {"frontline": FRONTLINE, "manager": MANAGER, "analyst": ANALYST, "admin"
 
 
 def role_capabilities(spark: SparkSession) -> DataFrame:
-    """role, capability: configuration, 56 rows."""
+    """role, capability: configuration, 59 rows."""
     return spark.createDataFrame([(r, c) for r, cs in ROLES.items() for c in cs], "role string, capability string")
 
 

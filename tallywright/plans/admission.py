@@ -89,7 +89,7 @@ def member_capabilities(spark, sf_dir):
 def capabilities(spark, sf_dir):
     """Members by capability of their role."""
     m = members(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"))
-    return m.join(F.broadcast(access.role_capabilities(spark)), "role").groupBy("capability").agg(F.sum("n").alias("members"))  # 56 rows
+    return m.join(F.broadcast(access.role_capabilities(spark)), "role").groupBy("capability").agg(F.sum("n").alias("members"))  # 59 rows
 
 
 def scoped_members(spark, sf_dir, organization: str | None = "7"):
