@@ -1,18 +1,18 @@
 """Bulk-synchronous best-fit packing of token sequences.
 
 Documents are encoded once; longer ones are cut into pieces of ``capacity`` ids, a shorter piece first. Pieces are
-range-sorted by length and ranked within it, by Spark. Bands of lengths follow each other, longest first: band j holds the
-lengths of which j, and not j + 1, fill a sequence; short lengths share bands. A superstep sorts the gaps by room and ranks
-them, and sweeps both sorts upwards: each gap takes the longest piece still waiting that it holds (its predecessor; the
-piece has its successor). Where several ask for one gap, ranks decide: in an upward sweep waiting pieces form a stack, so a
-piece's and a gap's height on it follow from counts by size and from their rank, and the two that meet are neighbours at
-one height. Matching is a window over heights. Gaps then shrink, and the next superstep begins. What no gap of a band
-takes opens sequences, in full groups; fewer than a group's worth wait for the last step.
-
-The driver sees counts by length and room, at most two times ``capacity`` numbers, and no piece or gap; the last step's
-pieces are fewer than a sequence's worth for each band, and they are placed by their counts. A height holds at most one piece
-and one gap of each size, and a sequence at most ``capacity`` pieces, so no window's group grows with the input. There are
-at most about 20 bands, whatever the input, with one sweep each where lengths are above capacity / 17.
+range-sorted by length and ranked within it, by Spark. Bands of lengths follow each other, longest first. A superstep
+sweeps gaps and waiting pieces upwards by size: each gap takes the longest piece still waiting that it holds (its
+predecessor; the piece has its successor). Where several ask for one gap, ranks decide: in an upward sweep waiting pieces
+form a stack, so a piece's and a gap's height on it follow from counts by size and from their rank, and the two that meet
+are neighbours at one height. Matching is a window over heights. Gaps then shrink and get their rank among gaps of the new
+room, which follows from their old rank, as gaps of one room that take pieces of one length are neighbours before and
+after. The next superstep begins, until a band's sweep places little; what waits then opens sequences, longest first, in
+the same superstep.
+
+The driver sees counts by length and room, at most a few times ``capacity`` numbers, and no piece or gap. A height holds
+at most one piece and one gap of each size, so no window's group grows with the input. A superstep is one shuffle by
+height and one table; places within a sequence are known when a piece is placed.
 
 Edge cases: a null text is empty and has just the end id; equal rows are packed each for itself; an empty table gives no
 rows; columns other than doc_id and text are ignored.
@@ -21,21 +21,23 @@ rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import keep, ranked
 from .tokens import encoder
 
-#: Bands below capacity / LAST_HARMONIC halve instead.
-LAST_HARMONIC = 16
-
+#: Lengths above capacity / (HARMONICS + 1) have bands of their own by how many fill a sequence; shorter ones share bands.
+HARMONICS, SHARED = 6, 4
+#: A band sweeps on while a sweep places at least one in so many of the pieces that wait.
+LITTLE = 64
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
@@ -60,77 +62,40 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Places for runs of lengths: (length, first rank, ranks, first sequence, ranks a sequence, offset).
-
-    gaps: runs of sequences by the room they have left, as (first sequence, number) intervals.
-    """
-    placed, opened = [], 0
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    rooms: list[int] = []
-
-    def leave(room: int, first: int, number: int) -> None:
-        if room and number:
-            if room not in gaps:
-                gaps[room] = []
-                insort(rooms, room)
-            gaps[room].append((first, number))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
-                number = -(-left // (capacity // length))
-                leave(capacity, opened, number)
-                opened += number
-                continue
-            room = rooms[at]
-            first, number = gaps[room].pop()
-            each = room // length
-            if left < each:
-                each, take = left, 1
-            else:
-                take = min(number, left // each)
-            leave(room, first + take, number - take)
-            if not gaps[room]:
-                del gaps[room]
-                rooms.remove(room)
-            placed.append((length, rank, take * each, first, each, capacity - room))
-            leave(room - each * length, first, take)
-            rank, left = rank + take * each, left - take * each
-    return placed
-
-
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+PLACE = [*PIECE, "sequence_id", "offset", "room", "_gap"]
 
 
-def bands(capacity: int) -> list[tuple[int, int, int]]:
-    """(shortest length, longest, pieces of it that surely fill no more than a sequence; 0: cut by running length)."""
-    out = [(capacity // (j + 1) + 1, capacity // j, j) for j in range(1, LAST_HARMONIC + 1)]
-    high = capacity // (LAST_HARMONIC + 1)
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(shortest length, longest), longest first."""
+    out = [(capacity // (j + 1) + 1, capacity // j) for j in range(1, HARMONICS + 1)]
+    high = capacity // (HARMONICS + 1)
     while high:
-        out.append((high // 2 + 1, high, 0))
-        high //= 2
+        out.append((high // SHARED + 1, high))
+        high //= SHARED
     return [b for b in out if b[0] <= b[1]]
 
 
-def numbers(spark: SparkSession, names: str, rows: list[tuple[int, ...]]) -> DataFrame:
+def numbers(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
     """Whole numbers as a table that is part of the plan: at most a few times capacity of them, all known to the driver."""
-    if not rows:
-        return spark.createDataFrame([], ", ".join(f"{c} long" for c in names.split(", ")))
-    values = ", ".join(f"({', '.join(f'{int(v)}L' for v in row)})" for row in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+    columns = list(zip(*rows)) or [[] for _ in names.split(", ")]
+    return F.broadcast(spark.createDataFrame(pa.table({c: pa.array(v, pa.int64()) for c, v in zip(names.split(", "), columns)})))
 
 
-def sweep(lengths: dict[int, int], rooms: dict[int, int]) -> tuple[dict[int, tuple[int, int]], dict[int, tuple[int, int]], dict[int, int]]:
-    """The upward sweep by counts: length -> (height of rank 0, pieces no gap takes), room -> (height of rank 0, gaps that take one), rooms after.
+def sweep(lengths: dict[int, int], rooms: dict[int, int]) -> tuple[dict, dict, Counter, dict]:
+    """The upward sweep by counts.
 
-    A length's pieces rise from its height by rank, a room's gaps fall from theirs.
+    length -> (height of rank 0, pieces no gap takes), room -> (height of rank 0, gaps that take one), room -> gaps after,
+    and (room, length or 0 for none) -> (room after, number that turns a gap's rank into that after). A length's pieces rise from its height by rank, a room's gaps fall from theirs.
     """
     stack, depth = [], 0
-    first, takes, after = {}, {}, {}
+    first, takes, after, moved = {}, {}, Counter(), {}
     left = dict(lengths)
+
+    def move(room: int, length: int, rank: int, number: int) -> None:
+        moved[room, length] = (room - length, after[room - length] - rank)
+        after[room - length] += number
+
     for size in sorted({*lengths, *rooms}):
         if n := lengths.get(size, 0):
             first[size] = depth
@@ -139,96 +104,123 @@ def sweep(lengths: dict[int, int], rooms: dict[int, int]) -> tuple[dict[int, tup
         gaps = rooms.get(size, 0)
         meet = min(gaps, depth)
         takes[size] = (depth - 1, meet)
-        after[size] = after.get(size, 0) + gaps - meet
         depth -= meet
-        while meet:
-            most = min(meet, left[x := stack[-1]])
+        rank = 0
+        while rank < meet:
+            most = min(meet - rank, left[x := stack[-1]])
             left[x] -= most
-            meet -= most
-            after[size - x] = after.get(size - x, 0) + most
+            move(size, x, rank, most)
+            rank += most
             if not left[x]:
                 stack.pop()
-    return {x: (first[x], left[x]) for x in first}, {r: takes[r] for r in rooms}, {r: n for r, n in after.items() if r and n}
+        if gaps > meet:
+            move(size, 0, meet, gaps - meet)
+    after = Counter({r: n for r, n in after.items() if r and n})
+    return {x: (first[x], left[x]) for x in first}, {r: takes[r] for r in rooms}, after, moved
 
 
-def matched(pieces: DataFrame, gaps: DataFrame, counts: dict[int, int], rooms: dict[int, int], heights: dict, takes: dict) -> DataFrame:
-    """One row a gap (sequence_id, room): the piece it takes, or nulls, and the room left."""
+def matched(pieces: DataFrame, gaps: DataFrame, counts: dict[int, int], swept: tuple[dict, dict, Counter, dict], capacity: int) -> DataFrame:
+    """One row a gap, with the columns PLACE: the piece it takes, or nulls, and the room left."""
     spark = pieces.sparkSession
+    heights, takes, _, moved = swept
     ups = numbers(spark, "_x, _height, _waits, _counted", [(x, h, u, counts[x]) for x, (h, u) in heights.items()])
     downs = numbers(spark, "_x, _height, _takes", [(r, h, n) for r, (h, n) in takes.items()])
-    up = pieces.join(F.broadcast(ups), F.col("length") == F.col("_x")).where("_rank >= _waits AND _rank < _counted")  # bounded by capacity
-    numbered = ranked(gaps, ["room"], ["sequence_id"], "_g", rows=sum(rooms.values()), rows_per_task=2_000_000)
-    down = numbered.join(F.broadcast(downs), F.col("room") == F.col("_x"))  # bounded by capacity
-    asks = up.select((F.col("_height") + F.col("_rank")).alias("_at"), F.col("length").alias("_size"), F.lit(0).alias("_kind"), F.struct(*PIECE, "_rank").alias("_p"), F.lit(None).cast("long").alias("sequence_id"))
-    offers = down.where("_g < _takes").select((F.col("_height") - F.col("_g")).alias("_at"), F.col("room").alias("_size"), F.lit(1).alias("_kind"), F.lit(None).alias("_p"), "sequence_id")
-    pairs = asks.unionByName(offers).withColumn("_p", F.lag("_p").over(Window.partitionBy("_at").orderBy("_size", "_kind"))).where("_kind = 1")
-    met = pairs.select("_p.*", "sequence_id", (F.col("_size") - F.col("_p.length")).alias("room"))
-    return met.unionByName(down.where("_g >= _takes").select("sequence_id", "room"), allowMissingColumns=True)
-
-
-def opened(pieces: DataFrame, waiting: dict[int, int], capacity: int, each: int, first: int) -> tuple[DataFrame, int, dict[int, tuple[int, int]]]:
-    """Waiting pieces, longest first, in full groups as new sequences from number ``first``: (rows, sequences, length -> (first rank, pieces) of what waits for the end)."""
-    starts, before = [], 0
+    shifts = numbers(spark, "_of, _by, room, _shift", [(*k, *v) for k, v in moved.items()])
+    up = pieces.join(ups, F.col("length") == F.col("_x")).where("_rank >= _waits AND _rank < _counted")
+    asks = up.select((F.col("_height") + F.col("_rank")).alias("_at"), F.col("length").alias("_size"), F.lit(0).alias("_kind"), F.struct(*PIECE).alias("_p"))
+    down = gaps.join(downs, F.col("room") == F.col("_x"))
+    offers = down.where("_gap < _takes").select((F.col("_height") - F.col("_gap")).alias("_at"), F.col("room").alias("_size"), F.lit(1).alias("_kind"), "sequence_id", "_gap")
+    together = asks.unionByName(offers, allowMissingColumns=True)
+    pairs = together.withColumn("_p", F.lag("_p").over(Window.partitionBy("_at").orderBy("_size", "_kind"))).where("_kind = 1")
+    met = pairs.select("_p.*", "sequence_id", F.col("_size").alias("_was"), "_gap")
+    kept = down.where("_gap >= _takes").select("sequence_id", F.col("room").alias("_was"), "_gap")
+    rows = met.unionByName(kept, allowMissingColumns=True)
+    rows = rows.join(shifts, (F.col("_was") == F.col("_of")) & (F.coalesce("length", F.lit(0)) == F.col("_by")))
+    return rows.select(*PIECE, "sequence_id", (capacity - F.col("_was")).alias("offset"), "room", (F.col("_gap") + F.col("_shift")).alias("_gap"))
+
+
+def groups(waiting: dict[int, int], capacity: int, sequence: int, rooms: Counter) -> list[tuple[int, ...]]:
+    """Runs of waiting pieces that open sequences: (length, first rank, pieces, first sequence, pieces a sequence, offset, room left, rank of the first gap).
+
+    Full groups of one length, and groups of what is left of the lengths that follow each other. The room is 0 in runs that go on
+    with a group: its first piece has its gap. The new gaps are added to ``rooms``.
+    """
+    runs, fill, begun = [], 0, None
+
+    def close(run: list[int], number: int) -> None:
+        run[7] = rooms[run[6]]
+        rooms[run[6]] += number
+
     for x in sorted(waiting, reverse=True):
-        starts.append((x, before, waiting[x]))
-        before += waiting[x] * (1 if each else x)
-    size = each or capacity - max(waiting) + 1
-    groups = before // size
-    table = numbers(pieces.sparkSession, "_x, _before, _waits", starts)
-    rows = pieces.join(F.broadcast(table), F.col("length") == F.col("_x")).where("_rank < _waits")  # bounded by capacity
-    rows = rows.withColumn("sequence_id", F.expr(f"{first} + (_before + _rank * {'1' if each else '_x'}) div {size}")).where(F.col("sequence_id") < first + groups)
-    rest = {}
-    for x, at, n in starts:
-        step = 1 if each else x
-        if last := n - min(n, max(0, -(-(groups * size - at) // step))):
-            rest[x] = (n - last, last)
-    return rows.select(*PIECE, "_rank", "sequence_id"), groups, rest
+        n, at = waiting[x], 0
+        if begun and (fits := min(n, (capacity - fill) // x)):
+            runs.append([x, 0, fits, begun[3], fits, fill, 0, 0])
+            fill, at = fill + fits * x, fits
+        if at == n:
+            continue
+        if begun:
+            begun[6] = capacity - fill
+            close(begun, 1)
+            begun = None
+        each = capacity // x
+        if full := (n - at) // each:
+            runs.append([x, at, full * each, sequence, each, 0, capacity - each * x, 0])
+            close(runs[-1], full)
+            sequence, at = sequence + full, at + full * each
+        if at < n:
+            begun, fill = [x, at, n - at, sequence, n - at, 0, 0, 0], (n - at) * x
+            runs.append(begun)
+            sequence += 1
+    if begun:
+        begun[6] = capacity - fill
+        close(begun, 1)
+    del rooms[0]
+    return [tuple(run) for run in runs]
+
+
+def opened(pieces: DataFrame, runs: list[tuple[int, ...]]) -> DataFrame:
+    """The pieces of ``runs``, with the columns PLACE; a sequence's first piece has its gap."""
+    table = numbers(pieces.sparkSession, "_x, _first, _n, _sequence, _each, _offset, _room, _gaps", runs)
+    rows = pieces.join(table, F.col("length") == F.col("_x")).withColumn("_at", F.col("_rank") - F.col("_first")).where("_at >= 0 AND _at < _n")
+    gap, new = F.expr("_at div _each"), F.expr("_at % _each = 0 AND _room > 0")
+    offset = F.expr("_offset + (_at % _each) * _x")
+    return rows.select(*PIECE, (F.col("_sequence") + gap).alias("sequence_id"), offset.alias("offset"), F.when(new, F.col("_room")).alias("room"), F.when(new, F.col("_gaps") + gap).alias("_gap"))
+
+
+def supersteps(counts: dict[int, int], capacity: int) -> Iterator[tuple]:
+    """(band, waiting before, sweep or None, runs that open sequences) by counts alone, in their order."""
+    rooms: Counter = Counter()
+    sequences = 0
+    for low, high in bands(capacity):
+        waiting = {x: n for x, n in counts.items() if low <= x <= high}
+        least = min((x for x in counts if x <= high), default=0)
+        while waiting:
+            rooms = Counter({r: n for r, n in rooms.items() if r >= least})
+            total = sum(waiting.values())
+            before, swept = waiting, sweep(waiting, rooms)
+            waiting, rooms = {x: u for x, (_, u) in swept[0].items() if u}, Counter(swept[2])
+            met = total - sum(waiting.values())
+            runs = []
+            if waiting and met * LITTLE < total:
+                runs = groups(waiting, capacity, sequences, rooms)
+                sequences = max(sequences, *(s + -(-n // each) for _, _, n, s, each, *_ in runs))
+                waiting = {}
+            yield (low, high), before, swept, runs
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    spark = docs.sparkSession
     cut = keep(pieces(docs, tokenizer_path, end_id, capacity))
     counts = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity rows
     by_length = ranked(cut, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "_rank", rows=sum(counts.values()))
     cut = keep(by_length.repartitionByRange("length", "_rank").sortWithinPartitions("length", "_rank"))
-    gaps, rooms, sequences, placed, residue = None, {}, 0, [], {}
-
-    def place(rows: DataFrame) -> DataFrame:
-        written = keep(rows.withColumn("_turn", F.lit(len(placed))))
-        placed.append(written.where("_rank IS NOT NULL").drop("room"))
-        return written
-
-    for low, high, each in bands(capacity):
-        waiting = {x: n for x, n in counts.items() if low <= x <= high}
-        least = min((x for x in counts if x <= high), default=0)
-        band = cut.where(F.col("length").between(low, high))
-        met = sum(waiting.values())
-        # A gap holds one piece of a harmonic band; the others sweep on until a sweep places little.
-        while waiting and rooms and met * 64 >= sum(waiting.values()):
-            before, now = waiting, {r: n for r, n in rooms.items() if r >= least}
-            heights, takes, after = sweep(before, now)
-            waiting = {x: u for x, (_, u) in heights.items() if u}
-            met = sum(before.values()) - sum(waiting.values())
-            if met:
-                gaps = place(matched(band, gaps.where(F.col("room") >= least), before, now, heights, takes)).select("sequence_id", "room").where("room > 0")
-                rooms = after
-            if each:
-                break
-        if waiting:
-            rows, groups, rest = opened(band, waiting, capacity, each, sequences)
-            residue |= rest
-            if groups:
-                new = place(rows).groupBy("sequence_id").agg((capacity - F.sum("length")).alias("room")).where("room > 0")
-                for r in new.groupBy("room").count().collect():  # at most capacity rows
-                    rooms[r["room"]] = rooms.get(r["room"], 0) + r["count"]
-                gaps = new if gaps is None else gaps.unionByName(new)
-                sequences += groups
-    plan = [(x, residue[x][0] + a, n, sequences + q, k) for x, a, n, q, k, _ in best_fit({x: n for x, (_, n) in residue.items()}, capacity)]
-    places = numbers(spark, "_x, _first, _n, _sequence, _each", plan)
-    at = F.col("_rank") - F.col("_first")
-    last = cut.join(F.broadcast(places), F.col("length") == F.col("_x")).where((at >= 0) & (at < F.col("_n")))  # bounded by capacity
-    place(last.select(*PIECE, "_rank", F.expr("_sequence + (_rank - _first) div _each").alias("sequence_id")))
-    before = Window.partitionBy("sequence_id").orderBy("_turn", F.desc("length"), "_rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = reduce(DataFrame.unionByName, placed)
-    return everything.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("_rank", "_turn")
+    nothing = cut.where("false").select(*PIECE, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    gaps, placed = None, [nothing]
+    for band, waiting, swept, runs in supersteps(counts, capacity):
+        rows = cut.where(F.col("length").between(*band))
+        parts = [matched(rows, gaps, waiting, swept, capacity)] if gaps is not None else []
+        parts += [opened(rows, runs)] if runs else []
+        step = keep(reduce(DataFrame.unionByName, parts))
+        placed.append(step.where("length IS NOT NULL").select(*nothing.columns))
+        gaps = step.where("room > 0").select("sequence_id", "room", "_gap")
+    return reduce(DataFrame.unionByName, placed)

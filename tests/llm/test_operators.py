@@ -117,17 +117,21 @@ def test_packing(docs, none):
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=20), st.dictionaries(st.integers(1, 40), st.integers(1, 9), max_size=20))
 def test_sweep_is_the_stack_of_single_rows(lengths, rooms):
     """Heights, ranks and counts against an upward sweep over single pieces and gaps."""
-    heights, takes, after = packing.sweep(lengths, rooms)
-    stack, pairs, left = [], set(), defaultdict(int)
+    heights, takes, after, moved = packing.sweep(lengths, rooms)
+    stack, pairs, left, ranks = [], set(), defaultdict(int), defaultdict(list)
     for size in sorted({*lengths, *rooms}):
         stack += [(size, rank) for rank in range(lengths.get(size, 0))]
         for g in range(rooms.get(size, 0)):
             met = stack.pop() if stack else None
             left[size - met[0] if met else size] += 1
+            room, shift = moved[size, met[0] if met else 0]
+            ranks[room].append(g + shift)
+            assert room == size - (met[0] if met else 0)
             if met:
                 pairs.add((met, (size, g)))
     assert {x: sum(1 for s, _ in stack if s == x) for x in lengths} == {x: u for x, (_, u) in heights.items()}
     assert {r: n for r, n in left.items() if r} == after
+    assert all(sorted(r) == list(range(len(r))) for room, r in ranks.items() if room)
     at = [(heights[x][0] + k, x, 0, (x, k)) for x, n in lengths.items() for k in range(n) if k >= heights[x][1]]
     at += [(takes[r][0] - g, r, 1, (r, g)) for r, n in rooms.items() for g in range(n) if g < takes[r][1]]
     ordered = sorted(at)
@@ -162,19 +166,26 @@ def test_packing_of_many_short_and_long_documents(spark):
 
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=20))
-def test_best_fit_equals_best_fit_decreasing(counts):
+def test_supersteps_place_all_and_hardly_open_more_than_best_fit_decreasing(counts):
     rooms: list[int] = []
     for length in sorted((x for x, n in counts.items() for _ in range(n)), reverse=True):
-        fits = [i for i, r in enumerate(rooms) if r >= length]
-        if fits:
-            best = min(fits, key=lambda i: rooms[i])
-            rooms[best] -= length
-        else:
+        best = min((i for i, r in enumerate(rooms) if r >= length), key=lambda i: rooms[i], default=None)
+        if best is None:
             rooms.append(40 - length)
-    plan = packing.best_fit(counts, 40)
-    used = {s + k for _, _, n, s, each, _ in plan for k in range(-(-n // each))}
-    assert len(used) == len(rooms)
-    assert sum(n for _, _, n, *_ in plan) == sum(counts.values())
+        else:
+            rooms[best] -= length
+    placed, fill = defaultdict(int), defaultdict(int)
+    for _, waiting, (heights, *_), runs in packing.supersteps(counts, 40):
+        for x, n in waiting.items():
+            placed[x] += n - heights[x][1]
+        for x, first, n, sequence, each, offset, _, _ in runs:
+            placed[x] += n
+            for k in range(n):
+                assert offset + k % each * x <= 40 - x
+                fill[sequence + k // each] += x
+    assert placed == counts
+    assert max(fill.values(), default=0) <= 40 and sorted(fill) == list(range(len(fill)))
+    assert len(fill) <= len(rooms) * 1.06 + 2
 
 
 # -- sharding, mixing
