@@ -87,9 +87,11 @@ def search_top(embeddings: DataFrame, every: int = 20, top: int = 20, scale: flo
     shards, n = blocks(rows, shard_rows, whole_numbers(scale))
     queries, _ = blocks(rows.where(F.col("vec_id") % every == 0), query_rows, whole_numbers(scale))
 
-    def find(q_rows: np.ndarray, q_vectors: bytes, c_rows: np.ndarray, c_ids: np.ndarray, c_vectors: bytes) -> Iterator:
-        shard = Shard(c_rows, c_ids, np.frombuffer(c_vectors, "<i8").reshape(-1, length))
-        for i, query in enumerate(np.frombuffer(q_vectors, "<i8").reshape(-1, length)):
+    def build(rows: np.ndarray, ids: np.ndarray, weights: bytes) -> Shard:
+        return Shard(rows, ids, np.frombuffer(weights, "<i8").reshape(-1, length))
+
+    def find(shard: Shard, q_rows: np.ndarray, q_weights: bytes) -> Iterator:
+        for i, query in enumerate(np.frombuffer(q_weights, "<i8").reshape(-1, length)):
             yield (i, *shard.top(q_rows[i], query, top))
 
-    return search(queries, shards, n, find, "long", top)
+    return search(queries, shards, n, build, find, "long", top)

@@ -21,6 +21,12 @@ from pyspark.sql import functions as F
 from .vectors import best_of, blocks, search, usable
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; tiny and huge components neither vanish nor overflow in the squares."""
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(1, keepdims=True))
+
+
 def orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """The prefix nearest pivots of each unit vector, nearest first."""
     near = vectors @ pivots.T
@@ -66,22 +72,21 @@ def nearest(embeddings: DataFrame, every: int = 50, top: int = 5, pivots: int =
     all_blocks, n = blocks(rows, block_rows, plain)
     queries, _ = blocks(rows.where(F.col("vec_id") % every == 0), query_rows, plain)
 
-    def find(q_rows: np.ndarray, q_vectors: bytes, c_rows: np.ndarray, c_ids: np.ndarray, c_vectors: bytes) -> Iterator:
-        candidates = np.frombuffer(c_vectors, "<f8").reshape(-1, length)
-        asked = np.frombuffer(q_vectors, "<f8").reshape(-1, length)
-        scale = np.abs(candidates).max(1)  # tiny and huge components must not vanish or overflow in squares
-        size = scale * np.sqrt(((candidates / scale[:, None]) ** 2).sum(1))
-        files = Files(orders(candidates / size[:, None], centres, prefix), len(centres))
-        q_scale = np.abs(asked).max(1)
-        q_size = q_scale * np.sqrt(((asked / q_scale[:, None]) ** 2).sum(1))
-        q_orders = orders(asked / q_size[:, None], centres, prefix)
+    def build(rows: np.ndarray, ids: np.ndarray, vectors: bytes) -> tuple:
+        units = unit(np.frombuffer(vectors, "<f8").reshape(-1, length))
+        return rows, ids, units, Files(orders(units, centres, prefix), len(centres))
+
+    def find(index: tuple, q_rows: np.ndarray, q_vectors: bytes) -> Iterator:
+        c_rows, c_ids, units, files = index
+        asked = unit(np.frombuffer(q_vectors, "<f8").reshape(-1, length))
+        q_orders = orders(asked, centres, prefix)
         count = min(len(c_rows), max(least, int(np.ceil(share * len(c_rows)))))
         for i in range(len(asked)):
             near = files.nearest(q_orders[i], count)
             near = near[c_rows[near] != q_rows[i]]
             if len(near):
-                score = (candidates[near] / size[near, None]) @ (asked[i] / q_size[i])
+                score = (units[near] * asked[i]).sum(1)  # row by row in one order: equal vectors have equal scores
                 best = best_of(c_ids[near], score, top)
                 yield i, c_ids[near[best]], score[best]
 
-    return search(queries, all_blocks, n, find, "double", top)
+    return search(queries, all_blocks, n, build, find, "double", top)

@@ -45,26 +45,31 @@ def blocks(rows: DataFrame, size: int, shape: Callable[[np.ndarray], np.ndarray]
     return keep(rows.repartition(number).mapInPandas(pack, BLOCK_TYPE)), number
 
 
-def search(queries: DataFrame, candidates: DataFrame, n_candidates: int, find: Callable, score_type: str, top: int) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, n_candidates: int, build: Callable, find: Callable, score_type: str, top: int) -> DataFrame:
     """query_id, rank, vec_id, score: the top of all candidates for each query row.
 
-    find(query rows, query vectors, candidate rows, ids, vectors) yields (index of the query, ids, scores), its best ones of
-    one block. Each query block meets each candidate block once, by an equality join on the candidate block's number.
+    build(candidate rows, ids, vectors) makes a block's index; find(index, query rows, query vectors) yields (number of the
+    query, ids, scores), its best ones of that block. Each query block meets each candidate block once, by an equality join
+    on the candidate block's number. The join sorts by it, so a task builds the index of a block once and all query blocks
+    stream through it; it holds one index at a time.
     """
     q = queries.select(F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))).alias("block"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built, index = None, None
         for batch in batches:
             for r in batch.itertuples(index=False):
+                if r.block != built:
+                    built, index = r.block, build(np.frombuffer(r.rows, "i8"), np.frombuffer(r.ids, "i8"), r.vectors)
                 q_rows, q_ids = np.frombuffer(r.q_rows, "i8"), np.frombuffer(r.q_ids, "i8")
-                parts = list(find(q_rows, r.q_vectors, np.frombuffer(r.rows, "i8"), np.frombuffer(r.ids, "i8"), r.vectors))
+                parts = list(find(index, q_rows, r.q_vectors))
                 if parts:
                     n = [len(ids) for _, ids, _ in parts]
                     at = np.repeat([i for i, _, _ in parts], n)
                     yield pd.DataFrame({"q_row": q_rows[at], "query_id": q_ids[at], "vec_id": np.concatenate([i for _, i, _ in parts]), "score": np.concatenate([s for _, _, s in parts])})
 
     best = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
-    found = q.join(candidates, "block").mapInPandas(run, f"q_row long, query_id long, vec_id long, score {score_type}")
+    found = q.join(candidates.hint("merge"), "block").mapInPandas(run, f"q_row long, query_id long, vec_id long, score {score_type}")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallywright.llm import components, langid, linededup, linking, maxscore, minhash, mixing, packing, permindex, pii, sharding, tokenfile
+from tallywright.llm import vectors as vectors_module
 from tallywright.llm.queries import tokenizer_file
 from tallywright.llm.tokens import Encoder
 
@@ -303,6 +304,51 @@ def test_permutation_index_recall(vectors):
     assert hits / total >= 0.9
 
 
+def test_permutation_index_as_shipped(spark):
+    """The shipped parameters on a whole table: recall, and scores, ranks and ties of what is found."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    copies = table.where("vec_id % 50 = 1").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    table = table.unionByName(copies)
+    got = defaultdict(list)
+    for r in permindex.nearest(table).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    rows = [(r.vec_id, np.array(r.embedding, "f8")) for r in table.collect() if r.embedding and None not in r.embedding]
+    rows = [(i, v / np.sqrt((v * v).sum())) for i, v in rows if np.isfinite(v).all() and v.any()]
+    ids, units = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    place = {i: k for k, i in enumerate(ids.tolist())}
+    asked = [i for i in place if i % 50 == 0]
+    assert set(got) == set(asked)
+    hits = 0
+    for q in asked:
+        cosine = units @ units[place[q]]
+        cosine[place[q]] = -2
+        found = sorted(got[q])
+        assert [rank for rank, _, _ in found] == [1, 2, 3, 4, 5]
+        assert all(abs(score - cosine[place[i]]) < 1e-12 for _, i, score in found)
+        assert [(-s, i) for _, i, s in found] == sorted((-s, i) for _, i, s in found)
+        hits += np.sum([s for _, _, s in found] >= np.partition(cosine, -5)[-5] - 1e-12)
+    assert hits / (5 * len(asked)) >= 0.9
+
+
+def test_an_index_is_built_once_a_block(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0 + i]) for i in range(300)], "vec_id long, embedding array<double>")
+    kept, length = vectors_module.usable(rows)
+    candidates, n = vectors_module.blocks(kept, 100, lambda v: v.astype("<f8"))
+    queries, _ = vectors_module.blocks(kept, 10, lambda v: v.astype("<f8"))
+    built = spark.sparkContext.accumulator(0)
+
+    def build(c_rows, ids, _):
+        built.add(1)
+        return ids
+
+    def find(ids, q_rows, _):
+        for i in range(len(q_rows)):
+            yield i, ids[:1], np.zeros(1)
+
+    assert vectors_module.search(queries, candidates, n, build, find, "double", 1).count() == 300
+    assert built.value == n
+
+
 def test_empty_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert maxscore.search_top(none).count() == 0 and permindex.nearest(none).count() == 0
