@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, pii
+from .filteraudit import audit
 from .langid import language_of
 from .linededup import line_components
 from .maxscore import search_top
 from .minhash import near_duplicates
 from .mixing import mix, with_size
-from . import pii
 from .packing import pack
 from .permindex import nearest
 from .sharding import histogram_shards
 from .shared import keep, table
 from .tokenfile import read_token_files, write_token_files
+from .whitening import whitened
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -67,6 +69,24 @@ def op10_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file())
+    return bpe.decoded(ids, tokenizer_file()).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_personal_data": op1_personal_data,
     "op2_histogram_sort": op2_histogram_sort,
@@ -78,6 +98,9 @@ QUERIES = {
     "op8_entropy_balancing": op8_entropy_balancing,
     "op9_fuzzy_lines": op9_fuzzy_lines,
     "op10_fast_similarity_sketch": op10_fast_similarity_sketch,
+    "op11_prefix_bpe": op11_prefix_bpe,
+    "op12_jacobi_whitening": op12_jacobi_whitening,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: For the queries that DuckDB can express.
@@ -107,5 +130,35 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY q_row ORDER BY score DESC, vec_id) AS rank FROM scored
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+    "op13_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), m AS (
+  SELECT part, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic,
+    CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM w
+), c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask
+), f(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)), o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+), s AS (
+  SELECT filter_order, step::INTEGER AS step, f.bit, (SELECT coalesce(sum(g.bit), 0)::INTEGER FROM f g WHERE position(g.f IN filter_order) < step) AS before
+  FROM o JOIN range(1, 6) r(step) ON true JOIN f ON f.f = substr(filter_order, step::INTEGER, 1)
+)
+SELECT part, filter_order, step,
+  coalesce(sum(n) FILTER (mask & (before | bit) = 0), 0)::BIGINT AS kept,
+  coalesce(sum(n) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (mask & before > 0 AND mask & bit > 0), 0)::BIGINT AS redundant,
+  coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & before = 0 AND mask & bit > 0), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (mask & bit > 0), 0)::BIGINT AS shapley
+FROM s JOIN c ON true GROUP BY part, filter_order, step
 """,
 }
