@@ -4,9 +4,11 @@ Lines are compared by their lower-case, trimmed form; blank lines (nothing but w
 line is written once, with a number; all that follows works on those. A line's set holds its distinct shingles of ``K``
 code points (a shorter line is one shingle). Its signature is made of all of them: ``ROWS * BANDS`` fixed points lie evenly on the ring
 of 64-bit hashes, and the coordinate of a point is the first hash at or after it. Two lines agree in a coordinate with the
-probability of their similarity, whatever their lengths. A band joins ``ROWS`` coordinates whose points lie ``STRIDE`` apart: in a
-short line one hash may hold a long arc of the ring, so nearer points would make bands of one hash, and farther ones would let
-one new hash change all bands. At similarity 0.8 a pair shares no band once in 200,000; of two lines of four and five shingles, once in 1000. Candidates are verified on their full sets, links are joined by distributed
+probability of their similarity, whatever their lengths. A band joins ``ROWS`` coordinates whose points lie ``STRIDE`` apart. In a
+line of few shingles one hash holds a long arc of the ring, and coordinates depend on each other. So lines of at most ``FEW`` different
+shingles, and those that can be as similar as asked to one of them, have coordinates of their own: in each the least of the shingles'
+hashes with its number as seed. At similarity 0.8 a pair shares no band once in 200,000, whatever its size (a test counts 50,000
+pairs each of 4 to 64 shared shingles). Candidates are verified on their full sets, links are joined by distributed
 union-find, and of each component the first line (smallest doc_id, then row, then line number) stays.
 
 Band keys are shuffled once. A key that a large share of the lines has is dealt into parts (see ``hot_keys``), so that no
@@ -31,6 +33,8 @@ from .shared import KEY, identity, joined, keep, with_key, written
 #: Code points of a shingle, and bytes of one in UTF-32, where all have the same width.
 K, WIDTH = 8, 4
 ROWS, BANDS, STRIDE = 3, 17, 4
+#: Lines of at most so many different shingles are signed by themselves.
+FEW = 40
 #: The points of the ring of hashes, ascending.
 POINTS = [(i << 64) // (ROWS * BANDS) - (1 << 63) for i in range(ROWS * BANDS)]
 
@@ -66,43 +70,50 @@ def hashes(line: Column) -> Column:
     return bound(F.encode(line, "UTF-32"), cut)
 
 
-def band_keys(lines: DataFrame) -> DataFrame:
-    """node, key: BANDS rows for each row of lines (node, line).
+def band_keys(lines: DataFrame, percent: int = 80) -> DataFrame:
+    """node, key: BANDS rows for each row of lines (node, line), and as many more for sets between FEW and what may be like one of FEW.
 
-    The place of a point among the sorted hashes and points, less the points before it, tells how many hashes lie before it.
+    On the ring, the place of a point among the sorted hashes and points, less the points before it, tells how many hashes lie before it.
     """
     points = F.array(*[F.lit(p) for p in POINTS])
-    ordered = lines.select("node", F.sort_array(hashes(F.col("line"))).alias("ring"))
-    merged = ordered.select("node", "ring", F.sort_array(F.concat("ring", points)).alias("both"))
-    banded = merged.select("node", "ring", "both", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    ordered = lines.select("node", F.sort_array(F.array_distinct(hashes(F.col("line")))).alias("ring"))
+    merged = ordered.select("node", "ring", F.sort_array(F.concat("ring", points)).alias("both"), F.size("ring").alias("n"))
+    none, first = F.array().cast("array<int>"), F.sequence(F.lit(0), F.lit(BANDS - 1))
+    on_ring = F.when(F.col("n") > FEW, first).otherwise(none)
+    own = F.when(F.col("n") * percent <= 100 * FEW, F.transform(first, lambda b: b + BANDS)).otherwise(none)
+    banded = merged.select("node", "ring", "both", F.explode(F.concat(on_ring, own)).alias("band"))
 
     def coordinate(at: Column) -> Column:
         at = F.pmod(at, F.lit(ROWS * BANDS))
         before = F.array_position("both", F.element_at(points, (at + 1).cast("int"))) - 1 - at
         return F.element_at("ring", (F.pmod(before, F.size("ring")) + 1).cast("int"))
 
-    return banded.select("node", F.xxhash64("band", *[coordinate(F.col("band") * ROWS + r * STRIDE) for r in range(ROWS)]).alias("key"))
+    def least(number: Column) -> Column:
+        return F.array_min(F.transform("ring", lambda h: F.xxhash64(h, number)))
+
+    each = [F.when(F.col("band") < BANDS, coordinate(F.col("band") * ROWS + r * STRIDE)).otherwise(least(F.col("band") * ROWS + r)) for r in range(ROWS)]
+    return banded.select("node", F.xxhash64("band", *each).alias("key"))
 
 
 #: One line of so many tells which keys are hot; a key is if it has one line of HOT or more.
 ONE_OF, HOT = 64, 1000
 
 
-def hot_keys(lines: DataFrame) -> DataFrame:
+def hot_keys(lines: DataFrame, percent: int) -> DataFrame:
     """key, parts: band keys that so large a share of all lines has that their members must be dealt into parts.
 
     Found on a sample of lines, as it only decides how rows are spread: which pairs are linked doesn't depend on it. The share a
-    key must have bounds the table to BANDS * HOT rows, whatever the corpus.
+    key must have bounds the table to 2 * BANDS * HOT rows, whatever the corpus.
     """
     sample = lines.where(F.pmod(F.xxhash64("node"), F.lit(ONE_OF)) == 0)
     n = sample.count()
-    counts = band_keys(sample).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= 8 + n / HOT)
+    counts = band_keys(sample, percent).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= 8 + n / HOT)
     return keep(counts.select("key", F.ceil(F.col("n") * HOT / max(n, 1)).alias("parts")))
 
 
-def shared_keys(lines: DataFrame) -> DataFrame:
+def shared_keys(lines: DataFrame, percent: int) -> DataFrame:
     """key, node: the members of all buckets that more than one line is in."""
-    dealt = band_keys(lines).join(F.broadcast(hot_keys(lines)), "key", "left")  # BANDS * HOT rows at most
+    dealt = band_keys(lines, percent).join(F.broadcast(hot_keys(lines, percent)), "key", "left")  # 2 * BANDS * HOT rows at most
     part = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")))
     others = F.count("*").over(Window.partitionBy("part"))  # one long, so that the sort is by radix
     counted = dealt.select("key", "node", part.alias("part"), F.col("parts").isNotNull().alias("hot")).withColumn("n", others)
@@ -152,7 +163,7 @@ def linked_lines(lines: DataFrame, percent: int) -> DataFrame:
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return similar(pairs, texts, percent)
 
-    members = written(shared_keys(lines), "buckets")
+    members = written(shared_keys(lines, percent), "buckets")
     return link(members, load, verify, lambda texts: prefixes(texts, percent), percent)
 
 
