@@ -210,6 +210,23 @@ def test_sharding(docs, none):
     assert sharding.histogram_shards(none).count() == 0
 
 
+def test_one_doc_id_is_parted(spark):
+    """Half of the rows have no doc_id, most others share one, and all texts are equal."""
+    rows = [(None if i % 2 else 7 if i % 3 else i, "the same text") for i in range(2400)]
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for more in ({}, {"rows_per_cell": 20}):
+        got = sharding.histogram_shards(data, **more).collect()
+        by_shard = defaultdict(list)
+        for r in got:
+            by_shard[r.shard].append(r)
+        assert {s: len(rs) for s, rs in by_shard.items()} == {s: 100 for s in range(24)}
+        for s, rs in by_shard.items():
+            assert sorted(r.slot for r in rs) == list(range(100))
+            ids = [r.doc_id or 0 for r in sorted(rs, key=lambda r: r.slot)]
+            assert ids == sorted(ids)
+        assert sorted((r.doc_id or 0) for r in got) == [r.doc_id or 0 for r in sorted(got, key=lambda r: (r.shard, r.slot))]
+
+
 def test_sharding_in_cells_gives_the_same_shards(spark):
     d = spark.createDataFrame([(int(i**1.7), "x" * (i % 50)) for i in range(400)], "doc_id long, text string")
     key = lambda df: sorted((r.doc_id, r.shard, r.slot) for r in df.collect())
@@ -558,6 +575,20 @@ def test_lines_at_the_least_similarity_share_a_band(spark, least):
     assert missed(spark, pairs) <= 1
 
 
+def test_recall_by_number_of_shingles(spark):
+    """50,000 pairs each of similarity 0.8: all shingles of the one, and a quarter more."""
+    missed_pairs = {}
+    for shared in (4, 8, 16, 20, 24, 32, 40, 48, 64):
+        more = shared // 4
+        letters = F.concat(*[F.substring(F.sha2(F.concat(F.col("id"), F.lit(f"-{shared}-{k}")), 256), 1, 60) for k in range(2)])
+        both = spark.range(50_000).select("id", F.substring(letters, 1, shared + 7).alias("x"), F.substring(letters, 1, shared + more + 7).alias("y"))
+        lines = both.select((2 * F.col("id")).alias("node"), F.col("x").alias("line")).unionByName(both.select((2 * F.col("id") + 1).alias("node"), F.col("y").alias("line")))
+        keys = linededup.band_keys(lines).select(F.shiftright("node", 1).alias("pair"), "key", "node").distinct()
+        met = keys.groupBy("pair", "key").count().where("count = 2").select("pair").distinct().count()
+        missed_pairs[shared] = 50_000 - met
+    assert max(missed_pairs.values()) <= 3 and sum(missed_pairs.values()) <= 9, missed_pairs
+
+
 def test_short_lines_take_part_and_blank_ones_stay(spark):
     d = spark.createDataFrame([(1, "ietzte.\n\t\n\na"), (2, "Ietzte. \n\t\n\nstteen erachtz."), (3, "b\nA\nstteen erachtz.")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.deduplicated(d).collect()}
