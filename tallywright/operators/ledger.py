@@ -89,23 +89,6 @@ def transitions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "from_status string, to_status string, legal boolean")
 
 
-def apply_transitions(ledger: DataFrame, requests: DataFrame) -> DataFrame:
-    """Outcome of each request (dedupe_key, to_status, may_act, expected_version, reason_code, note, outcome_id), checked in a fixed order."""
-    legal = transitions(ledger.sparkSession).withColumnRenamed("from_status", "status")
-    rows = requests.join(ledger.select("dedupe_key", "status", "lifecycle_version"), "dedupe_key").join(F.broadcast(legal), ["status", "to_status"])  # 49 rows
-    dismissed_well = F.coalesce(F.col("reason_code").isin(*DISMISSAL_REASONS), F.lit(False)) & (F.length(F.trim(F.coalesce("note", F.lit("")))) > 0)
-    outcome = (
-        F.when(~F.col("may_act"), "not_permitted")
-        .when(~F.col("legal"), "illegal_transition")
-        .when(F.col("lifecycle_version") != F.col("expected_version"), "version_conflict")
-        .when((F.col("to_status") == "dismissed") & ~dismissed_well, "missing_requirement")
-        .when((F.col("to_status") == "resolved") & F.col("outcome_id").isNull(), "missing_requirement")
-        .otherwise("applied")
-    )
-    done = F.col("outcome") == "applied"
-    return rows.withColumn("outcome", outcome).select("dedupe_key", "status", "to_status", "outcome", F.when(done, F.col("to_status")).otherwise(F.col("status")).alias("status_after"), (F.col("lifecycle_version") + done.cast("int")).alias("version_after"))
-
-
 def envelope(ledger: DataFrame, *groups: str) -> DataFrame:
     """Exposure of a set of gaps: never across currencies, never a sum of base values, gaps of low confidence left out."""
     priced = F.col("exposure_high").isNotNull()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admission, detection, findings, governed, intake, metrics
+from . import admission, detection, findings, governed, intake, metrics, ordered
 
-MODULES = (governed, metrics, detection, findings, intake, admission)
+MODULES = (governed, metrics, detection, findings, intake, admission, ordered)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import detect, ledger as book
+from ..operators import detect, folds, ledger as book
 from ..sources import overlay
 from . import detection
 from .detection import mismatch_sql
@@ -118,10 +118,11 @@ def lifecycle_requests(spark, sf_dir):
     targets = F.array(*[F.lit(s) for s in book.STATUSES[1:]])
     rows = ledger(spark, sf_dir)
     requests = rows.select(
-        "dedupe_key", F.element_at(targets, (num() % 6 + 1).cast("int")).alias("to_status"), (num() % 11 != 0).alias("may_act"), F.when(num() % 8 == 0, 2).otherwise(1).alias("expected_version"),
+        "dedupe_key", F.lit(1).alias("ordinal"), F.lit("transition").alias("kind"), F.element_at(targets, (num() % 6 + 1).cast("int")).alias("to_status"), F.lit(None).cast("string").alias("owner"),
+        (num() % 11 != 0).alias("may_act"), F.when(num() % 8 == 0, 2).otherwise(1).alias("expected_version"),
         F.when(num() % 2 == 0, "duplicate").alias("reason_code"), F.lit("seen").alias("note"), F.when(num() % 5 == 0, F.lit("o")).alias("outcome_id"),
     )
-    return book.apply_transitions(rows, requests)
+    return folds.gap_actions(rows, requests).select("dedupe_key", "status", "to_status", "outcome", "status_after", "version_after")
 
 
 def outcome_delta(spark, sf_dir):
@@ -275,7 +276,7 @@ SELECT DISTINCT x.name AS a, y.name AS b FROM c x JOIN c y ON x.name < y.name AN
     "legal_transitions": f"SELECT * FROM {LEGAL}",
     "lifecycle_requests": f"""WITH {BOOK}, r AS (SELECT dedupe_key, scope_id, status, {STATUS}[{N} % 6 + 2] AS to_status FROM ledger),
 j AS (SELECT r.*, CASE WHEN {N} % 11 = 0 THEN 'not_permitted' WHEN NOT legal THEN 'illegal_transition' WHEN {N} % 8 = 0 THEN 'version_conflict' WHEN r.to_status = 'dismissed' AND {N} % 2 <> 0 THEN 'missing_requirement'
-  WHEN r.to_status = 'resolved' AND {N} % 5 <> 0 THEN 'missing_requirement' ELSE 'applied' END AS outcome FROM r JOIN {LEGAL} l ON l.from_status = r.status AND l.to_status = r.to_status)
+  WHEN r.to_status = 'resolved' AND {N} % 5 <> 0 THEN 'missing_requirement' WHEN r.to_status = 'triaged' AND {N} % 4 = 0 THEN 'missing_requirement' ELSE 'applied' END AS outcome FROM r JOIN {LEGAL} l ON l.from_status = r.status AND l.to_status = r.to_status)
 SELECT dedupe_key, status, to_status, outcome, CASE WHEN outcome = 'applied' THEN to_status ELSE status END AS status_after, CASE WHEN outcome = 'applied' THEN 2 ELSE 1 END AS version_after FROM j""",
     "outcome_delta": f"SELECT a.scope_id, round(b.value - a.value, 6) AS delta FROM ({detection.rates_sql(FIRST_RUN)}) a JOIN ({detection.rates_sql()}) b USING (scope_id)",
     "ledger_list": f"WITH {BOOK} SELECT scope_id, severity, last_seen FROM model WHERE status = 'triaged' ORDER BY {RANK}, last_seen DESC, scope_id LIMIT 10 OFFSET 2",
