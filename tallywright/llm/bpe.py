@@ -34,9 +34,9 @@ from .tokens import LONGEST_CACHED, ODD_SPACE, PIECE, _byte_letters
 ENCODED, DECODED = "doc_id long, ids binary", "doc_id long, ids binary, text string"
 NEVER = 1 << 60
 #: Pre-tokens of more bytes are worked on alone; so many characters of texts are looked at together.
-LANE, CHUNK = 48, 4 << 20
-#: Pairs of tokens whose compatibility is kept, in powers of two.
-SLOTS = 20
+LANE, CHUNK = 48, 1 << 20
+#: Pairs of tokens whose compatibility is kept, in powers of two; rows that are worked on together.
+SLOTS, TOGETHER = 21, 512
 
 
 def suffix_automaton(words: list[bytes]) -> tuple[list[dict[int, int]], list[int], list[int]]:
@@ -141,7 +141,7 @@ def vocabulary(path: str) -> Vocabulary:
 class PrefixCoder:
     """Encodes and decodes by a Vocabulary; one for each Python worker."""
 
-    def __init__(self, v: Vocabulary, cached_pieces: int = 400_000):
+    def __init__(self, v: Vocabulary, cached_pieces: int = 200_000):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.v, self.most = v, cached_pieces
@@ -152,6 +152,7 @@ class PrefixCoder:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.spines: tuple[dict[int, list[tuple[int, int]]], ...] = ({}, {})
         self.sizes = np.array([len(t) for t in v.texts], "i8")
+        self.starts, self.blob = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(v.texts), "u1")
         self.slot_keys, self.slot_fits = np.full(1 << SLOTS, -1, "i8"), np.zeros(1 << SLOTS, bool)
 
     @cached_property
@@ -178,34 +179,31 @@ class PrefixCoder:
         At every moment the token before the border and the one after it are on a's and b's spines. Of equal merges the one
         further left is first: one inside a goes before one over the border, and that before one inside b.
         """
-        known = self.pairs.get((a, b))
-        if known is not None:
-            return known
         merges = self._tables[5]
         left, right = self._spine(a, 1), self._spine(b, 0)
         i = j = 0
-        fine = True
         while True:
             (x, x_until), (y, y_until) = left[i], right[j]
             k = merges.get((x, y), NEVER)
             if k < x_until and k <= y_until and k < NEVER:
-                fine = False
-                break
+                return False
             if x_until == y_until == NEVER:
-                break
+                return True
             if x_until <= y_until:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) >= 1 << SLOTS:
+
+    def _remembered(self, a: int, b: int) -> bool:
+        if len(self.pairs) >= self.most:
             self.pairs.clear()
-        self.pairs[a, b] = fine
-        return fine
+        fits = self.pairs[a, b] = self.compatible(a, b)
+        return fits
 
     def last_tokens(self, text: bytes) -> list[int]:
         """The last token of every prefix of a pre-token, the empty one first (-1)."""
         moves, link, length, token, above, _ = self._tables
-        pairs, compatible = self.pairs, self.compatible
+        pairs, remembered = self.pairs, self._remembered
         last = [-1]
         state = matched = 0
         for end, c in enumerate(text, 1):
@@ -217,7 +215,7 @@ class PrefixCoder:
             while True:  # exactly one candidate fits
                 t = token[at]
                 before = last[end - length[at]]
-                if before < 0 or (fits := pairs.get((before, t))) or (fits is None and compatible(before, t)):
+                if before < 0 or (fits := pairs.get((before, t))) or (fits is None and remembered(before, t)):
                     last.append(t)
                     break
                 at = above[at]
@@ -330,8 +328,11 @@ class PrefixCoder:
 
     def decode(self, ids: bytes | None) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
-        texts = self.v.texts
-        return b"".join([texts[i] for i in np.frombuffer(ids or b"", "<u4").tolist() if i < len(texts)]).decode("utf-8", "replace")
+        numbers = np.frombuffer(ids or b"", "<u4").astype("i8")
+        numbers = numbers[numbers < len(self.sizes)]
+        size = self.sizes[numbers]
+        places = np.repeat(self.starts[numbers] + size - np.cumsum(size), size) + np.arange(size.sum())
+        return self.blob[places].tobytes().decode("utf-8", "replace")
 
 
 _CODERS: dict[int, PrefixCoder] = {}
@@ -346,15 +347,17 @@ def _coder(shared) -> PrefixCoder:
 
 
 def _mapped(rows: DataFrame, tokenizer_path: str, make: Callable[[PrefixCoder, list], list[pa.Array]], schema: str) -> DataFrame:
-    """rows of doc_id and one more column, with what make makes of that one in its place."""
+    """rows of doc_id and one more column, with what make makes of that one in its place, a few rows at a time."""
     spark = rows.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(vocabulary(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, names = _coder(shared), [c.split()[0] for c in schema.split(", ")]
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), *make(coder, b.column(1).to_pylist())], names=names)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                b = batch.slice(at, TOGETHER)
+                yield pa.RecordBatch.from_arrays([b.column(0), *make(coder, b.column(1).to_pylist())], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -365,7 +368,16 @@ def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return _mapped(rows, tokenizer_path, lambda coder, texts: [pa.array(coder.encode(texts), pa.binary())], ENCODED)
 
 
-def decoded(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
+def _texts(coder: PrefixCoder, ids: list[bytes]) -> list[pa.Array]:
+    return [pa.array(ids, pa.binary()), pa.array([coder.decode(i) for i in ids], pa.string())]
+
+
+def decode(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, ids and the text that ids stand for, of every row of doc_id and ids."""
-    rows = encoded.select("doc_id", "ids")
-    return _mapped(rows, tokenizer_path, lambda coder, ids: [pa.array(ids, pa.binary()), pa.array([coder.decode(i) for i in ids], pa.string())], DECODED)
+    return _mapped(encoded.select("doc_id", "ids"), tokenizer_path, _texts, DECODED)
+
+
+def round_trip(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """decode(encode(docs)) in one pass: one Python worker a task does both."""
+    rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    return _mapped(rows, tokenizer_path, lambda coder, texts: _texts(coder, coder.encode(texts)), DECODED)

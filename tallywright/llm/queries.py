@@ -70,8 +70,7 @@ def op10_fast_similarity_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file())
-    return bpe.decoded(ids, tokenizer_file()).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file()).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
