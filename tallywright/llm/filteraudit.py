@@ -7,7 +7,8 @@ A: of under 50 words; B: with 100 * distinct words < 65 * words; C: with 100 * l
 E routes documents by the xxhash of their text. A chain of each fingerprint holds full texts, each with its least doc_id; a document
 that is not the least is let go with its bit set. Chains are kept on both sides of the one shuffle: a map task routes one
 document of each text it has met, so a text that a third of all rows share reaches its partition once from each task.
-A map task lets its chains go when they hold ``HELD`` characters. Documents become rows of (doc_id, part, mask of failures);
+A map task lets its chains go when they hold ``HELD`` characters, and there are as many
+partitions as keep those of each below ``PARTITION`` bytes. Documents become rows of (doc_id, part, mask of failures);
 labels are joined to those, and combineByKey merges the masks' counts by part, from which every order follows.
 
 Edge cases: a null text is empty; a null source is the part of the empty string; a document without doc_id is smaller than none and
@@ -33,6 +34,8 @@ FILTERS = "ABCDE"
 BIT = {f: 1 << i for i, f in enumerate(FILTERS)}
 MASKS = np.arange(1 << len(FILTERS))
 HELD = 32 << 20
+#: Bytes of text for each partition of chains, on average.
+PARTITION = 64 << 20
 CAPITALS, SYMBOLS = bytes(range(65, 91)), b"#$%&*|"
 MASKED = "doc_id long, part string, mask int, rows long"
 AUDIT = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
@@ -92,7 +95,8 @@ def masks(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     read = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))).rdd
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), read.getNumPartitions())
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION))
 
     def settled(rows: dict[Row, int], fingerprint: int) -> tuple:
         """Rows whose masks are final go to any partition."""
