@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from .shared import ship
+
 FEW = 12
 #: Symbols of texts that are parsed together.
 CHUNK = 1 << 21
@@ -234,6 +236,7 @@ def group_phrases(model: Model, key: str, group: int, docs: list[np.ndarray]) ->
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, and lang_pred, lang_score, lang_rate (phrases of the best language for each letter or blank; null for ``und``), lang_letters."""
+    ship(docs.sparkSession)
     packed = pickle.dumps(model)
     key = hashlib.sha1(packed).hexdigest()
     names = [c for c in docs.columns if c not in MADE]

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import link, prefix_size
-from .shared import KEY, identity, joined, keep, with_key, written
+from .shared import KEY, identity, joined, keep, sheltered, with_key, written
 
 #: Code points of a shingle, and bytes of one in UTF-32, where all have the same width.
 K, WIDTH = 8, 4
@@ -205,7 +205,8 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     changed = by_row.where((F.size("__stay") < F.col("__lines")) | F.col("__copied"))
     changed = written(changed.withColumnsRenamed({"doc_id": "__doc", "t1": "__t1", "t2": "__t2"}), "changed")
 
-    rows = with_key(docs)
+    rows, names = sheltered(docs, "doc_id", "text")
+    rows = with_key(rows)
     copies = changed.where("__copied")
     single = joined(rows, copies, "inner").dropDuplicates(KEY)
     rows = joined(rows, changed.where("not __copied"), "left")
@@ -214,4 +215,5 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     parts = F.split("text", "\n")
     left = F.array_join(F.transform(F.array_sort("__stay"), lambda i: F.element_at(parts, i + 1)), "\n")
     cleaned = rows.withColumn("text", F.when(F.col("__stay").isNull(), F.col("text")).otherwise(left))
-    return cleaned.where(F.col("__stay").isNull() | F.col("text").rlike(r"\S")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = cleaned.where(F.col("__stay").isNull() | F.col("text").rlike(r"\S")).drop(*KEY, "__stay", "__lines", "__copied")
+    return stay.withColumnsRenamed(names).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .hashing import PRIME, mixed, salts, slices_hash
 from .linking import COMMON, link
-from .shared import KEY, identity, joined, keep, with_key, written
+from .shared import KEY, identity, joined, keep, sheltered, ship, with_key, written
 
 WORDS = 5
 ROWS, BANDS = 5, 21
@@ -128,6 +128,7 @@ def text_chunks(batch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 def sketch_rows(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, t1 and t2 (two hashes of the text), n_shingles, digest (null for an empty set), bands."""
+    ship(docs.sparkSession)
     size, number = shape(percent)
 
     def run(batches: Iterator) -> Iterator:
@@ -290,9 +291,10 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     judged = rows.join(first, "root").withColumn("stays", at == F.col("first"))
     by_key = judged.groupBy("doc_id", "t1", "t2").agg(F.min("stays").alias("stays"), F.count("*").alias("n"))
     changed = keep(by_key.where("not stays or n > 1").withColumnsRenamed({"doc_id": "__doc", "t1": "__t1", "t2": "__t2"}))
-    keyed = with_key(docs)
+    own, names = sheltered(docs, "doc_id", "text")
+    keyed = with_key(own)
     out = joined(keyed, changed, "left_anti")
     copies = changed.where("stays").drop("stays", "n")
     if not copies.isEmpty():
         out = out.unionByName(joined(keyed, copies, "inner").dropDuplicates(KEY))
-    return out.drop(*KEY)
+    return out.drop(*KEY).withColumnsRenamed(names).select(*[F.col(f"`{c}`") for c in docs.columns])

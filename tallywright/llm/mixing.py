@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import keep, ranked
+from .shared import keep, ranked, sheltered, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 RESULTS = ("size", "source_size", "target", "rate", "copies")
@@ -104,6 +104,7 @@ def whole_copies(one: pd.DataFrame, most_copies: int) -> pd.DataFrame:
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_copies: int = 3, most_sources: int = 1_000_000) -> DataFrame:
     """All columns of docs (doc_id, text or size, source needed), and size, source_size, target, rate, copies."""
     spark = docs.sparkSession
+    ship(spark)
     rows = docs if "size" in docs.columns and "text" not in docs.columns else with_size(docs.drop(*RESULTS))
     counts = keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     per_source = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s"), F.sum("n").alias("n"))
@@ -130,7 +131,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most_copies: int
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """The columns of docs, each row as often as its copies say."""
-    own = {c: f"_own_{c}" for c in docs.columns if c in RESULTS}
-    mixed = mix(docs.withColumnsRenamed(own), **options)
+    own, names = sheltered(docs, "doc_id", "text", "source")
+    mixed = mix(own, **options)
     out = mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.drop("_copy", *RESULTS).withColumnsRenamed({v: k for k, v in own.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.drop("_copy", *RESULTS).withColumnsRenamed(names).select(*[F.col(f"`{c}`") for c in docs.columns])

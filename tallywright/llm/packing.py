@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import keep, ranked
+from .shared import keep, ranked, ship
 from .tokens import encoder
 
 #: Lengths above capacity / (HARMONICS + 1) have bands of their own by how many fill a sequence; shorter ones share bands.
@@ -43,6 +43,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     """doc_id, piece, start, length, ids_crc32."""
     end = np.array([end_id], "<u4").tobytes()
 
+    ship(docs.sparkSession)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer_path).encode
         for batch in batches:

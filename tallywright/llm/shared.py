@@ -65,6 +65,12 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.col("doc_id").cast("long").alias(KEY[0]), *identity(F.col("text"), "_key_t"))
 
 
+def sheltered(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but those used under names that nothing else has; and what gives them their own names back."""
+    names = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 def joined(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
     """Joins rows, which have KEY, with others, which have it as __doc, __t1 and __t2."""
     same = F.col(KEY[0]).eqNullSafe(F.col("__doc")) & (F.col(KEY[1]) == F.col("__t1")) & (F.col(KEY[2]) == F.col("__t2"))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import keep, shared_dir
+from .shared import keep, shared_dir, ship
 from .sharding import part_of, sized, splitters
 from .tokens import encoder
 
@@ -131,6 +131,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
     so a task that runs again writes the same file again. The list has at most most_files entries.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     rows = keep(sized(docs).select("doc_id", "size"))
     total, low = rows.agg(F.sum("size"), F.min("doc_id")).first()
