@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tallywright.llm import langid, linededup, minhash, mixing, packing
 from tallywright.llm.queries import tokenizer_file
-from tallywright.llm.shared import table, written
+from tallywright.llm.shared import sheltered, table, written
 
 #: A text of this many letters or more is rejected if not even its best language explains it: more phrases for each letter or blank
 #: than LEAST_KNOWN. Texts of a learned language need about a third of that.
@@ -27,9 +27,11 @@ LONG_ENOUGH, LEAST_KNOWN = 50, 0.6
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and texts in no learned language."""
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
-    found = langid.identify(docs, model)
+    own, names = sheltered(docs, "text")
+    found = langid.identify(own, model)
     unknown = (F.col("lang_pred") == langid.UND) | ((F.col("lang_letters") >= LONG_ENOUGH) & (F.col("lang_rate") > LEAST_KNOWN))
-    return found.where(~unknown).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = found.where(~unknown).drop(*langid.MADE).withColumnsRenamed(names)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
