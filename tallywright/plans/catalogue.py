@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admission, detection, findings, governed, intake, metrics, ordered
+from . import admission, detection, findings, governed, intake, metrics, ordered, streams
 
-MODULES = (governed, metrics, detection, findings, intake, admission, ordered)
+MODULES = (governed, metrics, detection, findings, intake, admission, ordered, streams)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
