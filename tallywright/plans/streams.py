@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from ..operators import ingest
 from ..sources import deliveries, files, overlay, paged
-from ..streaming import ingestion
+from ..streaming import evolving, ingestion, sessions
 from ..streaming.once import working_dir
 from .intake import AS_OF, DELIVERED, KNOWN, WHY, delivered
 
@@ -86,7 +87,70 @@ def cursor_records(spark, sf_dir):
     return rows.select("record_id", "place", F.get_json_object("payload", "$.chars").cast("long").alias("chars"))
 
 
-QUERIES = {f.__name__: f for f in (ingest_staged, ingest_quarantined, ingest_summary, paged_records, cursor_records)}
+def daily_findings(spark, sf_dir) -> DataFrame:
+    """What a run at the end of each day finds: users whose share of errors so far is too high."""
+    e = overlay.table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), (F.col("event_type") == "error").cast("long").alias("error"))
+    days = e.select("day").distinct()  # a row for each day
+    counts = e.groupBy("user_id", "day").agg(F.count("*").alias("n"), F.sum("error").alias("errors"))
+    spine = e.select("user_id").distinct().join(F.broadcast(days))  # a row for each user and day
+    so_far = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    sums = spine.join(counts, ["user_id", "day"], "left").select("user_id", "day", F.sum("n").over(so_far).alias("n"), F.sum("errors").over(so_far).alias("errors"))
+    value = F.round(F.col("errors") / F.col("n").cast("double"), 6)
+    found = sums.where("n >= 30").withColumn("observed", value).where("observed > 0.15")
+    return found.select(F.concat(F.lit("user-"), "user_id").alias("dedupe_key"), (F.col("day") + F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("run_at"), F.lit(1).cast("long").alias("ordinal"), "observed")
+
+
+#: Days of runs that are delivered together; a gap without a finding for STALE_SECONDS is stale.
+DAYS, STALE_SECONDS, FINDING = 6, 2 * 86400, "dedupe_key string, run_at timestamp, ordinal long, observed double"
+
+
+def gap_state(spark, sf_dir):
+    """The ledger as keyed state: the runs of six days at a time come as files, and each finding creates, updates or revives a gap."""
+    top = working_dir(spark)
+    found = daily_findings(spark, sf_dir)
+    found.write.parquet(f"{top}/findings")
+    found = spark.read.schema(FINDING).parquet(f"{top}/findings")
+    first, last = found.agg(F.min("run_at"), F.max("run_at")).first()
+    if first is None:
+        return spark.createDataFrame([], "dedupe_key string, first_seen timestamp_ntz, last_seen timestamp_ntz, updates long, observed double, stale boolean")
+    for k in range((last - first).days // DAYS + 1):  # one delivery after another, as runs come
+        part = F.floor(F.datediff("run_at", F.lit(first)) / DAYS) == k
+        found.where(part).coalesce(1).write.mode("append").parquet(f"{top}/runs")
+    stream = spark.readStream.schema(FINDING).option("maxFilesPerTrigger", 1).parquet(f"{top}/runs")
+    evolving.keep_up(evolving.changes(stream, STALE_SECONDS, "1 day"), top)
+    return evolving.gaps(spark, top)
+
+
+#: Events of a delivery; every LATE-th event comes two deliveries later. Rows more than DELAY behind are late, sessions end after GAP.
+DELIVERIES, LATE, DELAY, GAP = 8, 23, "2 days", "6 hours"
+EVENT = StructType([StructField("event_id", LongType()), StructField("user_id", LongType()), StructField("at", TimestampType())])
+
+
+def event_sessions(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of late rows and sessions, after all deliveries have come."""
+    top = working_dir(spark)
+    e = overlay.table(spark, sf_dir, "events").select(F.col("event_id").cast("long"), F.col("user_id").cast("long"), F.col("ts").cast("timestamp").alias("at"))
+    most = e.agg(F.max("event_id")).first()[0] or 0
+    come = F.floor(F.col("event_id") * DELIVERIES / (most + 1)) + F.when(F.col("event_id") % LATE == 0, 2).otherwise(0)
+    for k in range(DELIVERIES + 2):  # one delivery after another
+        e.where(come == k).coalesce(1).write.mode("append").parquet(f"{top}/events")
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{top}/events")
+    sessions.split(stream, top, "at", DELAY)
+    sessions.close(spark, top, EVENT, "user_id", "at", DELAY, GAP)
+    sessions.sessions(spark, top, EVENT, "user_id", "at", DELAY, GAP)
+    return top
+
+
+def stream_sessions(spark, sf_dir):
+    rows = spark.read.parquet(f"{event_sessions(spark, sf_dir)}/sessions")
+    return rows.select("user_id", F.col("started_at").cast("timestamp_ntz"), F.col("ended_at").cast("timestamp_ntz"), "n")
+
+
+def late_rows(spark, sf_dir):
+    return sessions.rows(spark, event_sessions(spark, sf_dir), EVENT, late=True).select("event_id", "user_id")
+
+
+QUERIES = {f.__name__: f for f in (gap_state, stream_sessions, late_rows, ingest_staged, ingest_quarantined, ingest_summary, paged_records, cursor_records)}
 
 _VERDICT = f"""WITH {DELIVERED}, v AS (
   SELECT *, CASE WHEN occurred_at = '' THEN 'missing_required:occurred_at' WHEN occurred_at = 'not a date' THEN 'type_coerced:occurred_at' WHEN occurred_at LIKE '2031%' THEN 'future_dated:occurred_at' ELSE '' END AS checks FROM d
@@ -98,7 +162,21 @@ _TURNS = f"""WITH t AS (
     ELSE 'sha256:' || sha256('{{"chars":' || chars || ',"conv_id":' || conv_id || ',"turn":' || turn || ',"who":{{"role":"' || role || '"}}}}') END AS record_id
   FROM t
 )"""
+_CAME = f"""WITH e AS (
+  SELECT event_id, user_id, ts, event_id * {DELIVERIES} // (max(event_id) OVER () + 1) + CASE WHEN event_id % {LATE} = 0 THEN 2 ELSE 0 END AS b FROM events
+), h AS (SELECT b, max(m) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM (SELECT b, max(ts) AS m FROM e GROUP BY b)),
+c AS (SELECT e.*, coalesce(ts < high - INTERVAL {DELAY}, false) AS late FROM e JOIN h USING (b))"""
 ORACLE_SQL = {
+    "gap_state": f"""WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), u AS (SELECT DISTINCT user_id FROM events),
+c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2),
+s AS (SELECT user_id, day, sum(n) OVER w AS n, sum(errors) OVER w AS errors FROM u CROSS JOIN d LEFT JOIN c USING (user_id, day) WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+f AS (SELECT 'user-' || user_id AS dedupe_key, CAST(day AS TIMESTAMP) + INTERVAL 1 DAY AS run_at, round(CAST(errors AS DOUBLE) / n, 6) AS observed FROM s WHERE n >= 30)
+SELECT dedupe_key, min(run_at) AS first_seen, max(run_at) AS last_seen, count(*) - 1 AS updates, arg_max(observed, run_at) AS observed,
+  max(run_at) + INTERVAL {STALE_SECONDS} SECOND <= (SELECT max(run_at) FROM f WHERE observed > 0.15) - INTERVAL 1 DAY AS stale FROM f WHERE observed > 0.15 GROUP BY 1""",
+    "late_rows": f"{_CAME} SELECT event_id, user_id FROM c WHERE late",
+    "stream_sessions": f"""{_CAME}, t AS (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL {GAP} THEN 1 ELSE 0 END AS new FROM c WHERE NOT late),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM t)
+SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n FROM g GROUP BY user_id, s""",
     "ingest_staged": f"{_VERDICT} SELECT check_id AS id, product, location_id AS place, TRY_CAST(q AS BIGINT) AS quantity, 1 AS mapping_version FROM w WHERE why = ''",
     "ingest_quarantined": f"{_VERDICT} SELECT check_id, why, q AS quantity FROM w WHERE why <> ''",
     "ingest_summary": f"""{_VERDICT} SELECT count(*) AS records_read, count(*) FILTER (why = '') AS records_written, count(*) FILTER (why <> '') AS records_quarantined,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallywright.operators import ingest
 from tallywright.plans import streams
 from tallywright.sources import deliveries, files, paged
-from tallywright.streaming import ingestion
+from tallywright.streaming import evolving, ingestion, sessions
 
 SF = "/root/testdata/sf0.001"
 
@@ -165,3 +165,78 @@ def test_wrong_options(spark, tmp_path):
         read(spark, str(tmp_path), style="guess").count()
     with pytest.raises(Exception, match="path"):
         spark.read.format("tallywright_pages").load().count()
+
+
+# -- gaps as state
+
+
+def findings(spark, rows):
+    return spark.createDataFrame(rows, "dedupe_key string, at string, ordinal long, observed double").select("dedupe_key", F.col("at").cast("timestamp").alias("run_at"), "ordinal", "observed")
+
+
+def deliver_findings(spark, tmp_path, rows):
+    findings(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/runs")
+
+
+def follow(spark, tmp_path, stale=3 * 86400):
+    stream = spark.readStream.schema(streams.FINDING).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/runs")
+    evolving.keep_up(evolving.changes(stream, stale, "1 day"), str(tmp_path))
+    told = spark.read.schema(evolving.CHANGE).parquet(f"{tmp_path}/changes").collect()
+    now = {r.dedupe_key: (r.first_seen.day, r.last_seen.day, r.updates, r.observed, r.stale) for r in evolving.gaps(spark, str(tmp_path)).collect()}
+    return now, {k: [r.change for r in sorted(told, key=lambda r: r.sequence) if r.dedupe_key == k] for k in now}
+
+
+def test_a_gap_evolves_over_batches_and_a_restart(spark, tmp_path):
+    deliver_findings(spark, tmp_path, [("a", "2024-01-02", 1, 0.1), ("a", "2024-01-02", 2, 0.2), ("b", "2024-01-02", 1, 0.5), ("c", "2024-01-02", 1, None)])
+    deliver_findings(spark, tmp_path, [("a", "2024-01-03", 1, 0.3), ("b", "2024-01-03", 1, 0.6)])
+    now, told = follow(spark, tmp_path)
+    assert now == {"a": (2, 3, 2, 0.3, False), "b": (2, 3, 1, 0.6, False), "c": (2, 2, 0, None, False)}
+    assert told["a"] == ["created", "updated"] and told["c"] == ["created"]
+    # after a restart: the state is there, and a finding of an earlier run doesn't take the measurement back
+    deliver_findings(spark, tmp_path, [("a", "2024-01-02 12:00:00", 1, 0.9), ("b", "2024-01-03", 1, 0.7)])
+    now, told = follow(spark, tmp_path)
+    assert now["a"] == (2, 3, 3, 0.3, False) and now["b"] == (2, 3, 2, 0.7, False)
+    assert follow(spark, tmp_path)[0] == now
+
+
+def test_silence_makes_a_gap_stale_and_a_finding_revives_it(spark, tmp_path):
+    for day, keys in ((2, "ab"), (4, "a"), (8, "a"), (9, "a"), (10, "ab")):
+        deliver_findings(spark, tmp_path, [(k, f"2024-01-{day:02d}", 1, day / 10) for k in keys])
+    now, told = follow(spark, tmp_path)
+    assert now == {"a": (2, 10, 4, 1.0, False), "b": (2, 10, 1, 1.0, False)}
+    assert told["b"] == ["created", "stale", "updated"]
+    deliver_findings(spark, tmp_path, [("a", "2024-01-20", 1, 2.0)])
+    now, told = follow(spark, tmp_path)
+    assert now["b"] == (2, 10, 1, 1.0, True) and not now["a"][4]
+    assert told["b"] == ["created", "stale", "updated", "stale"]
+
+
+# -- late rows and sessions
+
+
+def test_late_rows_and_sessions_over_restarts(spark, tmp_path):
+    top, delay, gap = str(tmp_path), "2 hours", "1 hour"
+
+    def come(*rows):
+        data = spark.createDataFrame([(i, u, t) for i, u, t in rows], "event_id long, user_id long, t string")
+        data.select("event_id", "user_id", F.col("t").cast("timestamp").alias("at")).coalesce(1).write.mode("append").parquet(f"{top}/events")
+
+    def go():
+        stream = spark.readStream.schema(streams.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{top}/events")
+        sessions.split(stream, top, "at", delay)
+        sessions.sessions(spark, top, streams.EVENT, "user_id", "at", delay, gap)
+        found = [(r.user_id, r.started_at.hour, r.ended_at.hour, r.n) for r in spark.read.parquet(f"{top}/sessions").collect()] if (tmp_path / "sessions").exists() and any((tmp_path / "sessions").glob("*.parquet")) else []
+        return sorted(found), sorted(r.event_id for r in sessions.rows(spark, top, streams.EVENT, True).collect())
+
+    day = "2024-01-01 "
+    come((1, 1, day + "01:00:00"), (2, 1, day + "01:30:00"), (3, 2, day + "02:00:00"))
+    come((4, 1, day + "05:00:00"), (5, 1, day + "02:20:00"), (6, 3, None))
+    assert go() == ([], [6]) or go()[1] == [6]
+    come((7, 2, day + "02:30:00"), (8, 2, day + "09:00:00"), (9, 1, day + "03:00:00"))
+    found, late = go()
+    assert late == [6, 7]  # 03:00 is no more than two hours behind 05:00
+    assert go() == (found, late)
+    sessions.close(spark, top, streams.EVENT, "user_id", "at", delay, gap)
+    found, late = go()
+    assert found == [(1, 1, 3, 4), (1, 5, 5, 1), (2, 2, 2, 1), (2, 9, 9, 1)]
+    assert sum(n for *_, n in found) + len(late) == 9
