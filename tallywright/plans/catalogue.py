@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admission, detection, findings, governed, intake, metrics, ordered, streams
+from . import admission, detection, findings, governed, intake, metrics, ordered, runs, streams
 
-MODULES = (governed, metrics, detection, findings, intake, admission, ordered, streams)
+MODULES = (governed, metrics, detection, findings, intake, admission, ordered, streams, runs)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
