@@ -122,13 +122,6 @@ def scan_json(spark, sf_dir):
     return files.json_records(spark.createDataFrame([(p,) for p in PAGES], "page string"), "id").select("record_id")
 
 
-def backfill_windows(spark, sf_dir, start: str = "2024-01-03 06:00:00", end: str = "2024-01-09 18:30:00"):
-    """Daily windows from start to end, the last one clipped."""
-    one = spark.createDataFrame([(start, end)], "s string, e string").select(F.col("s").cast("timestamp_ntz").alias("s"), F.col("e").cast("timestamp_ntz").alias("e"))
-    rows = one.select("e", F.explode(F.sequence("s", F.col("e") - F.expr("INTERVAL 1 SECOND"), F.expr("INTERVAL 1 DAY"))).alias("window_start"))
-    return rows.select("window_start", F.least(F.col("window_start") + F.expr("INTERVAL 1 DAY"), "e").alias("window_end"))
-
-
 def requests(spark, sf_dir) -> DataFrame:
     """A grid of requests dealt over the events."""
     i, u = F.col("event_id"), F.col("user_id")
@@ -194,7 +187,7 @@ def labels(spark, sf_dir):
     return rows.select(k.alias("record_id"), scalars.money(k * 1000 + 5).alias("amount"), scalars.percent(k % 1000 / 1000).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (validate_amounts, labels, validate_csv, apply_mapping, schema_drift_mapping, mapping_preview, transforms, scalar_functions, json_path, json_types, inspect_schema, record_ids, upload_guard, quality_flags, scan_csv, scan_json, backfill_windows, fulfilment_rank, unmet_demand, capacity, tumbling_footfall, stream_dedupe, session_funnel, late_arrivals)}
+QUERIES = {f.__name__: f for f in (validate_amounts, labels, validate_csv, apply_mapping, schema_drift_mapping, mapping_preview, transforms, scalar_functions, json_path, json_types, inspect_schema, record_ids, upload_guard, quality_flags, scan_csv, scan_json, fulfilment_rank, unmet_demand, capacity, tumbling_footfall, stream_dedupe, session_funnel, late_arrivals)}
 
 from .governed import TX  # noqa: E402
 
@@ -238,7 +231,6 @@ ORACLE_SQL = {
     "quality_flags": f"WITH {TX} SELECT concat_ws(',', CASE WHEN ingested_at > occurred_at + INTERVAL 1 DAY THEN 'late_arrival' END, CASE WHEN c > 1 THEN 'duplicate_source_id' END, CASE WHEN channel_id NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') THEN 'unknown_enum' END) AS flags, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY organization_id, location_id, occurred_at, source_key, source_record_id) AS c FROM raw_tx) GROUP BY 1",
     "scan_csv": "SELECT * FROM (VALUES ('a.csv', 1, 'check_id=1;column_3=x;sku=A;sku_2=B'), ('a.csv', 2, 'check_id=2;column_3=-;sku=C;sku_2=-'), ('a.csv', 3, 'check_id=3;column_3=y;column_5=F;sku=D;sku_2=E'), ('b.csv', 1, 'check_id=7;sku=Q'), ('b.csv', 2, 'check_id=8;sku=R')) t(path, row, fields)",
     "scan_json": """SELECT * FROM (VALUES ('p1'), ('p2'), ('sha256:' || sha256('{"v":2}'))) t(record_id)""",
-    "backfill_windows": "SELECT s AS window_start, least(s + INTERVAL 1 DAY, TIMESTAMP '2024-01-09 18:30:00') AS window_end FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-03 06:00:00', TIMESTAMP '2024-01-09 18:29:59', INTERVAL 1 DAY)) AS s)",
     "fulfilment_rank": f"WITH {REQUESTS}, {OFFERS} SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, method) AS INTEGER) AS rank, method, score, CASE WHEN t <= 12 THEN 'About ' || t || ' min' ELSE 'Timing will be confirmed' END AS estimate, reason FROM o",
     "unmet_demand": f"WITH {REQUESTS} SELECT why AS reason, count(*) AS requests FROM c GROUP BY 1",
     "capacity": f"WITH {REQUESTS} SELECT cap AS capacity, count(*) AS requests FROM c GROUP BY 1",
