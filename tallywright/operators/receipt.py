@@ -28,14 +28,6 @@ def rest_reasons(record_id: Column, occurred_at: Column, payload: Column, as_of:
     return reasons(F.when(record_id.isNull() | (record_id == ""), "missing_required:source_record_id"), F.when(occurred_at > as_of, "future_dated:occurred_at"), F.when(empty, "missing_required:payload"))
 
 
-def page_plan(counts: DataFrame, limit: int) -> DataFrame:
-    """One row for each page a client asks for: full pages, then a short or an empty one, which ends the resource."""
-    pages = F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / limit).cast("long"))
-    rows = counts.select("*", F.explode(pages).alias("page"))
-    got = F.least(F.lit(limit).cast("long"), F.col("n") - F.col("page") * limit)
-    return rows.withColumns({"offset": F.col("page") * limit, "rows": got, "last": got < limit})
-
-
 def raw_puts(puts: DataFrame, key: str, order: str, content: str) -> DataFrame:
     """Outcome of each put: the first of a key is stored, equal bytes are there already, other bytes are a conflict.
 

@@ -36,15 +36,10 @@ def validated_then_mapped(spark, sf_dir):
     """Reasons by record: validation's where it has any, else the mapping's."""
     d = delivered(spark, sf_dir)
     checks = ingest.reasons(*ingest.required(("check_id", "occurred_at")), *ingest.timestamps("occurred_at", AS_OF))
-    mapped = ingest.apply_mapping(d.select("*", checks.alias("checks")), KNOWN.__class__({**KNOWN.columns, "checks": "checks"}, KNOWN.transforms, KNOWN.required))
+    mapped = ingest.apply_mapping(d.select("*", checks.alias("checks")), ingest.Mapping({**KNOWN.columns, "checks": "checks"}, KNOWN.transforms, KNOWN.required))
     return mapped.select("id", F.array_join(receipt.validate_then_map(F.col("checks"), F.col("why")), ",").alias("why"))
 
 
-def page_requests(spark, sf_dir):
-    counts = events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
-    return receipt.page_plan(counts, 4).select("user_id", "page", "offset", "rows", "last")
-
-
 def raw_put_outcomes(spark, sf_dir):
     """Objects put under a key a user and hour: kept once, and never overwritten by other bytes."""
     puts = events(spark, sf_dir).select(F.concat_ws("/", "user_id", F.col("event_id") % 2).alias("key"), "event_id", "event_type")
@@ -149,7 +144,7 @@ def exposure_statements(spark, sf_dir):
     return rows.select("record_id", F.array_join(faults, ",").alias("faults"), F.when(F.size(faults) == 0, said).alias("statement"), F.get("assumptions", F.lit(0)).getField("value").alias("assumed"))
 
 
-QUERIES = {f.__name__: f for f in (webhook_verification, validate_rest, validated_then_mapped, page_requests, raw_put_outcomes, audit_trail, mapping_versions, member_organizations, member_capabilities, capabilities, scoped_members, candidate_invariants, candidate_fingerprints, evidence_records, source_suppression, confidence_weights, exposure_statements)}
+QUERIES = {f.__name__: f for f in (webhook_verification, validate_rest, validated_then_mapped, raw_put_outcomes, audit_trail, mapping_versions, member_organizations, member_capabilities, capabilities, scoped_members, candidate_invariants, candidate_fingerprints, evidence_records, source_suppression, confidence_weights, exposure_statements)}
 
 from .intake import DELIVERED, WHY  # noqa: E402
 
@@ -181,7 +176,6 @@ ORACLE_SQL = {
       CASE WHEN event_id % 10 = 0 OR event_id % 14 = 0 THEN 'missing_required:payload' END) AS why FROM events) WHERE why <> ''""",
     "validated_then_mapped": f"""WITH {DELIVERED}, v AS (SELECT *, CASE WHEN occurred_at = '' THEN 'missing_required:occurred_at' WHEN occurred_at = 'not a date' THEN 'type_coerced:occurred_at' WHEN occurred_at LIKE '2031%' THEN 'future_dated:occurred_at' ELSE '' END AS checks FROM d)
       SELECT check_id AS id, CASE WHEN checks <> '' THEN checks ELSE {WHY} END AS why FROM v""",
-    "page_requests": "SELECT user_id, page, page * 4 AS \"offset\", least(4, n - page * 4) AS rows, n - page * 4 < 4 AS last FROM (SELECT user_id, n, unnest(range(0, n // 4 + 1)) AS page FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1))",
     "raw_put_outcomes": """SELECT key, event_id, CASE WHEN event_id = first_id THEN 'stored' WHEN event_type = first_type THEN 'already_there' ELSE 'conflict' END AS outcome, sha256(event_type) AS sha256
       FROM (SELECT *, min(event_id) OVER (PARTITION BY key) AS first_id, first_value(event_type) OVER (PARTITION BY key ORDER BY event_id) AS first_type FROM (SELECT user_id || '/' || event_id % 2 AS key, event_id, event_type FROM events))""",
     "audit_trail": """WITH b AS (SELECT o_orderkey, '{"customer":' || o_custkey || ',"status":"' || o_orderstatus || '"}' AS before FROM orders WHERE o_orderkey % 13 <> 0),

@@ -111,7 +111,9 @@ def gap_timeline(spark, sf_dir):
 
 
 def legal_transitions(spark, sf_dir):
-    return book.transitions(spark)
+    """Every pair of statuses, whether it is legal, and how many gaps of the ledger are where it begins."""
+    gaps = ledger(spark, sf_dir).groupBy(F.col("status").alias("from_status")).agg(F.count("*").alias("gaps"))
+    return book.transitions(spark).join(gaps, "from_status", "left").withColumn("gaps", F.coalesce("gaps", F.lit(0)))
 
 
 def lifecycle_requests(spark, sf_dir):
@@ -273,7 +275,7 @@ ORACLE_SQL = {
   SELECT gap_type, scope_id FROM ({mismatch_sql()}) UNION ALL SELECT gap_type, scope_id FROM ({detection.ORACLE_SQL['det_ratio_threshold']})))
 SELECT DISTINCT x.name AS a, y.name AS b FROM c x JOIN c y ON x.name < y.name AND (x.scope_id = y.scope_id OR x.k = y.k) AND NOT (x.gap_type = y.gap_type AND x.scope_id = y.scope_id)""",
     "gap_timeline": f"SELECT scope_id, min(day) AS first_seen, max(day) AS last_seen, count(*) - 1 AS updates, arg_max(value, day) AS observed FROM ({TIMELINE}) WHERE n >= 30 AND value > 0.05 GROUP BY 1",
-    "legal_transitions": f"SELECT * FROM {LEGAL}",
+    "legal_transitions": f"WITH {BOOK}, n AS (SELECT status AS from_status, count(*) AS gaps FROM ledger GROUP BY 1) SELECT l.*, coalesce(gaps, 0) AS gaps FROM {LEGAL} l LEFT JOIN n USING (from_status)",
     "lifecycle_requests": f"""WITH {BOOK}, r AS (SELECT dedupe_key, scope_id, status, {STATUS}[{N} % 6 + 2] AS to_status FROM ledger),
 j AS (SELECT r.*, CASE WHEN {N} % 11 = 0 THEN 'not_permitted' WHEN NOT legal THEN 'illegal_transition' WHEN {N} % 8 = 0 THEN 'version_conflict' WHEN r.to_status = 'dismissed' AND {N} % 2 <> 0 THEN 'missing_requirement'
   WHEN r.to_status = 'resolved' AND {N} % 5 <> 0 THEN 'missing_requirement' WHEN r.to_status = 'triaged' AND {N} % 4 = 0 THEN 'missing_requirement' ELSE 'applied' END AS outcome FROM r JOIN {LEGAL} l ON l.from_status = r.status AND l.to_status = r.to_status)

@@ -5,20 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import documents, scalars
 from ..operators import ingest, routing
-from ..sources import files, overlay
+from ..sources import overlay
 from ..streaming.once import events_stream, run_once
 
 AS_OF = "2024-02-01T00:00:00Z"
-FILES = [
-    ("a.csv", b"\xef\xbb\xbfcheck_id, sku ,,sku\n1,A,x,B\n\n2,C\n3,D,y,E,F\n"),
-    ("b.csv", b"check_id;sku\n7;Q\n ; \n8;R\n"),
-    ("c.csv", b"check_id\n"),
-]
-PAGES = ['{"data":[{"id":"p1","v":1},{"v":2}],"next":"c2"}', '{"data":[{"id":"p2","v":3}]}', '{"data":[]}']
-
-
 def delivered(spark, sf_dir) -> DataFrame:
     """Stock checks as text, with every kind of fault."""
     e = overlay.table(spark, sf_dir, "events")
@@ -62,10 +54,15 @@ def mapping_preview(spark, sf_dir):
 
 
 def transforms(spark, sf_dir):
-    values = [" 12 ", "+5", "12.5", "1_0", "NaN", "", "  ", "19.99", "2.345", "abc", "2026", "2024-01-05T10:00:00Z", "2024-01-05", None]
+    """Every transform on texts of all shapes, made of the events' numbers."""
+    i, k = F.col("event_id"), F.col("event_id").cast("string")
+    shapes = [F.concat(F.lit(" "), k, F.lit(" ")), F.concat(F.lit("+"), k), F.concat(k, F.lit(".5")), F.concat(F.lit("1_"), k), F.lit("NaN"), F.lit(""), F.lit("  "), F.concat(k, F.lit(".345")), F.concat(F.lit("abc"), k), F.lit(None).cast("string"), F.lit("2024-01-05T10:00:00Z"), F.lit("2024-01-05")]
     c = F.col("v")
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
-    return rows.select("i", scalars.nullify_empty(c).alias("kept"), F.upper(scalars.trim(c)).alias("upper"), scalars.to_int(c).alias("whole"), scalars.to_decimal(c).cast("double").alias("number"), scalars.to_minor_units(c).alias("minor"), scalars.to_timestamp(c).isNotNull().alias("is_time"))
+    rows = overlay.table(spark, sf_dir, "events").select(i.alias("i"), F.element_at(F.array(*shapes), (i % len(shapes) + 1).cast("int")).alias("v"))
+    return rows.select(
+        "i", scalars.nullify_empty(c).alias("kept"), F.upper(scalars.trim(c)).alias("upper"), scalars.to_int(c).alias("whole"), scalars.to_decimal(c).cast("double").alias("number"),
+        scalars.to_minor_units(c).alias("minor"), F.coalesce(scalars.to_timestamp(c).isNotNull(), F.lit(False)).alias("is_time"),
+    )
 
 
 def scalar_functions(spark, sf_dir):
@@ -94,7 +91,7 @@ def inspect_schema(spark, sf_dir):
 def record_ids(spark, sf_dir):
     e = overlay.table(spark, sf_dir, "events")
     natural = F.when(F.col("event_id") % 3 != 0, F.col("event_id").cast("string"))
-    return e.select("event_id", F.coalesce(natural, F.concat(F.lit("sha256:"), F.sha2("props", 256))).alias("record_id"))
+    return e.select("event_id", documents.identity(natural, F.col("props")).alias("record_id"))
 
 
 def upload_guard(spark, sf_dir):
@@ -113,15 +110,6 @@ def quality_flags(spark, sf_dir):
     return raw.select(flags.alias("flags")).groupBy("flags").agg(F.count("*").alias("n"))
 
 
-def scan_csv(spark, sf_dir):
-    found = files.csv_records(spark.createDataFrame([(p, bytearray(c)) for p, c in FILES], "path string, content binary"))
-    return found.select("path", F.split_part("record_id", F.lit(":"), F.lit(2)).cast("int").alias("row"), F.array_join(F.array_sort(F.transform(F.map_entries("payload"), lambda x: F.concat_ws("=", x["key"], F.coalesce(x["value"], F.lit("-"))))), ";").alias("fields"))
-
-
-def scan_json(spark, sf_dir):
-    return files.json_records(spark.createDataFrame([(p,) for p in PAGES], "page string"), "id").select("record_id")
-
-
 def requests(spark, sf_dir) -> DataFrame:
     """A grid of requests dealt over the events."""
     i, u = F.col("event_id"), F.col("user_id")
@@ -187,7 +175,7 @@ def labels(spark, sf_dir):
     return rows.select(k.alias("record_id"), scalars.money(k * 1000 + 5).alias("amount"), scalars.percent(k % 1000 / 1000).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (validate_amounts, labels, validate_csv, apply_mapping, schema_drift_mapping, mapping_preview, transforms, scalar_functions, json_path, json_types, inspect_schema, record_ids, upload_guard, quality_flags, scan_csv, scan_json, fulfilment_rank, unmet_demand, capacity, tumbling_footfall, stream_dedupe, session_funnel, late_arrivals)}
+QUERIES = {f.__name__: f for f in (validate_amounts, labels, validate_csv, apply_mapping, schema_drift_mapping, mapping_preview, transforms, scalar_functions, json_path, json_types, inspect_schema, record_ids, upload_guard, quality_flags, fulfilment_rank, unmet_demand, capacity, tumbling_footfall, stream_dedupe, session_funnel, late_arrivals)}
 
 from .governed import TX  # noqa: E402
 
@@ -217,20 +205,20 @@ ORACLE_SQL = {
     "apply_mapping": f"WITH {DELIVERED} SELECT check_id AS id, product, location_id AS place, TRY_CAST(q AS BIGINT) AS quantity, {WHY} AS why FROM d",
     "schema_drift_mapping": f"WITH {DELIVERED} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(concat_ws(',', nullif({WHY}, ''), 'schema_drift:channel_code'), ',')) AS reason FROM d) GROUP BY 1",
     "mapping_preview": f"WITH {DELIVERED} SELECT count(*) FILTER ({WHY} = '') AS rows, count(*) FILTER ({WHY} <> '') AS rejected, round(CAST(count(*) FILTER ({WHY} <> '') AS DOUBLE) / count(*), 6) AS rejection_rate FROM d",
-    "transforms": """SELECT * FROM (VALUES (0, ' 12 ', '12', 12, 12.0, 1200, FALSE), (1, '+5', '+5', 5, 5.0, 500, FALSE), (2, '12.5', '12.5', NULL, 12.5, 1250, FALSE), (3, '1_0', '1_0', NULL, NULL, NULL, FALSE), (4, 'NaN', 'NAN', NULL, NULL, NULL, FALSE),
-      (5, NULL, '', NULL, NULL, NULL, FALSE), (6, NULL, '', NULL, NULL, NULL, FALSE), (7, '19.99', '19.99', NULL, 19.99, 1999, FALSE), (8, '2.345', '2.345', NULL, 2.345, 234, FALSE), (9, 'abc', 'ABC', NULL, NULL, NULL, FALSE), (10, '2026', '2026', 2026, 2026.0, 202600, FALSE),
-      (11, '2024-01-05T10:00:00Z', '2024-01-05T10:00:00Z', NULL, NULL, NULL, TRUE), (12, '2024-01-05', '2024-01-05', NULL, NULL, NULL, TRUE), (13, NULL, NULL, NULL, NULL, NULL, FALSE)) t(i, kept, upper, whole, number, minor, is_time)""".replace("(0, ' 12 '", "(0::INTEGER, ' 12 '").replace("12.0, 1200", "12.0::DOUBLE, 1200"),
+    "transforms": """WITH e AS (SELECT event_id AS i, event_id % 12 AS s, CAST(event_id AS VARCHAR) AS k FROM events),
+v AS (SELECT *, CASE s WHEN 0 THEN ' ' || k || ' ' WHEN 1 THEN '+' || k WHEN 2 THEN k || '.5' WHEN 3 THEN '1_' || k WHEN 4 THEN 'NaN' WHEN 5 THEN '' WHEN 6 THEN '  ' WHEN 7 THEN k || '.345' WHEN 8 THEN 'abc' || k
+  WHEN 10 THEN '2024-01-05T10:00:00Z' WHEN 11 THEN '2024-01-05' END AS v, CASE s WHEN 0 THEN '.0' WHEN 1 THEN '.0' WHEN 2 THEN '.5' WHEN 7 THEN '.345' END AS rest FROM e)
+SELECT i, CASE WHEN s NOT IN (5, 6) THEN v END AS kept, upper(trim(v)) AS upper, CASE WHEN s IN (0, 1) THEN i END AS whole, CAST(CAST(k || rest AS DECIMAL(18,4)) AS DOUBLE) AS number,
+  CASE s WHEN 0 THEN i * 100 WHEN 1 THEN i * 100 WHEN 2 THEN i * 100 + 50 WHEN 7 THEN i * 100 + 34 END AS minor, s IN (10, 11) AS is_time FROM v""",
     "scalar_functions": """SELECT event_id, 'Seen ' || event_type AS label, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 172800 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age,
       round(least(greatest((value - 10) / 50, 0), 1) * 100, 6) AS scaled, CASE WHEN v % 5 = 0 THEN 'no comparison available' WHEN v > 40 THEN 'up' WHEN v < 40 THEN 'down' ELSE 'unchanged' END AS delta,
       event_type LIKE '%p%c%' AS matches, sha256(props) AS digest, replace(event_type, 'chase', '***') AS redacted FROM (SELECT *, CAST(floor(value) AS BIGINT) AS v, CAST(floor(value) AS BIGINT) * 977 AS s FROM events)""",
     "json_path": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS missing FROM events",
     "json_types": "SELECT CASE json_type(props, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' ELSE 'null' END AS type, count(*) AS n FROM events GROUP BY 1",
     "inspect_schema": "SELECT field, min(event_id) AS first_seen FROM (SELECT event_id, unnest(json_keys(props)) AS field FROM (SELECT * FROM events ORDER BY event_id LIMIT 50)) GROUP BY 1",
-    "record_ids": "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS VARCHAR) ELSE 'sha256:' || sha256(props) END AS record_id FROM events",
+    "record_ids": """SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN CAST(event_id AS VARCHAR) ELSE 'sha256:' || sha256('{"k":' || json_extract_string(props, '$.k') || '}') END AS record_id FROM events""",
     "upload_guard": "SELECT CASE WHEN strlen(coalesce(html, '')) > 6000 THEN 'too_large' WHEN html LIKE 'MZ%' THEN 'executable' WHEN strlen(coalesce(html, '')) = 0 THEN 'empty' ELSE 'accepted' END AS verdict, count(*) AS n FROM pages GROUP BY 1",
     "quality_flags": f"WITH {TX} SELECT concat_ws(',', CASE WHEN ingested_at > occurred_at + INTERVAL 1 DAY THEN 'late_arrival' END, CASE WHEN c > 1 THEN 'duplicate_source_id' END, CASE WHEN channel_id NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE', 'HOUSEHOLD') THEN 'unknown_enum' END) AS flags, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY organization_id, location_id, occurred_at, source_key, source_record_id) AS c FROM raw_tx) GROUP BY 1",
-    "scan_csv": "SELECT * FROM (VALUES ('a.csv', 1, 'check_id=1;column_3=x;sku=A;sku_2=B'), ('a.csv', 2, 'check_id=2;column_3=-;sku=C;sku_2=-'), ('a.csv', 3, 'check_id=3;column_3=y;column_5=F;sku=D;sku_2=E'), ('b.csv', 1, 'check_id=7;sku=Q'), ('b.csv', 2, 'check_id=8;sku=R')) t(path, row, fields)",
-    "scan_json": """SELECT * FROM (VALUES ('p1'), ('p2'), ('sha256:' || sha256('{"v":2}'))) t(record_id)""",
     "fulfilment_rank": f"WITH {REQUESTS}, {OFFERS} SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, method) AS INTEGER) AS rank, method, score, CASE WHEN t <= 12 THEN 'About ' || t || ' min' ELSE 'Timing will be confirmed' END AS estimate, reason FROM o",
     "unmet_demand": f"WITH {REQUESTS} SELECT why AS reason, count(*) AS requests FROM c GROUP BY 1",
     "capacity": f"WITH {REQUESTS} SELECT cap AS capacity, count(*) AS requests FROM c GROUP BY 1",

@@ -73,7 +73,14 @@ def metric_rollup(spark, sf_dir):
 
 
 def metric_catalogue(spark, sf_dir):
-    return catalogue(spark, REGISTRY)
+    """What may be shown of each metric, and how many rows the organization has to compute it from."""
+    sources = {"stock_truth": governed.stock_truth, "data_quality": governed.data_quality, "transactions": governed.transactions}
+    counts = None
+    for name, of in sources.items():
+        one = of(spark, sf_dir).where(F.col("organization_id") == ORG).agg(F.lit(name).alias("source"), F.count("*").alias("records"))
+        counts = one if counts is None else counts.unionByName(one)
+    source = spark.createDataFrame([(m.key, m.version, m.source) for m in REGISTRY.metrics.values()], "metric_key string, version int, source string")
+    return catalogue(spark, REGISTRY).join(source, ["metric_key", "version"]).join(counts, "source").drop("source")
 
 
 def quality_not_null(spark, sf_dir):
@@ -108,9 +115,14 @@ def quality_monotonic(spark, sf_dir):
     return violations("monotonic_non_decreasing", daily_completeness(spark, sf_dir), "day", ("source_key",))
 
 
-def valid_on(spark, sf_dir, day: dt.date = dt.date(2023, 6, 1)):
-    rows = [(m.key, m.version, m.query_hash()) for m in REGISTRY.metrics.values() if m.valid_on(day)]
-    return spark.createDataFrame(rows, "metric_key string, version int, query_hash string").drop("query_hash")
+def valid_on(spark, sf_dir):
+    """Orders by the version of each metric that is valid on their day."""
+    rows = [(m.key, m.version, m.valid_from, m.valid_to) for m in REGISTRY.metrics.values()]
+    versions = spark.createDataFrame(rows, "metric_key string, version int, valid_from date, valid_to date")
+    # orders are of the nineties; 28 years on their days fall on both sides of the versions' limits
+    days = overlay.table(spark, sf_dir, "orders").groupBy(F.add_months(F.to_date("o_orderdate"), 12 * 28).alias("day")).agg(F.count("*").alias("n"))
+    valid = (F.col("day") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
+    return days.join(F.broadcast(versions), valid).groupBy("metric_key", "version").agg(F.sum("n").alias("orders"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
 def own_baseline(spark, sf_dir):
@@ -155,6 +167,7 @@ SUM = f"WITH {STOCK} SELECT location_id, round(sum(CASE WHEN discrepancy > 0 THE
 DAYS = f"WITH {QUALITY}, d AS (SELECT source_key, day, round(CAST(sum(accepted_records) AS DOUBLE) / sum(total_records), 6) AS value, count(*) AS observations FROM dq WHERE organization_id = '1' GROUP BY 1, 2)"
 REV = "CAST(sum(amount_minor) AS BIGINT) AS value, count(*) AS observations FROM tx WHERE organization_id = '1'"
 MONTHS = f"WITH {TX}, m AS (SELECT location_id, CAST(date_trunc('month', occurred_at) AS DATE) AS month, CAST(sum(amount_minor) AS BIGINT) AS revenue FROM tx GROUP BY 1, 2)"
+VERSIONS = ", ".join(f"('{m.key}', {m.version}, DATE '{m.valid_from}', CAST({f"'{m.valid_to}'" if m.valid_to else 'NULL'} AS DATE))" for m in REGISTRY.metrics.values())
 ORACLE_SQL = {
     "metric_stock_discrepancy_rate": SDR,
     "metric_superseded_version": SDR.replace("> 0)", "> 20)"),
@@ -166,18 +179,21 @@ ORACLE_SQL = {
     "metric_grain_override": f"WITH {TX} SELECT channel_id, {REV} GROUP BY 1",
     "metric_join_path": f"WITH {TX} SELECT n_name AS location_name, CAST(sum(amount_minor) AS BIGINT) AS value, count(*) AS observations FROM tx JOIN nation ON CAST(n_nationkey AS VARCHAR) = location_id WHERE organization_id = '1' GROUP BY 1",
     "metric_rollup": f"WITH {TX} SELECT location_id, channel_id, {REV} GROUP BY ROLLUP (location_id, channel_id)",
-    "metric_catalogue": """SELECT * FROM (VALUES
-      ('stock_discrepancy_rate', 1, 'ratio', 'location_id', 'variant_id', 'between_0_and_1,denominator_min_30,not_null', TRUE),
-      ('stock_discrepancy_rate', 2, 'ratio', 'location_id', 'variant_id', 'between_0_and_1,denominator_min_30,not_null', TRUE),
-      ('stock_units_missing', 1, 'count', 'location_id', 'variant_id', 'non_negative', TRUE),
-      ('data_completeness', 1, 'ratio', 'source_key', 'day', 'between_0_and_1', TRUE),
-      ('revenue', 1, 'money', 'location_id', 'channel_id', 'non_negative', TRUE)) t(metric_key, version, unit, grain, dimensions, tests, certified)""",
+    "metric_catalogue": f"""WITH {STOCK}, {QUALITY}, {TX.strip()}, n AS (SELECT 'stock_truth' AS source, count(*) AS records FROM truth WHERE organization_id = '1' UNION ALL SELECT 'data_quality', count(*) FROM dq WHERE organization_id = '1'
+  UNION ALL SELECT 'transactions', count(*) FROM tx WHERE organization_id = '1')
+SELECT metric_key, version, unit, grain, dimensions, tests, certified, records FROM (VALUES
+      ('stock_discrepancy_rate', 1, 'ratio', 'location_id', 'variant_id', 'between_0_and_1,denominator_min_30,not_null', TRUE, 'stock_truth'),
+      ('stock_discrepancy_rate', 2, 'ratio', 'location_id', 'variant_id', 'between_0_and_1,denominator_min_30,not_null', TRUE, 'stock_truth'),
+      ('stock_units_missing', 1, 'count', 'location_id', 'variant_id', 'non_negative', TRUE, 'stock_truth'),
+      ('data_completeness', 1, 'ratio', 'source_key', 'day', 'between_0_and_1', TRUE, 'data_quality'),
+      ('revenue', 1, 'money', 'location_id', 'channel_id', 'non_negative', TRUE, 'transactions')) t(metric_key, version, unit, grain, dimensions, tests, certified, source) JOIN n USING (source)""",
     "quality_not_null": f"SELECT location_id, CAST(NULL AS DOUBLE) AS value, observations FROM ({SDR}) WHERE value IS NULL OR observations % 2 = 1",
     "quality_between": f"SELECT * FROM ({SUM}) WHERE value < 0 OR value > 1",
     "quality_non_negative": f"SELECT location_id, CASE WHEN observations % 2 = 1 THEN -value ELSE value END AS value, observations FROM ({SUM}) WHERE CASE WHEN observations % 2 = 1 THEN -value ELSE value END < 0",
     "quality_sufficiency": f"SELECT * FROM ({SDR.replace('SELECT location_id, round', 'SELECT variant_id, round')}) WHERE observations < 30",
     "quality_monotonic": f"{DAYS} SELECT source_key, day, value, observations FROM (SELECT *, lag(value) OVER (PARTITION BY source_key ORDER BY day) AS b FROM d) WHERE value < b",
-    "valid_on": "SELECT * FROM (VALUES ('stock_discrepancy_rate', 1), ('stock_units_missing', 1), ('data_completeness', 1), ('revenue', 1)) t(metric_key, version)",
+    "valid_on": f"""WITH v AS (SELECT * FROM (VALUES {VERSIONS}) t(metric_key, version, valid_from, valid_to)), d AS (SELECT CAST(CAST(o_orderdate AS DATE) + INTERVAL 336 MONTH AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
+SELECT metric_key, version, CAST(sum(n) AS BIGINT) AS orders, min(day) AS first_day, max(day) AS last_day FROM d JOIN v ON day >= valid_from AND (valid_to IS NULL OR day < valid_to) GROUP BY 1, 2""",
     "own_baseline": f"{DAYS} SELECT source_key, day, value, round(avg(value) OVER (PARTITION BY source_key ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS baseline_value FROM d",
     "prior_period": f"{MONTHS} SELECT n.location_id, n.month, n.revenue, p.revenue AS prior_revenue FROM m n LEFT JOIN m p ON p.location_id = n.location_id AND CAST(p.month + INTERVAL 12 MONTH AS DATE) = n.month",
     "window_delta": f"{MONTHS} SELECT location_id, month, revenue, revenue - b AS absolute_delta, round(CAST(revenue - b AS DOUBLE) / nullif(b, 0) * 100, 4) AS percentage_delta FROM (SELECT *, lag(revenue) OVER (PARTITION BY location_id ORDER BY month) AS b FROM m)",

@@ -33,6 +33,13 @@ def delivered_stream(spark: SparkSession, folder: str) -> DataFrame:
     return files.csv_records(found.load(folder))
 
 
+def scan_csv(spark, sf_dir):
+    """Every record of the delivered files, whatever their separators."""
+    found = files.read_csv(spark, deliver(spark, sf_dir, f"{working_dir(spark)}/delivered"))
+    field = lambda name: F.coalesce(F.element_at("payload", name), F.lit("")).alias(name)
+    return found.select(field("check_id"), field("location_id"), field("sku"), field("observed_quantity"), F.size("payload").alias("fields"))
+
+
 def ingested(spark: SparkSession, sf_dir: str) -> ingestion.Job:
     """The job, after everything delivered has gone through it."""
     top = working_dir(spark)
@@ -75,6 +82,20 @@ def paged_records(spark, sf_dir):
     return rows.select("record_id", F.col("page").cast("long").alias("page"), "place", F.get_json_object("payload", "$.who.role").alias("role"))
 
 
+def scan_json(spark, sf_dir):
+    """The same records from whole page files, without the connector."""
+    folder = deliveries.write_pages(turns(spark, sf_dir), f"{working_dir(spark)}/turns", ["conv_id", "turn"], PAGE)
+    pages = spark.read.option("wholetext", True).text(folder).select(F.col("value").alias("page"))
+    return files.json_records(pages, "id").select("record_id", F.get_json_object("payload", "$.who.role").alias("role"))
+
+
+def page_requests(spark, sf_dir):
+    """The pages that were asked for, in turn: full ones, then the last."""
+    folder = deliveries.write_pages(turns(spark, sf_dir), f"{working_dir(spark)}/turns", ["conv_id", "turn"], PAGE)
+    pages = _read(spark, folder, style="page_number").groupBy(F.col("page").cast("long").alias("page")).agg(F.count("*").alias("rows"))
+    return pages.withColumns({"offset": (F.col("page") - 1) * PAGE, "full": F.col("rows") == PAGE})
+
+
 def cursor_records(spark, sf_dir):
     """Records of an interface whose pages name the next one, read as a stream."""
     top = working_dir(spark)
@@ -150,7 +171,7 @@ def late_rows(spark, sf_dir):
     return sessions.rows(spark, event_sessions(spark, sf_dir), EVENT, late=True).select("event_id", "user_id")
 
 
-QUERIES = {f.__name__: f for f in (gap_state, stream_sessions, late_rows, ingest_staged, ingest_quarantined, ingest_summary, paged_records, cursor_records)}
+QUERIES = {f.__name__: f for f in (gap_state, stream_sessions, late_rows, ingest_staged, ingest_quarantined, ingest_summary, paged_records, cursor_records, scan_csv, scan_json, page_requests)}
 
 _VERDICT = f"""WITH {DELIVERED}, v AS (
   SELECT *, CASE WHEN occurred_at = '' THEN 'missing_required:occurred_at' WHEN occurred_at = 'not a date' THEN 'type_coerced:occurred_at' WHEN occurred_at LIKE '2031%' THEN 'future_dated:occurred_at' ELSE '' END AS checks FROM d
@@ -181,6 +202,9 @@ SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n FROM g
     "ingest_quarantined": f"{_VERDICT} SELECT check_id, why, q AS quantity FROM w WHERE why <> ''",
     "ingest_summary": f"""{_VERDICT} SELECT count(*) AS records_read, count(*) FILTER (why = '') AS records_written, count(*) FILTER (why <> '') AS records_quarantined,
   CASE WHEN count(*) FILTER (why <> '') = 0 THEN 'succeeded' WHEN count(*) FILTER (why = '') = 0 THEN 'failed' ELSE 'partial' END AS outcome FROM w""",
+    "scan_csv": f"WITH {DELIVERED} SELECT check_id, coalesce(location_id, '') AS location_id, upper(product) AS sku, q AS observed_quantity, 5 AS fields FROM d",
+    "scan_json": f"{_TURNS} SELECT record_id, role FROM p",
+    "page_requests": f"""{_TURNS} SELECT page, count(*) AS rows, (page - 1) * {PAGE} AS "offset", count(*) = {PAGE} AS "full" FROM p GROUP BY page""",
     "paged_records": f"{_TURNS} SELECT record_id, page, place, role FROM p",
     "cursor_records": f"{_TURNS} SELECT record_id, place, chars FROM p",
 }

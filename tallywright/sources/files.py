@@ -1,4 +1,4 @@
-"""Delivered files: CSV with all its irregularities, JSON pages, and content-addressed raw objects."""
+"""Delivered files: CSV with all its irregularities, and JSON pages."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import documents
+
 DELIMITERS = ",;\t|"
 
 
@@ -63,16 +65,12 @@ def csv_records(files: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return csv_records(spark.read.format("binaryFile").load(path))
+    """The records of all files below a folder."""
+    return csv_records(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path))
 
 
 def json_records(pages: DataFrame, id_field: str) -> DataFrame:
-    """record_id and payload (JSON) of the items of pages shaped {"data": [...]}: the natural id, or the sha256 of the item."""
+    """record_id and payload (JSON) of the items of pages shaped {"data": [...]}: the natural id, or the digest of the canonical item."""
     item = F.explode(F.from_json(F.get_json_object("page", "$.data"), "array<string>")).alias("payload")
     natural = F.get_json_object("payload", f"$.{id_field}")
-    return pages.select(item).select(F.coalesce(natural, F.concat(F.lit("sha256:"), F.sha2("payload", 256))).alias("record_id"), "payload")
-
-
-def raw_key(organization: str, connector: str, resource: str, day: str) -> F.Column:
-    """Where an object with that content lives: the same bytes always at the same place."""
-    return F.concat_ws("/", F.lit("org"), F.lit(organization), F.lit(connector), F.lit(resource), F.lit(day), F.sha2("content", 256))
+    return pages.select(item).select(documents.identity(natural, F.col("payload")).alias("record_id"), "payload")
