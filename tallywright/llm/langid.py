@@ -21,10 +21,10 @@ import hashlib
 import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
@@ -33,6 +33,10 @@ from .shared import ship
 FEW = 12
 #: Symbols of texts that are parsed together.
 CHUNK = 1 << 21
+#: Rows whose texts are unpacked together.
+TOGETHER = 2048
+#: Symbols of a piece of a long text, and of its head, in which the true parse meets the piece's.
+PIECE, HEAD = 1024, 32
 UND = "und"
 MADE = ("lang_pred", "lang_score", "lang_rate", "lang_letters")
 FLAG = 1 << 30
@@ -103,10 +107,31 @@ def suffix_automaton(symbols: list[int]) -> list[tuple[int, int, int]]:
     return [(s, c, t) for s, out in enumerate(go) for c, t in out.items()]
 
 
+def edges_of(symbols: np.ndarray) -> np.ndarray:
+    return np.array(suffix_automaton(symbols.tolist()), "i4")
+
+
+def built(spark: SparkSession, symbols: list[np.ndarray]) -> list[np.ndarray]:
+    """The automata's edges, each made in a task: their construction takes far more memory than they do."""
+    ship(spark)
+    rows = spark.createDataFrame([(i, bytearray(s.astype("u1").tobytes())) for i, s in enumerate(symbols)], "i int, symbols binary")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            made = [edges_of(np.frombuffer(s, "u1")).tobytes() for s in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["i", "edges"])
+
+    found = rows.repartition(max(1, len(symbols)), "i").mapInArrow(run, "i int, edges binary").collect()
+    return [np.frombuffer(r["edges"], "i4").reshape(-1, 3) for r in sorted(found, key=lambda r: r["i"])]
+
+
 class Model:
     """Languages, the alphabet, and the automata's edges; small enough to go with the tasks' code."""
 
-    def __init__(self, samples: dict[str, np.ndarray]):
+    def __init__(self, samples: dict[str, np.ndarray], build: Callable[[list[np.ndarray]], list[np.ndarray]] | None = None):
+        """build makes the edges of the automata of several symbol arrays; without it they are made here."""
         self.langs = sorted(samples)
         counts = Counter(p for s in samples.values() for p in s.tolist() if p)
         ordered = [p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))]
@@ -118,7 +143,8 @@ class Model:
         self.unknown = 1 + min(len(ordered), LETTERS)
         self.width = self.unknown + 1 + (DIGITS * BASE if len(ordered) > LETTERS else 0)
         self.lengths = [max(2, len(samples[x])) for x in self.langs]
-        self.edges = [np.array(suffix_automaton(self.symbols(samples[x]).tolist()), "i4") for x in self.langs]
+        symbols = [self.symbols(samples[x]) for x in self.langs]
+        self.edges = build(symbols) if build else [edges_of(s) for s in symbols]
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
         if not len(self.known):
@@ -183,10 +209,19 @@ def learn(labelled: DataFrame, docs_per_language: int = 64, chars_per_language:
         sample = np.concatenate(parts)[:share]
         if sample.any():
             samples[lang] = sample
-    return Model(samples)
+    return Model(samples, lambda symbols: built(labelled.sparkSession, symbols))
 
 
 _TABLES: dict[str, tuple] = {}
+_MODELS: dict[str, Model] = {}
+
+
+def unpacked(key: str, packed: bytes) -> Model:
+    """One for each Python worker."""
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = pickle.loads(packed)
+    return _MODELS[key]
 
 
 def phrases(model: Model, key: str, docs: list[np.ndarray]) -> np.ndarray:
@@ -217,23 +252,59 @@ def group_phrases(model: Model, key: str, group: int, docs: list[np.ndarray]) ->
             count[:, :n] += v >> 30
         state[:, :n] = v & (FLAG - 1)
         done = t + 1
-    cells = memoryview(table)
-    for lane in range(int(live[done]) if done < len(live) else 0):
-        rest = all_symbols[begin[lane] + done : begin[lane] + size[lane]].tolist()
-        for i in range(langs):
-            at, n = int(state[i, lane]), int(count[i, lane])
-            if not done:
-                at = cells[at + rest[0]] & (FLAG - 1)
-            for c in rest if done else rest[1:]:
-                at = cells[at + c]
-                n += at >> 30
-                at &= FLAG - 1
-            count[i, lane] = n
+    few = int(live[done]) if done < len(live) else 0
+    if few:
+        if not done:
+            state[:, :few] = table.take(state[:, :few] + all_symbols[begin[:few]].astype("i4")) & (FLAG - 1)
+            done = 1
+        _long_lanes(table, starts, state[:, :few], count[:, :few], [all_symbols[b + done : b + n] for b, n in zip(begin[:few].tolist(), size[:few].tolist())])
     out = np.zeros((langs, len(docs)), "i8")
     out[:, order] = np.where(size > 0, count, 0)
     return out
 
 
+def _long_lanes(table: np.ndarray, starts: np.ndarray, state: np.ndarray, count: np.ndarray, rests: list[np.ndarray]) -> None:
+    """Adds the phrases of the rests of a few long texts to count.
+
+    Pieces of PIECE symbols are parsed side by side, each as if a phrase began there. The true parse goes into a piece with
+    another state and meets that of the piece within a few symbols; from there on they are one.
+    """
+    lanes = [lane for lane, r in enumerate(rests) for _ in range(len(r) // PIECE)]
+    heads, ends = [], None
+    if lanes:
+        symbols = np.concatenate([r[: len(r) // PIECE * PIECE] for r in rests]).reshape(-1, PIECE).astype("i4")
+        own, n = np.repeat(starts[:, None], len(lanes), 1), np.zeros((len(starts), len(lanes)), "i4")
+        for t in range(PIECE):
+            v = table.take(own + symbols[:, t])
+            n += v >> 30
+            own = v & (FLAG - 1)
+            if t < HEAD:
+                heads.append((own, n.astype("u1")))
+        ends = own, n
+    cells, piece = memoryview(table), 0
+    for lane, rest in enumerate(rests):
+        whole = len(rest) // PIECE
+        for i in range(len(starts)):
+            at, total = int(state[i, lane]), int(count[i, lane])
+            for k in range(whole + 1):
+                part = rest[k * PIECE : (k + 1) * PIECE]
+                for t, c in enumerate(part.tolist() if k == whole else part[:HEAD].tolist()):
+                    at = cells[at + c]
+                    total += at >> 30
+                    at &= FLAG - 1
+                    if k < whole and at == heads[t][0][i, piece + k]:
+                        total += int(ends[1][i, piece + k]) - int(heads[t][1][i, piece + k])
+                        at = int(ends[0][i, piece + k])
+                        break
+                else:
+                    for c in part[HEAD:].tolist() if k < whole else ():  # they never met
+                        at = cells[at + c]
+                        total += at >> 30
+                        at &= FLAG - 1
+            count[i, lane] = total
+        piece += whole
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, and lang_pred, lang_score, lang_rate (phrases of the best language for each letter or blank; null for ``und``), lang_letters."""
     ship(docs.sparkSession)
@@ -244,7 +315,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_rate", DoubleType()), StructField("lang_letters", LongType())])
 
     def predict(texts: list[str | None]) -> tuple[list, list, list, list]:
-        model = pickle.loads(packed)
+        model = unpacked(key, packed)
         pred, score, rate, size = [UND] * len(texts), [0.0] * len(texts), [None] * len(texts), [0] * len(texts)
         bits = np.log2(np.array(model.lengths, "f8"))[:, None]
 
@@ -279,10 +350,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            pred, score, rate, size = predict(batch.column("text").to_pylist())
-            made = [pa.array(pred, "string"), pa.array(score, "float64"), pa.array(rate, "float64"), pa.array(size, "int64")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *MADE])
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(at, TOGETHER)
+                pred, score, rate, size = predict(batch.column("text").to_pylist())
+                made = [pa.array(pred, "string"), pa.array(score, "float64"), pa.array(rate, "float64"), pa.array(size, "int64")]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *MADE])
 
     return rows.mapInArrow(run, schema)
 

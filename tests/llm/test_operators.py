@@ -608,16 +608,18 @@ def brute_phrases(symbols, sample):
     return count
 
 
-@pytest.mark.parametrize("few", [0, 2, 100])
-def test_cross_parsing_is_longest_match(monkeypatch, few):
-    """Texts of every length, parsed side by side or one by one, with more letters than have a symbol of their own."""
+@pytest.mark.parametrize(("few", "piece", "head"), [(0, 1024, 32), (2, 1024, 32), (100, 1024, 32), (100, 64, 32), (100, 9, 2), (2, 30, 1)])
+def test_cross_parsing_is_longest_match(monkeypatch, few, piece, head):
+    """Texts of every length, parsed side by side or in pieces that meet, with more letters than have a symbol of their own."""
     monkeypatch.setattr(langid, "FEW", few)
+    monkeypatch.setattr(langid, "PIECE", piece)
+    monkeypatch.setattr(langid, "HEAD", head)
     r = np.random.default_rng(8)
     many = ["".join(chr(0x4E00 + int(x)) for x in r.integers(0, 300, 400)) for _ in range(2)]
     samples = {"a": langid.letters(words(0, 80)), "b": langid.letters(words(1, 80)), "c": langid.letters(many[0])}
     model = langid.Model(samples)
     texts = [model.symbols(langid.letters(t)) for t in [words(40, 30), words(41, 700), many[0][50:90] + many[1] + "\u3042\u3042", "x"]]
-    got = langid.phrases(model, f"t{few}", texts)
+    got = langid.phrases(model, f"t{few}-{piece}", texts)
     for row, lang in enumerate(model.langs):
         sample = bytes(model.symbols(samples[lang]))
         assert got[row].tolist() == [brute_phrases(bytes(t), sample) for t in texts]
