@@ -81,3 +81,46 @@ def redact(c: Column, secrets: list[str]) -> Column:
 TRANSFORMS = {"trim": trim, "lower": F.lower, "upper": F.upper, "to_int": to_int, "to_decimal": to_decimal, "to_timestamp": to_timestamp, "to_minor_units": to_minor_units, "nullify_empty": nullify_empty}
 #: Those whose null result for a non-null input is a rejected record.
 PARSERS = frozenset(("to_int", "to_decimal", "to_timestamp", "to_minor_units"))
+
+
+def linear_unscale(y: Column, low: float, high: float, to_low: float, to_high: float) -> Column:
+    """The way back of linear_scale; a range without width gives the domain's start."""
+    return linear_scale(y, to_low, to_high, low, high)
+
+
+def band_start(index: Column, count: int, width: float, padding: float = 0.2) -> Column:
+    """Where the band of an index begins, of count bands across width, each with its share of padding."""
+    step = width / max(1, count)
+    return index * step + (step - max(0.0, step * (1 - padding))) / 2
+
+
+def nice_step(low: Column, high: Column, target: int = 5) -> Column:
+    """The least of 1, 2 or 5 times a power of ten that needs no more than about target steps."""
+    raw = (high - low) / max(1, target)
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    share = raw / power
+    return F.when(share <= 1, 1.0).when(share <= 2, 2.0).when(share <= 5, 5.0).otherwise(10.0) * power
+
+
+def nice_ticks(low: Column, high: Column, target: int = 5) -> Column:
+    """Ticks that span low to high; a single one if they are equal, null if either is unknown or no number."""
+    a, b = F.least(low, high), F.greatest(low, high)
+    step = nice_step(a, b, target)
+    ticks = F.transform(F.sequence(F.floor(a / step), F.ceil(b / step)), lambda i: F.round(i * step, 9))
+    known = low.isNotNull() & high.isNotNull() & (F.abs(low) < float("inf")) & (F.abs(high) < float("inf"))
+    return F.when(known & (a == b), F.array(a)).when(known, ticks)
+
+
+def digest_of_key(key: Column) -> Column:
+    """The digest that a content-addressed key ends with: its last part up to the first dot."""
+    return F.regexp_extract(key, r"([^/.]*)[^/]*$", 1)
+
+
+def lookup(values: Column, key: str) -> Column:
+    """A value of a map, null where it isn't there."""
+    return F.try_element_at(values, F.lit(key))
+
+
+def required(values: Column, key: str) -> Column:
+    """A value of a map; where it isn't there the query fails and names it."""
+    return F.coalesce(lookup(values, key), F.raise_error(F.lit(f"the dimension {key} is missing")).cast("string"))

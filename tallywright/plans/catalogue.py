@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import admission, catalogued, detection, findings, governed, intake, metrics, ordered, runs, streams
+from . import admission, catalogued, compiled, detection, findings, governed, intake, metrics, ordered, runs, streams
 
-MODULES = (governed, metrics, detection, findings, intake, admission, ordered, streams, runs, catalogued)
+MODULES = (governed, metrics, detection, findings, intake, admission, ordered, streams, runs, catalogued, compiled)
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
