@@ -150,6 +150,16 @@ def financial_leakage(readings: DataFrame, rule: Rule, least_drop: float = 0.02,
     return candidates(rows, rule, F.col("margin"), F.col("prior_margin"), severity(drop, ("critical", 0.10), ("high", 0.05)), fit, [lost] * 3, F.array(F.concat(F.lit("revenue_"), shape))).withColumn("reason_codes", F.regexp_replace("reason_codes", "modelled_exposure,", ""))
 
 
+def missing_figures() -> Column:
+    """Readings of margins that lack a figure, and so fail their run."""
+    return F.col("margin").isNull() | F.col("prior_margin").isNull() | F.col("revenue").isNull() | F.col("prior_revenue").isNull() | F.col("n").isNull()
+
+
+def unknown_drift() -> Column:
+    """Changes of a kind that nobody knows, which fail their run."""
+    return ~F.coalesce(F.col("drift_kind").isin("removed_field", "type_change", "new_field"), F.lit(False))
+
+
 def data_completeness(readings: DataFrame, rule: Rule, least: float = 0.98) -> DataFrame:
     v = F.col("value")
     rows = readings.where(sufficient(rule) & (v < least))

@@ -31,22 +31,39 @@ def is_open(c: str = "status") -> Column:
 
 
 def suppress(candidates: DataFrame, open_gaps: DataFrame) -> DataFrame:
-    """Business candidates that depend on a scope with an open data-quality gap are kept, with low confidence and a reason."""
-    scopes = open_gaps.where(F.col("gap_type").isin(*QUALITY_TYPES) & is_open()).select("scope_type", "scope_id", F.lit(True).alias("_hit")).distinct()
-    out = candidates.join(scopes, ["scope_type", "scope_id"], "left")
-    hit = F.coalesce("_hit", F.lit(False)) & ~F.col("gap_type").isin(*QUALITY_TYPES)
-    return out.withColumns({
-        "confidence_band": F.when(hit, "low").otherwise(F.col("confidence_band")),
-        "reason_codes": F.when(hit, F.concat_ws(",", "reason_codes", F.lit("suppressed_by_data_quality"))).otherwise(F.col("reason_codes")),
-        "suppressed": hit,
-    }).drop("_hit")
+    """Business candidates that depend on a scope, or read a source, with an open data-quality gap are kept, with low confidence and a reason.
+
+    One decision for both: scopes count where both sides name them, sources (an array, by dedupe_key) where both do. A note says what
+    capped the confidence.
+    """
+    bad = open_gaps.where(F.col("gap_type").isin(*QUALITY_TYPES) & is_open())
+    has = lambda *names: all(n in candidates.columns and n in open_gaps.columns for n in names)
+    out, hits = candidates, []
+    if has("scope_type", "scope_id"):
+        out = out.join(bad.select("scope_type", "scope_id", F.lit(True).alias("_scope")).distinct(), ["scope_type", "scope_id"], "left")
+        hits.append("_scope")
+    if has("sources"):
+        named = bad.select(F.explode("sources").alias("source")).distinct()
+        reading = candidates.select("dedupe_key", F.explode("sources").alias("source")).join(named, "source").select("dedupe_key", F.lit(True).alias("_source")).distinct()
+        out = out.join(reading, "dedupe_key", "left")
+        hits.append("_source")
+    hit = F.coalesce(*hits, F.lit(False)) & ~F.col("gap_type").isin(*QUALITY_TYPES)
+    capped = {"confidence_band": F.when(hit, "low").otherwise(F.col("confidence_band")), "suppressed": hit}
+    capped["cap_note"] = F.when(hit, F.when(F.coalesce(hits[0], F.lit(False)), f"open data-quality gap of its {hits[0][1:]}").otherwise("open data-quality gap of its source")) if hits else F.lit(None).cast("string")
+    if "reason_codes" in candidates.columns:
+        capped["reason_codes"] = F.when(hit, F.concat_ws(",", "reason_codes", F.lit("suppressed_by_data_quality"))).otherwise(F.col("reason_codes"))
+    return out.withColumns(capped).drop(*hits)
 
 
 def correlate(candidates: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different findings that share a scope or a correlation key; two equality joins, never all pairs."""
-    c = candidates.select("gap_type", "scope_type", "scope_id", "correlation_keys", F.concat_ws(":", "gap_type", "scope_id").alias("name"))
+    """Pairs (a, b) of different findings that share a scope (and window, where they name one) or a correlation key; two equality joins, never all pairs."""
+    window = [x for x in ("window_start", "window_end") if x in candidates.columns]
+    c = candidates.select("gap_type", "scope_type", "scope_id", "correlation_keys", F.concat_ws(":", "gap_type", "scope_id").alias("name"), *window)
     left, right = c.select(*[F.col(x).alias(f"l_{x}") for x in c.columns]), c.select(*[F.col(x).alias(f"r_{x}") for x in c.columns])
-    by_scope = left.join(right, (F.col("l_scope_type") == F.col("r_scope_type")) & (F.col("l_scope_id") == F.col("r_scope_id")))
+    same = (F.col("l_scope_type") == F.col("r_scope_type")) & (F.col("l_scope_id") == F.col("r_scope_id"))
+    for x in window:
+        same = same & (F.col(f"l_{x}") == F.col(f"r_{x}"))
+    by_scope = left.join(right, same)
     keyed = lambda side: side.withColumn("key", F.explode(f"{side.columns[0][0]}_correlation_keys"))
     by_key = keyed(left).join(keyed(right), "key").drop("key")
     both = by_scope.unionByName(by_key).where("l_name < r_name and not (l_gap_type = r_gap_type and l_scope_id = r_scope_id)")
@@ -111,15 +128,6 @@ def envelope(ledger: DataFrame, *groups: str) -> DataFrame:
     )
 
 
-def suppress_by_source(candidates: DataFrame, open_gaps: DataFrame) -> DataFrame:
-    """Business candidates that read a source (sources, an array) with an open data-quality gap: suppressed, low confidence."""
-    bad = open_gaps.where(F.col("gap_type").isin(*QUALITY_TYPES) & is_open()).select(F.explode("sources").alias("source")).distinct()
-    hit = candidates.select("dedupe_key", F.explode("sources").alias("source")).join(bad, "source").select("dedupe_key", F.lit(True).alias("_hit")).distinct()
-    suppressed = F.coalesce("_hit", F.lit(False)) & ~F.col("gap_type").isin(*QUALITY_TYPES)
-    out = candidates.join(hit, "dedupe_key", "left")
-    return out.withColumns({"suppressed": suppressed, "confidence_band": F.when(suppressed, "low").otherwise(F.col("confidence_band"))}).drop("_hit")
-
-
 def candidate_faults(candidates: DataFrame) -> Column:
     """What makes a candidate invalid, and with it the whole run: no evidence, no scope, nothing that differs."""
     faults = [

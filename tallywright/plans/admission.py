@@ -122,7 +122,7 @@ def source_suppression(spark, sf_dir):
     f = findings(spark, sf_dir)
     low = f.where(F.col("record_id") % 20 < 6)
     gaps = low.where(F.col("record_id") % 24 == 0).withColumn("status", F.lit("detected"))
-    return ledger.suppress_by_source(f, gaps).select("record_id", "suppressed", "confidence_band")
+    return ledger.suppress(f, gaps).select("record_id", "suppressed", "confidence_band")
 
 
 def confidence_weights(spark, sf_dir):

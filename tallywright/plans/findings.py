@@ -94,6 +94,26 @@ def suppress(spark, sf_dir):
     return book.suppress(found(spark, sf_dir, SECOND_RUN), gaps).select("scope_id", "confidence_band", "reason_codes", "suppressed")
 
 
+def suppress_once(spark, sf_dir):
+    """Scopes and sources in one decision: users with an open gap of quality, and users that read one of the sources that have."""
+    source = F.array(F.concat(F.lit("feed-"), (num() % 7).cast("string")))
+    gaps = ledger(spark, sf_dir).withColumn("gap_type", F.when(num() % 4 == 1, "source_freshness_breach").otherwise(F.col("gap_type"))).withColumn("sources", F.when(num() % 5 == 0, source).otherwise(F.array().cast("array<string>")))
+    out = book.suppress(found(spark, sf_dir, SECOND_RUN).withColumn("sources", source), gaps)
+    return out.select("scope_id", "confidence_band", "reason_codes", "suppressed", "cap_note")
+
+
+def correlate_windows(spark, sf_dir):
+    """Findings of two runs: those of one scope belong together within a window only."""
+    runs = [(FIRST_RUN, 0.15, 0.25), (SECOND_RUN, 0.1, 0.3)]
+    rows = None
+    for at, low, high in runs:
+        r = detection.error_rates(spark, sf_dir, at)
+        both = detect.source_mismatch(r, detection.MISMATCH).unionByName(detect.ratio_threshold(r, detection.RATIO, 0.2, low, high, 1250))
+        one = both.withColumns({"window_start": F.lit("2024-01-01"), "window_end": F.lit(at), "correlation_keys": F.array().cast("array<string>"), "gap_type": F.concat("gap_type", F.lit("@" + at[5:7]))})
+        rows = one if rows is None else rows.unionByName(one)
+    return book.correlate(rows)
+
+
 def correlate(spark, sf_dir):
     rows = detection.det_source_mismatch(spark, sf_dir).unionByName(detection.det_ratio_threshold(spark, sf_dir))
     keyed = rows.withColumn("correlation_keys", F.when(num() % 10 == 0, F.array(F.concat(F.lit("source:"), (num() % 50).cast("string")))).otherwise(F.array().cast("array<string>")))
@@ -230,7 +250,7 @@ def runs_recent(spark, sf_dir):
     return e.groupBy(F.to_date("ts").alias("started_on")).agg(F.count("*").alias("records")).orderBy(F.desc("started_on")).limit(7)
 
 
-QUERIES = {f.__name__: f for f in (dedupe_key, dedupe_decisions, gap_upsert, assert_gap_invariants, suppress, correlate, gap_timeline, legal_transitions, lifecycle_requests, outcome_delta, ledger_list, ledger_frontline, ledger_stale, ledger_search, ledger_severity, open_gaps, ledger_rank, topk_gaps_per_location, situation_summary, exposure_envelope, ledger_groups, dismissal_rates, channel_strip, pressure_grid, pressure_totals, source_health, quarantine_counts, run_summary, runs_recent)}
+QUERIES = {f.__name__: f for f in (dedupe_key, dedupe_decisions, gap_upsert, assert_gap_invariants, suppress, suppress_once, correlate, correlate_windows, gap_timeline, legal_transitions, lifecycle_requests, outcome_delta, ledger_list, ledger_frontline, ledger_stale, ledger_search, ledger_severity, open_gaps, ledger_rank, topk_gaps_per_location, situation_summary, exposure_envelope, ledger_groups, dismissal_rates, channel_strip, pressure_grid, pressure_totals, source_health, quarantine_counts, run_summary, runs_recent)}
 
 N = "CAST(scope_id AS BIGINT)"
 KEY = "sha256('1|retail|' || gap_type || '|' || scope_type || '|' || scope_id || '|rule-1')"
@@ -274,6 +294,12 @@ ORACLE_SQL = {
     "correlate": f"""WITH c AS (SELECT gap_type, scope_id, gap_type || ':' || scope_id AS name, CASE WHEN {N} % 10 = 0 THEN {N} % 50 END AS k FROM (
   SELECT gap_type, scope_id FROM ({mismatch_sql()}) UNION ALL SELECT gap_type, scope_id FROM ({detection.ORACLE_SQL['det_ratio_threshold']})))
 SELECT DISTINCT x.name AS a, y.name AS b FROM c x JOIN c y ON x.name < y.name AND (x.scope_id = y.scope_id OR x.k = y.k) AND NOT (x.gap_type = y.gap_type AND x.scope_id = y.scope_id)""",
+    "suppress_once": f"""WITH {BOOK}, q AS (SELECT {N} AS k, {N} % 5 = 0 AS named FROM ledger WHERE {N} % 4 = 1 AND status NOT IN ('resolved', 'dismissed')),
+h AS (SELECT *, {N} IN (SELECT k FROM q) AS scope, {N} % 7 IN (SELECT k % 7 FROM q WHERE named) AS source FROM run2)
+SELECT scope_id, CASE WHEN scope OR source THEN 'low' ELSE confidence_band END AS confidence_band, CASE WHEN scope OR source THEN reason_codes || ',suppressed_by_data_quality' ELSE reason_codes END AS reason_codes, scope OR source AS suppressed,
+  CASE WHEN scope THEN 'open data-quality gap of its scope' WHEN source THEN 'open data-quality gap of its source' END AS cap_note FROM h""",
+    "correlate_windows": f"""WITH c AS ({' UNION ALL '.join(f"SELECT '{m}@{at[5:7]}:' || scope_id AS name, scope_id, '{at}' AS w FROM ({detection.rates_sql(at)}) WHERE n >= 30 AND {cond}" for at, low, high in ((FIRST_RUN, 0.15, 0.25), (SECOND_RUN, 0.1, 0.3)) for m, cond in (('source_mismatch', 'value > 0.05'), ('ratio_out_of_band', f'(value < {low} OR value > {high})')))})
+SELECT DISTINCT x.name AS a, y.name AS b FROM c x JOIN c y ON x.scope_id = y.scope_id AND x.w = y.w AND x.name < y.name""",
     "gap_timeline": f"SELECT scope_id, min(day) AS first_seen, max(day) AS last_seen, count(*) - 1 AS updates, arg_max(value, day) AS observed FROM ({TIMELINE}) WHERE n >= 30 AND value > 0.05 GROUP BY 1",
     "legal_transitions": f"WITH {BOOK}, n AS (SELECT status AS from_status, count(*) AS gaps FROM ledger GROUP BY 1) SELECT l.*, coalesce(gaps, 0) AS gaps FROM {LEGAL} l LEFT JOIN n USING (from_status)",
     "lifecycle_requests": f"""WITH {BOOK}, r AS (SELECT dedupe_key, scope_id, status, {STATUS}[{N} % 6 + 2] AS to_status FROM ledger),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.metric import Metric, Registry, catalogue, joined, query, violations
+from ..operators.quantile import exact_quantile
 from ..sources import overlay
 from . import governed
 from .governed import QUALITY, STOCK, TX
@@ -151,7 +152,8 @@ def window_delta(spark, sf_dir):
 
 def peer_median(spark, sf_dir, least: int = 5):
     """Exact median of the locations' rates, if there are enough of them."""
-    return metric_stock_discrepancy_rate(spark, sf_dir).agg(F.count("value").alias("peers"), F.round(F.when(F.count("value") >= least, F.expr("percentile(value, 0.5)")), 6).alias("median"))
+    n, median = exact_quantile(metric_stock_discrepancy_rate(spark, sf_dir), "value", 0.5)
+    return spark.createDataFrame([(n, round(median, 6) if n >= least else None)], "peers long, median double")
 
 
 def exposure_quartiles(spark, sf_dir):

@@ -41,13 +41,21 @@ def rising_stages() -> F.Column:
     return F.exists(F.sequence(F.lit(0), F.size("counts") - 2), lambda i: F.col("counts")[i + 1] > F.col("counts")[i])
 
 
+#: Which readings fail a run.
+INVALID = {"funnel_drop": rising_stages, "schema_drift": detect.unknown_drift}
+
+
 def all_runs(spark, sf_dir) -> str:
     """The folder of a run of each detector; of one over readings that aren't a funnel, one that finds what it expects, one that lacks a column, and one that is disabled."""
     folder = f"{working_dir(spark)}/detectors"
     for name in SETTINGS:
-        detector_runs.run(spark, config(name), getattr(detect, name), READINGS[name](spark, sf_dir), folder, rising_stages() if name == "funnel_drop" else None)
+        detector_runs.run(spark, config(name), getattr(detect, name), READINGS[name](spark, sf_dir), folder, INVALID[name]() if name in INVALID else None)
     backwards = d.funnels(spark, sf_dir).withColumn("counts", F.reverse("counts"))
     detector_runs.run(spark, config("funnel_drop", detector="funnel_reversed"), detect.funnel_drop, backwards, folder, rising_stages())
+    partly = d.margins(spark, sf_dir).withColumn("prior_margin", F.when(F.col("scope_id") >= "Brand#2", F.col("prior_margin")))
+    detector_runs.run(spark, config("financial_leakage", detector="leakage_incomplete"), detect.financial_leakage, partly, folder, detect.missing_figures())
+    odd = READINGS["schema_drift"](spark, sf_dir).withColumn("drift_kind", F.when(F.col("field") == "props", "renamed").otherwise(F.col("drift_kind")))
+    detector_runs.run(spark, config("schema_drift", detector="drift_unknown"), detect.schema_drift, odd, folder, detect.unknown_drift())
     nothing_new = lambda r, rule: detect.candidates(r, rule, F.col("value"), F.col("value"), F.lit("low"), {"detector_fit": F.lit(1.0)})
     detector_runs.run(spark, config("source_mismatch", detector="no_difference", thresholds={}), nothing_new, d.error_rates(spark, sf_dir), folder)
     detector_runs.run(spark, config("source_mismatch", detector="no_value"), detect.source_mismatch, d.error_rates(spark, sf_dir).drop("value"), folder)
@@ -112,6 +120,8 @@ def _record_sql(name: str, c: Config, source: str, insufficient: str, outcome: s
 def _records_sql() -> str:
     rows = [_record_sql(name, config(name), *_READINGS_SQL[name], "succeeded") for name in SETTINGS]
     rows.append(_record_sql("", config("funnel_drop", detector="funnel_reversed"), d.FUNNELS, "false", "failed"))
+    rows.append(_record_sql("", config("financial_leakage", detector="leakage_incomplete"), d.MARGINS, "n < 30", "failed"))
+    rows.append(_record_sql("", config("schema_drift", detector="drift_unknown"), d.DRIFTS, "false", "failed"))
     rows.append(_record_sql("", config("source_mismatch", detector="no_difference", thresholds={}), d.RATES, "n < 30", "failed"))
     rows.append(_record_sql("", config("source_mismatch", detector="no_value"), "", "", "failed"))
     rows.append(_record_sql("", config("source_freshness", detector="switched_off", enabled=False), "", "", "skipped", "'detector disabled'"))

@@ -35,11 +35,14 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(1).alias("mapping_version"),
         F.concat(F.lit("orders/"), text("o_orderkey")).alias("lineage_ref"),
     )
-    replayed = base.where("cast(source_record_id as long) % 11 = 0")
-    corrected = base.where("cast(source_record_id as long) % 7 = 0").withColumns(
-        {"amount_minor": F.col("amount_minor") + 250, "ingested_at": F.col("ingested_at") + F.expr("INTERVAL 1 HOUR"), "mapping_version": F.lit(2)}
-    )
-    return base.unionByName(replayed).unionByName(corrected)
+    # one scan and join: the versions of an order are rows made of its own
+    k = F.col("source_record_id").cast("long")
+    as_is = F.struct(F.col("amount_minor"), F.col("ingested_at"), F.col("mapping_version"))
+    corrected = F.struct((F.col("amount_minor") + 250).alias("amount_minor"), (F.col("ingested_at") + F.expr("INTERVAL 1 HOUR")).alias("ingested_at"), F.lit(2).alias("mapping_version"))
+    versions = F.filter(F.array(as_is, F.when(k % 11 == 0, as_is), F.when(k % 7 == 0, corrected)), lambda v: v.isNotNull())
+    changing = ("amount_minor", "ingested_at", "mapping_version")
+    each = base.withColumn("_version", F.explode(versions))
+    return each.select(*[F.col(f"_version.{c}").alias(c) if c in changing else F.col(c) for c in base.columns])
 
 
 def stock_events(spark: SparkSession, sf_dir: str, event_type: str) -> DataFrame:
