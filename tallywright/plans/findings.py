@@ -121,12 +121,13 @@ def correlate(spark, sf_dir):
 
 
 def gap_timeline(spark, sf_dir):
-    """One evolving finding per scope: its measurement after each of six weekly runs."""
-    runs = [detection.error_rates(spark, sf_dir, f"2024-01-{d:02d}").select(F.lit(d).alias("day"), "scope_id", "value", "n") for d in (6, 11, 16, 21, 26, 31)]
-    rows = runs[0]
-    for r in runs[1:]:
-        rows = rows.unionByName(r)
-    firing = rows.where("n >= 30 and value > 0.05")
+    """One evolving finding per scope: its measurement after the run at the end of each day."""
+    e = overlay.table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), (F.col("event_type") == "error").cast("long").alias("error"))
+    counts = e.groupBy("user_id", "day").agg(F.count("*").alias("n"), F.sum("error").alias("errors"))
+    spine = e.select("user_id").distinct().join(F.broadcast(e.select("day").distinct()))  # a row for each day
+    so_far = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    sums = spine.join(counts, ["user_id", "day"], "left").select(F.col("user_id").cast("string").alias("scope_id"), "day", F.sum("n").over(so_far).alias("n"), F.sum("errors").over(so_far).alias("errors"))
+    firing = sums.where("n >= 30").withColumn("value", F.round(F.col("errors") / F.col("n").cast("double"), 6)).where("value > 0.05")
     return firing.groupBy("scope_id").agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), (F.count("*") - 1).alias("updates"), F.max_by("value", "day").alias("observed"))
 
 
@@ -214,15 +215,16 @@ def channel_strip(spark, sf_dir):
 
 def pressure_grid(spark, sf_dir):
     """Readings by location and hour over a complete grid; an hour without a reading is unknown, not zero."""
-    e = overlay.table(spark, sf_dir, "events").where("ts >= '2024-01-15' and ts < '2024-01-16'")
-    read = e.groupBy((F.col("user_id") % 8).alias("location"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
-    grid = spark.range(8).select(F.col("id").alias("location"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    e = overlay.table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    read = e.groupBy("day", (F.col("user_id") % 8).alias("location"), F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
+    hours = spark.range(8).select(F.col("id").alias("location"), F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    grid = e.select("day").distinct().join(F.broadcast(hours))  # the hours are 192 rows
     state = F.when(F.col("n").isNull(), "unknown").when(F.col("n") >= 4, "pressure").when(F.col("n") >= 2, "elevated").otherwise("normal")
-    return grid.join(read, ["location", "hour"], "left").select("location", "hour", "n", state.alias("state"))
+    return grid.join(read, ["day", "location", "hour"], "left").select("day", "location", "hour", "n", state.alias("state"))
 
 
 def pressure_totals(spark, sf_dir):
-    wide = pressure_grid(spark, sf_dir).groupBy("location").pivot("state", ["normal", "elevated", "pressure", "unknown"]).count()
+    wide = pressure_grid(spark, sf_dir).groupBy("day", "location").pivot("state", ["normal", "elevated", "pressure", "unknown"]).count()
     return wide.na.fill(0)
 
 
@@ -282,8 +284,13 @@ merged AS (
   UNION ALL SELECT dedupe_key, scope_id, status, owner, severity, observed, exposure_base, TIMESTAMP '{FIRST_RUN}', TIMESTAMP '{FIRST_RUN}', 1 FROM ledger WHERE status IN ('resolved', 'dismissed')
 )"""
 LEGAL = f"(SELECT a AS from_status, b AS to_status, (a NOT IN ('resolved', 'dismissed') AND b = 'dismissed') OR (list_position({STATUS}, b) = list_position({STATUS}, a) + 1 AND b <> 'dismissed' AND a <> 'dismissed') AS legal FROM (SELECT unnest({STATUS}) AS a), (SELECT unnest({STATUS}) AS b))"
-TIMELINE = " UNION ALL ".join(f"SELECT {d} AS day, scope_id, value, n FROM ({detection.rates_sql(f'2024-01-{d:02d}')})" for d in (6, 11, 16, 21, 26, 31))
-GRID = "(SELECT l AS location, CAST(h AS INTEGER) AS hour, n, CASE WHEN n IS NULL THEN 'unknown' WHEN n >= 4 THEN 'pressure' WHEN n >= 2 THEN 'elevated' ELSE 'normal' END AS state FROM (SELECT unnest(range(8)) AS l), (SELECT unnest(range(24)) AS h) LEFT JOIN (SELECT user_id % 8 AS ul, hour(ts) AS uh, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-16' GROUP BY 1, 2) ON ul = l AND uh = h)"
+TIMELINE = """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), u AS (SELECT DISTINCT user_id FROM events),
+c AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1, 2),
+s AS (SELECT user_id, day, sum(n) OVER w AS n, sum(errors) OVER w AS errors FROM u CROSS JOIN d LEFT JOIN c USING (user_id, day) WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+f AS (SELECT CAST(user_id AS VARCHAR) AS scope_id, day, round(CAST(errors AS DOUBLE) / n, 6) AS value FROM s WHERE n >= 30)"""
+GRID = """(SELECT d AS day, l AS location, CAST(h AS INTEGER) AS hour, n, CASE WHEN n IS NULL THEN 'unknown' WHEN n >= 4 THEN 'pressure' WHEN n >= 2 THEN 'elevated' ELSE 'normal' END AS state
+  FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM events), (SELECT unnest(range(8)) AS l), (SELECT unnest(range(24)) AS h)
+  LEFT JOIN (SELECT CAST(ts AS DATE) AS ud, user_id % 8 AS ul, hour(ts) AS uh, count(*) AS n FROM events GROUP BY 1, 2, 3) ON ud = d AND ul = l AND uh = h)"""
 
 ORACLE_SQL = {
     "dedupe_key": f"WITH {BOOK} SELECT scope_id, dedupe_key FROM run2",
@@ -300,7 +307,7 @@ SELECT scope_id, CASE WHEN scope OR source THEN 'low' ELSE confidence_band END A
   CASE WHEN scope THEN 'open data-quality gap of its scope' WHEN source THEN 'open data-quality gap of its source' END AS cap_note FROM h""",
     "correlate_windows": f"""WITH c AS ({' UNION ALL '.join(f"SELECT '{m}@{at[5:7]}:' || scope_id AS name, scope_id, '{at}' AS w FROM ({detection.rates_sql(at)}) WHERE n >= 30 AND {cond}" for at, low, high in ((FIRST_RUN, 0.15, 0.25), (SECOND_RUN, 0.1, 0.3)) for m, cond in (('source_mismatch', 'value > 0.05'), ('ratio_out_of_band', f'(value < {low} OR value > {high})')))})
 SELECT DISTINCT x.name AS a, y.name AS b FROM c x JOIN c y ON x.scope_id = y.scope_id AND x.w = y.w AND x.name < y.name""",
-    "gap_timeline": f"SELECT scope_id, min(day) AS first_seen, max(day) AS last_seen, count(*) - 1 AS updates, arg_max(value, day) AS observed FROM ({TIMELINE}) WHERE n >= 30 AND value > 0.05 GROUP BY 1",
+    "gap_timeline": f"{TIMELINE} SELECT scope_id, min(day) AS first_seen, max(day) AS last_seen, count(*) - 1 AS updates, arg_max(value, day) AS observed FROM f WHERE value > 0.05 GROUP BY 1",
     "legal_transitions": f"WITH {BOOK}, n AS (SELECT status AS from_status, count(*) AS gaps FROM ledger GROUP BY 1) SELECT l.*, coalesce(gaps, 0) AS gaps FROM {LEGAL} l LEFT JOIN n USING (from_status)",
     "lifecycle_requests": f"""WITH {BOOK}, r AS (SELECT dedupe_key, scope_id, status, {STATUS}[{N} % 6 + 2] AS to_status FROM ledger),
 j AS (SELECT r.*, CASE WHEN {N} % 11 = 0 THEN 'not_permitted' WHEN NOT legal THEN 'illegal_transition' WHEN {N} % 8 = 0 THEN 'version_conflict' WHEN r.to_status = 'dismissed' AND {N} % 2 <> 0 THEN 'missing_requirement'
@@ -321,7 +328,7 @@ SELECT dedupe_key, status, to_status, outcome, CASE WHEN outcome = 'applied' THE
     "dismissal_rates": f"WITH {BOOK} SELECT dismissal_reason, count(*) AS n FROM model WHERE status = 'dismissed' GROUP BY 1",
     "channel_strip": "WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS v FROM events GROUP BY 1, 2) SELECT event_type, string_agg(CAST(v AS VARCHAR), ',' ORDER BY day) AS series, arg_max(v, day) AS latest, CASE WHEN count(*) >= 2 THEN arg_max(v, day) - (list(v ORDER BY day))[-2] END AS delta FROM d GROUP BY 1",
     "pressure_grid": f"SELECT * FROM {GRID}",
-    "pressure_totals": f"SELECT location, " + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("normal", "elevated", "pressure", "unknown")) + f" FROM {GRID} GROUP BY 1",
+    "pressure_totals": f"SELECT day, location, " + ", ".join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ("normal", "elevated", "pressure", "unknown")) + f" FROM {GRID} GROUP BY 1, 2",
     "source_health": f"SELECT CASE WHEN age_seconds <= 7200 THEN 'healthy' WHEN age_seconds <= 86400 THEN 'late' ELSE 'silent' END AS state, count(*) AS sources FROM {detection.AGES} GROUP BY 1",
     "quarantine_counts": "SELECT 'feed-' || (user_id % 4) AS source_key, 'out_of_range' AS flag, count(*) AS records FROM events WHERE event_type = 'error' GROUP BY 1",
     "run_summary": "SELECT 'feed-' || (user_id % 4) AS source_key, count(*) AS records_read, count(*) FILTER (event_type <> 'error') AS records_written, count(*) FILTER (event_type = 'error') AS records_quarantined, min(event_id) FILTER (event_type = 'error') AS first_rejected, CASE WHEN count(*) FILTER (event_type <> 'error') = 0 THEN 'failed' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'partial' ELSE 'succeeded' END AS outcome FROM events GROUP BY 1",
