@@ -99,7 +99,7 @@ def band_keys(lines: DataFrame, percent: int = 80) -> DataFrame:
 ONE_OF, HOT = 64, 1000
 
 
-def hot_keys(lines: DataFrame, percent: int) -> DataFrame:
+def hot_keys(lines: DataFrame, percent: int = 80) -> DataFrame:
     """key, parts: band keys that so large a share of all lines has that their members must be dealt into parts.
 
     Found on a sample of lines, as it only decides how rows are spread: which pairs are linked doesn't depend on it. The share a
@@ -111,7 +111,7 @@ def hot_keys(lines: DataFrame, percent: int) -> DataFrame:
     return keep(counts.select("key", F.ceil(F.col("n") * HOT / max(n, 1)).alias("parts")))
 
 
-def shared_keys(lines: DataFrame, percent: int) -> DataFrame:
+def shared_keys(lines: DataFrame, percent: int = 80) -> DataFrame:
     """key, node: the members of all buckets that more than one line is in."""
     dealt = band_keys(lines, percent).join(F.broadcast(hot_keys(lines, percent)), "key", "left")  # 2 * BANDS * HOT rows at most
     part = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")))
