@@ -65,6 +65,7 @@ def dec(x: float) -> Column:
     return F.lit(str(x)).cast("decimal(18,4)")
 
 
+# The default thresholds, shares and margins of the detectors below.
 def source_mismatch(readings: DataFrame, rule: Rule, threshold: float = 0.05, critical: float = 0.30, high: float = 0.15, margins: tuple[int, int, int] = (150, 220, 310)) -> DataFrame:
     """Two sources disagree about more than threshold of the observations."""
     v, n = F.col("value"), F.col("n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.signing import hmac_sha256
 from .ingest import reasons
 
+# The tolerance, and below the wording of refusals.
 TOLERANCE_SECONDS = 300
 
 

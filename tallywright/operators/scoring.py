@@ -87,6 +87,7 @@ def assumption(key: str, statement: str, low: Column, base: Column, high: Column
     return F.struct(F.lit(key).alias("key"), F.lit(statement).alias("statement"), value.alias("value"), F.lit(source).alias("source"), F.lit(kind).alias("kind"))
 
 
+# The wording of the statements below.
 def describe(low_minor: Column, high_minor: Column, currency: Column, confidence: Column) -> Column:
     """The one wording of an exposure; it never speaks of savings."""
     money = lambda c: F.format_number((c / 100).cast("decimal(38,2)"), 2)
