@@ -20,7 +20,6 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 SCHEMA = "record_id string, page string, place int, payload string"
-MOST_PAGES = 10_000
 STYLES = ("page_number", "cursor", "single")
 
 
@@ -74,7 +73,7 @@ class Pages:
         if self.style == "page_number":
             return [str(n) for n in range(after + 1, self.last_number(after) + 1)]
         out, seen, key = [], set(), "first"
-        while key and key not in seen and len(out) < MOST_PAGES:
+        while key and key not in seen:
             page = self.document(key)
             if page is None or not isinstance(dig(page, self.records_path), list):
                 break
@@ -87,9 +86,9 @@ class Pages:
     def last_number(self, known: int = 0) -> int:
         """The last page that isn't empty, by doubling steps and bisection."""
         low, step = known, 1
-        while low + step <= MOST_PAGES and self.items(str(low + step)):
+        while self.items(str(low + step)):
             low, step = low + step, 2 * step
-        high = min(low + step, MOST_PAGES + 1)
+        high = low + step
         while high - low > 1:
             middle = (low + high) // 2
             low, high = (middle, high) if self.items(str(middle)) else (low, middle)

@@ -167,6 +167,30 @@ def test_wrong_options(spark, tmp_path):
         spark.read.format("tallywright_pages").load().count()
 
 
+def test_ranks_dont_depend_on_how_partitions_are_joined(spark):
+    """The counts alone fit into one partition, the rows don't."""
+    small = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        wide = F.concat(*[F.sha2(F.concat(F.lit(f"{i}-"), "id"), 512) for i in range(16)])
+        rows = spark.range(400).select((F.col("id") * 7919 % 400).alias("k"), wide.alias("item"))
+        got = deliveries.ranked(rows, ["k"]).collect()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert sorted((r.k, r.rank) for r in got) == [(k, k) for k in range(400)]
+
+
+@pytest.mark.parametrize("style", ["page_number", "cursor"])
+def test_all_pages_are_found_however_many(style, monkeypatch):
+    n = 12_345
+    name = lambda k: "first" if style == "cursor" and k == 1 else str(k)
+    documents = {name(k): {"data": [{"id": k}], "next": k + 1 if k < n else None} for k in range(1, n + 1)}
+    monkeypatch.setattr(paged.Pages, "document", lambda self, key: documents.get(key))
+    assert paged.Pages("nowhere", style).keys() == list(documents)
+
+
 # -- gaps as state
 
 
