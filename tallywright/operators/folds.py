@@ -6,7 +6,7 @@ Every action gets an outcome; the state after the last one is the record's new s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ledger import CHAIN, DISMISSAL_REASONS, TERMINAL
@@ -87,17 +87,12 @@ def after_actions(ledger: DataFrame, actions: DataFrame) -> DataFrame:
     }).drop("_last")
 
 
-MAPPINGS = "struct<highest int, active int, applied array<int>>"
-MAPPING_STEP = f"struct<outcome string, version int, state {MAPPINGS}>"
-
-
-def mapping_outcome(s: Column, a: Column) -> Column:
+def mapping_outcome(a: Column, highest: Column, active: Column, frozen: Column) -> Column:
     """create makes the next version; one is active at most; going back is no going forward; what was applied once is frozen."""
-    exists = F.coalesce(a.version.between(1, s.highest), F.lit(False))
-    active = F.coalesce(a.version == s.active, F.lit(False))
-    frozen = F.array_contains(s.applied, F.coalesce(a.version, F.lit(-1)))
-    apply = F.when(active, "already_active").otherwise("applied")
-    back = F.when(active, "already_active").when(a.version > s.active, "newer_than_active").otherwise("rolled_back")
+    exists = F.coalesce(a.version.between(1, highest), F.lit(False))
+    is_active = F.coalesce(a.version == active, F.lit(False))
+    apply = F.when(is_active, "already_active").otherwise("applied")
+    back = F.when(is_active, "already_active").when(a.version > active, "newer_than_active").otherwise("rolled_back")
     return (
         F.when(a.kind == "create", "created")
         .when(~exists, "no_such_version")
@@ -109,24 +104,25 @@ def mapping_outcome(s: Column, a: Column) -> Column:
 
 
 def mapping_actions(actions: DataFrame, *keys: str) -> DataFrame:
-    """A row for each action (keys, ordinal, kind, version) on the mapping of keys: version, outcome, and which version is active then."""
-    of_key = actions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("ordinal").cast("bigint").alias("ordinal"), "kind", F.col("version").cast("int").alias("version")))).alias("actions"))
-
-    def step(acc: Column, a: Column) -> Column:
-        s = acc.state
-        outcome = mapping_outcome(s, a)
-        live = outcome.isin("applied", "rolled_back")
-        version = F.when(a.kind == "create", s.highest + 1).otherwise(a.version)
-        after = F.struct(
-            F.when(a.kind == "create", version).otherwise(s.highest).alias("highest"),
-            F.when(live, version).otherwise(s.active).alias("active"),
-            F.when(live, F.array_union(s.applied, F.array(version))).otherwise(s.applied).alias("applied"),
-        ).cast(MAPPINGS)
-        done = F.struct(outcome.alias("outcome"), version.alias("version"), after.alias("state")).cast(MAPPING_STEP)
-        return F.struct(after.alias("state"), F.concat(acc.steps, F.array(done)).alias("steps"))
+    """A row for each action (keys, ordinal, kind, version) on the mapping of keys: version, outcome, and which version is active then.
 
-    nothing = F.struct(F.lit(0).alias("highest"), F.lit(None).cast("int").alias("active"), F.array().cast("array<int>").alias("applied")).cast(MAPPINGS)
-    start = F.struct(nothing.alias("state"), F.array().cast(f"array<{MAPPING_STEP}>").alias("steps"))
-    folded = of_key.select(*keys, "actions", F.aggregate("actions", start, step).alias("folded"))
-    each = folded.select(*keys, F.explode(F.arrays_zip(F.col("actions"), F.col("folded.steps").alias("steps"))).alias("x"))
-    return each.select(*keys, "x.actions.ordinal", "x.actions.kind", "x.steps.version", "x.steps.outcome", F.col("x.steps.state.active").alias("active_version"), F.size("x.steps.state.applied").alias("frozen_versions"))
+    The fold is made of running counts, so a mapping may have any number of actions: as many versions exist as were created; after an
+    apply the active one is the least of its version and of those gone back to since; frozen ones have been applied or gone back to.
+    Equal actions (of one ordinal) are taken in turn.
+    """
+    rows = actions.select(*keys, F.col("ordinal").cast("bigint").alias("ordinal"), "kind", F.col("version").cast("int").alias("version"))
+    a = F.struct("kind", "version")
+    so_far = lambda *by: Window.partitionBy(*keys, *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    before = lambda *by: Window.partitionBy(*keys, *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("ordinal", "kind", "version")))
+    made = numbered.withColumn("_highest", F.count_if(F.coalesce(F.col("kind") == "create", F.lit(False))).over(so_far()).cast("int"))
+    named = F.coalesce(F.col("version").between(1, F.col("_highest")), F.lit(False))  # the version is there
+    since = made.withColumn("_applies", F.count_if(named & F.coalesce(F.col("kind") == "apply", F.lit(False))).over(so_far()))
+    held = since.withColumn("_active", F.min(F.when(named & F.col("kind").isin("apply", "rollback"), F.col("version"))).over(so_far("_applies")))
+    known = held.withColumn("_was", F.lag("_active").over(Window.partitionBy(*keys).orderBy("_at")))
+    live = mapping_outcome(a, F.col("_highest"), F.col("_was"), F.lit(False)).isin("applied", "rolled_back")
+    seen = known.withColumn("_live", live).withColumn("_frozen", F.coalesce(F.max("_live").over(before("version")), F.lit(False)))
+    counted = seen.withColumn("_versions", F.count_if(F.col("_live") & ~F.col("_frozen")).over(so_far()).cast("int"))
+    version = F.when(F.col("kind") == "create", F.col("_highest")).otherwise(F.col("version"))
+    outcome = mapping_outcome(a, F.col("_highest"), F.col("_was"), F.col("_frozen"))
+    return counted.select(*keys, "ordinal", "kind", version.alias("version"), outcome.alias("outcome"), F.col("_active").alias("active_version"), F.col("_versions").alias("frozen_versions"))

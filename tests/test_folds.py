@@ -114,3 +114,42 @@ def test_no_actions(spark):
     assert folds.gap_actions(ledger, none).count() == 0
     assert [tuple(r) for r in folds.after_actions(ledger, none).collect()] == [("g", "detected", 1, None)]
     assert folds.mapping_actions(spark.createDataFrame([], LOG), "m").count() == 0
+
+
+def mapping_loop(log):
+    out, state = [], {}
+    for m, ordinal, kind, version in sorted(log, key=lambda a: (a[0], a[1])):
+        s = state.setdefault(m, {"highest": 0, "active": None, "applied": set()})
+        there = version is not None and 1 <= version <= s["highest"]
+        if kind == "create":
+            s["highest"] = version = s["highest"] + 1
+            result = "created"
+        elif not there:
+            result = "no_such_version"
+        elif kind == "edit":
+            result = "frozen" if version in s["applied"] else "edited"
+        elif kind not in ("apply", "rollback"):
+            result = "unknown_kind"
+        elif version == s["active"]:
+            result = "already_active"
+        elif kind == "rollback" and s["active"] is not None and version > s["active"]:
+            result = "newer_than_active"
+        else:
+            result = "applied" if kind == "apply" else "rolled_back"
+            s["active"] = version
+            s["applied"].add(version)
+        out.append((m, ordinal, kind, version, result, s["active"], len(s["applied"])))
+    return out
+
+
+@pytest.mark.parametrize("most", [3, 40])
+def test_a_mapping_may_have_any_number_of_actions(spark, most):
+    """Against a loop, one mapping with most of the actions; no row or value holds all actions of one."""
+    import random
+
+    r = random.Random(most)
+    kinds = ["create"] * 1 + ["apply", "rollback", "rollback", "edit"] * 3 + ["burn"]
+    log = [("hot" if r.random() < 0.8 else f"m{r.randrange(200)}", n, r.choice(kinds), r.choice([None, *range(-1, most)])) for n in range(15_000)]
+    found = folds.mapping_actions(spark.createDataFrame(log, LOG).repartition(5), "m")
+    assert sorted(map(tuple, found.collect()), key=lambda x: x[:2]) == mapping_loop(log)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
