@@ -27,7 +27,7 @@ def split(stream: DataFrame, folder: str, time: str, delay: str) -> None:
         marks = _read(spark, MARK, f"{folder}/marks")
         high = marks.where(F.col("batch") < number).agg(F.max("high")).first()[0] if marks is not None else None
         late = F.col(time).isNull() if high is None else F.col(time).isNull() | (F.col(time) < F.lit(high) - F.expr(f"INTERVAL {delay}"))
-        batch.withColumn("late", late).coalesce(1).write.partitionBy("late").mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        batch.withColumn("late", late).write.partitionBy("late").mode("overwrite").parquet(f"{folder}/rows/batch={number}")
         own = batch.agg(F.max(time)).first()[0]
         spark.createDataFrame([(number, own)], MARK).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/mark={number}")
 
@@ -49,8 +49,11 @@ def rows(spark: SparkSession, folder: str, schema: StructType, late: bool) -> Da
 
 
 def sessions(spark: SparkSession, folder: str, schema: StructType, key: str, time: str, delay: str, gap: str) -> None:
-    """Appends the sessions that have closed; call again after more rows, or after close()."""
-    on_time = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/rows/batch=*/late=false")
+    """Appends the sessions that have closed; call again after more rows, or after close().
+
+    What has come since the last call is one micro-batch: a part of a batch alone could move the watermark past rows of the rest.
+    """
+    on_time = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/rows/batch=*/late=false")
     counted = on_time.withWatermark(time, delay).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"), F.min(time).alias("started_at"), F.max(time).alias("ended_at"))
     out = counted.select(key, "started_at", "ended_at", "n").writeStream.format("parquet").outputMode("append").option("path", f"{folder}/sessions")
     out.option("checkpointLocation", f"{folder}/session-state").trigger(availableNow=True).start().awaitTermination()

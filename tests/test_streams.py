@@ -264,3 +264,17 @@ def test_late_rows_and_sessions_over_restarts(spark, tmp_path):
     found, late = go()
     assert found == [(1, 1, 3, 4), (1, 5, 5, 1), (2, 2, 2, 1), (2, 9, 9, 1)]
     assert sum(n for *_, n in found) + len(late) == 9
+
+
+def test_a_batch_is_many_tasks_work_and_its_sessions_are_whole(spark, tmp_path):
+    """The parts of a batch lie further apart than the delay; none is late for another."""
+    top, n = str(tmp_path), 300
+    rows = spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("at"))
+    rows.repartitionByRange(3, F.col("event_id").desc()).write.parquet(f"{top}/events")
+    sessions.split(spark.readStream.schema(streams.EVENT).parquet(f"{top}/events"), top, "at", "2 hours")
+    assert len(list((tmp_path / "rows" / "batch=0" / "late=false").glob("*.parquet"))) == 3
+    sessions.sessions(spark, top, streams.EVENT, "user_id", "at", "2 hours", "1 hour")
+    sessions.close(spark, top, streams.EVENT, "user_id", "at", "2 hours", "1 hour")
+    sessions.sessions(spark, top, streams.EVENT, "user_id", "at", "2 hours", "1 hour")
+    found = spark.read.parquet(f"{top}/sessions").collect()
+    assert len(found) == n and sum(r.n for r in found) == n  # seven hours between a user's events
