@@ -99,3 +99,23 @@ def test_versions_of_parts_are_not_sent_to_all_tasks(spark):
     sales = governed.scd2_cost(spark, SF)
     assert sales.where("cost_minor is not null").count() == sales.count() > 0
     assert "Broadcast" not in sales._jdf.queryExecution().executedPlan().toString()
+
+
+def test_correlations_of_a_key_that_many_share(spark, monkeypatch):
+    """Against a loop; pairs come once without being compared with each other, and no task has all findings of a key."""
+    monkeypatch.setattr(ledger, "BLOCK", 7, raising=False)
+    r = random.Random(5)
+    rows = [(r.choice("mno"), "user", r.choice([None, *map(str, range(60))]), r.choice([None, [], ["k"], ["k", None], ["k", "q"], [f"r{r.randrange(9)}"]]), r.choice(["w1", "w2", None])) for _ in range(250)]
+    found = spark.createDataFrame(rows, "gap_type string, scope_type string, scope_id string, correlation_keys array<string>, window_start string").withColumn("window_end", F.col("window_start"))
+    want = set()
+    for g, _, s, k, w in rows:
+        for h, _, t, q, v in rows:
+            shared = s is not None and s == t and w is not None and w == v or ({*(k or ())} - {None}) & {*(q or ())}
+            a, b = ":".join(filter(None, (g, s))), ":".join(filter(None, (h, t)))
+            if shared and a < b:
+                want.add((a, b))
+    pairs = ledger.correlate(found)
+    got = sorted(map(tuple, pairs.collect()))
+    assert got == sorted(want) and len(want) > 1000
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "Distinct" not in plan and "Aggregate [a#" not in plan
