@@ -13,13 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE = "first_seen long, last_seen long, ordinal long, updates long, observed double, stale boolean, sequence long"
 CHANGE = "dedupe_key string, change string, first_seen long, last_seen long, updates long, observed double, stale boolean, sequence long"
+CHANGED = Row(*(field.split()[0] for field in CHANGE.split(", ")))
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,12 +33,12 @@ class EvolvingGap(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.gap = handle, handle.getValueState("gap", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        found = [r for batch in rows for r in batch[["at", "ordinal", "observed"]].itertuples(index=False)]
-        known = self.gap.get() if self.gap.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.gap.get()  # one call to the store; None if there is none
         first, last, ordinal, updates, observed, _, sequence = known or (None, None, None, -1, None, False, 0)
-        for at, number, value in found:
-            at, number, value = int(at), int(number), None if pd.isna(value) else float(value)
+        for row in rows:
+            at, number, value = row.at, row.ordinal, row.observed
+            value = None if value is None or value != value else value
             first = at if first is None else min(first, at)
             if last is None or (at, number) >= (last, ordinal):
                 last, ordinal, observed = at, number, value
@@ -50,22 +50,18 @@ class EvolvingGap(StatefulProcessor):
                 self.handle.deleteTimer(self._due(known[1]))
             self.handle.registerTimer(self._due(last))
         self.gap.update((first, last, ordinal, updates, observed, stale, sequence + 1))
-        yield self._change(key, "updated" if known else "created")
+        yield CHANGED(key[0], "updated" if known else "created", first, last, updates, observed, stale, sequence + 1)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         first, last, ordinal, updates, observed, _, sequence = self.gap.get()
         if expiredTimerInfo.getExpiryTimeInMs() >= self._due(last):
             self.gap.update((first, last, ordinal, updates, observed, True, sequence + 1))
-            yield self._change(key, "stale")
+            yield CHANGED(key[0], "stale", first, last, updates, observed, True, sequence + 1)
 
     def _due(self, last: int) -> int:
         """Milliseconds."""
         return (last + self.stale_after) // 1000
 
-    def _change(self, key, what: str) -> pd.DataFrame:
-        first, last, _, updates, observed, stale, sequence = self.gap.get()
-        return pd.DataFrame({"dedupe_key": [key[0]], "change": [what], "first_seen": [first], "last_seen": [last], "updates": [updates], "observed": pd.Series([observed], dtype="float64"), "stale": [stale], "sequence": [sequence]})
-
     def close(self) -> None:
         """Nothing is held outside the state."""
 
@@ -85,7 +81,7 @@ def changes(findings: DataFrame, stale_seconds: int, delay: str) -> DataFrame:
     """Every change of every gap. findings: a stream of dedupe_key, run_at (timestamp), ordinal, observed."""
     rows = findings.select("dedupe_key", F.col("run_at"), F.unix_micros("run_at").alias("at"), F.col("ordinal").cast("long").alias("ordinal"), F.col("observed").cast("double").alias("observed"))
     keyed = rows.withWatermark("run_at", delay).groupBy("dedupe_key")
-    return keyed.transformWithStateInPandas(EvolvingGap(stale_seconds * 1_000_000), CHANGE, "Update", "EventTime")
+    return keyed.transformWithState(EvolvingGap(stale_seconds * 1_000_000), CHANGE, "Update", "EventTime")
 
 
 def keep_up(stream: DataFrame, folder: str) -> None:

@@ -278,3 +278,28 @@ def test_a_batch_is_many_tasks_work_and_its_sessions_are_whole(spark, tmp_path):
     sessions.sessions(spark, top, streams.EVENT, "user_id", "at", "2 hours", "1 hour")
     found = spark.read.parquet(f"{top}/sessions").collect()
     assert len(found) == n and sum(r.n for r in found) == n  # seven hours between a user's events
+
+
+def test_a_gap_asks_the_store_once_a_batch():
+    """Each call to the store is a message to another process; a key's findings need one to read and one to write."""
+    from pyspark.sql import Row
+
+    class Store:
+        def __init__(self):
+            self.value, self.calls = None, []
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    gap, timers = evolving.EvolvingGap(10), []
+    gap.gap = store = Store()
+    gap.handle = type("Handle", (), {"registerTimer": lambda self, t: timers.append(t), "deleteTimer": lambda self, t: timers.remove(t)})()
+    (made,) = gap.handleInputRows(("k",), iter([Row(at=1000, ordinal=1, observed=0.5), Row(at=3000, ordinal=1, observed=float("nan"))]), None)
+    (moved,) = gap.handleInputRows(("k",), iter([Row(at=2000, ordinal=1, observed=0.7)]), None)
+    assert (made.change, made.updates, made.observed, moved.change, moved.last_seen, moved.updates, moved.observed) == ("created", 1, None, "updated", 3000, 2, None)
+    assert store.calls == ["get", "update"] * 2 and len(timers) == 1
