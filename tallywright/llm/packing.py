@@ -20,15 +20,15 @@ rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import keep, ranked, ship
@@ -65,6 +65,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
 
 
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+RUN = ["_x", "_first", "_n", "_sequence", "_each", "_offset", "_room", "_gaps"]
 PLACE = [*PIECE, "sequence_id", "offset", "room", "_gap"]
 
 
@@ -78,10 +79,26 @@ def bands(capacity: int) -> list[tuple[int, int]]:
     return [b for b in out if b[0] <= b[1]]
 
 
-def numbers(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
-    """Whole numbers as a table that is part of the plan: at most a few times capacity of them, all known to the driver."""
-    columns = list(zip(*rows)) or [[] for _ in names.split(", ")]
-    return F.broadcast(spark.createDataFrame(pa.table({c: pa.array(v, pa.int64()) for c, v in zip(names.split(", "), columns)})))
+def constants(values: Iterable[int]) -> Column:
+    """Whole numbers as one constant array."""
+    return F.split(F.lit(",".join(map(str, values)) or "0"), ",").cast("array<long>")
+
+
+def looked_up(values: dict[int, int], key: Column, most: int, other: int = 0) -> Column:
+    """values[key] for a key from 0 to most, other where there is none. No join: what is broadcast stays with the driver until it collects its garbage."""
+    return F.element_at(constants(values.get(i, other) for i in range(most + 1)), (key + 1).cast("int"))
+
+
+def shifted(moved: dict[tuple[int, int], tuple[int, int]], room: Column, length: Column, most: int) -> Column:
+    """The number that moved has for (room, length): a room's lengths lie beside each other in one array."""
+    keys = sorted(moved)
+    number = Counter(r for r, _ in keys)
+    first, at = {}, 1
+    for r in sorted(number):
+        first[r], at = at, at + number[r]
+    start = looked_up(first, room, most).cast("int")
+    own = F.slice(constants(x for _, x in keys), start, looked_up(number, room, most).cast("int"))
+    return F.element_at(constants(moved[k][1] for k in keys), (start + F.array_position(own, length) - 1).cast("int"))
 
 
 def sweep(lengths: dict[int, int], rooms: dict[int, int]) -> tuple[dict, dict, Counter, dict]:
@@ -123,22 +140,22 @@ def sweep(lengths: dict[int, int], rooms: dict[int, int]) -> tuple[dict, dict, C
 
 def matched(pieces: DataFrame, gaps: DataFrame, counts: dict[int, int], swept: tuple[dict, dict, Counter, dict], capacity: int) -> DataFrame:
     """One row a gap, with the columns PLACE: the piece it takes, or nulls, and the room left."""
-    spark = pieces.sparkSession
     heights, takes, _, moved = swept
-    ups = numbers(spark, "_x, _height, _waits, _counted", [(x, h, u, counts[x]) for x, (h, u) in heights.items()])
-    downs = numbers(spark, "_x, _height, _takes", [(r, h, n) for r, (h, n) in takes.items()])
-    shifts = numbers(spark, "_of, _by, room, _shift", [(*k, *v) for k, v in moved.items()])
-    up = pieces.join(ups, F.col("length") == F.col("_x")).where("_rank >= _waits AND _rank < _counted")
+    of_length = {x: (h, u, counts[x]) for x, (h, u) in heights.items()}
+    height, waits, counted = (looked_up({x: v[i] for x, v in of_length.items()}, F.col("length"), capacity) for i in range(3))
+    up = pieces.withColumn("_height", height).where((F.col("_rank") >= waits) & (F.col("_rank") < counted))
     asks = up.select((F.col("_height") + F.col("_rank")).alias("_at"), F.col("length").alias("_size"), F.lit(0).alias("_kind"), F.struct(*PIECE).alias("_p"))
-    down = gaps.join(downs, F.col("room") == F.col("_x"))
+    top, number = (looked_up({r: v[i] for r, v in takes.items()}, F.col("room"), capacity) for i in range(2))
+    known = looked_up(dict.fromkeys(takes, 1), F.col("room"), capacity) == 1
+    down = gaps.where(known).withColumns({"_height": top, "_takes": number})
     offers = down.where("_gap < _takes").select((F.col("_height") - F.col("_gap")).alias("_at"), F.col("room").alias("_size"), F.lit(1).alias("_kind"), "sequence_id", "_gap")
     together = asks.unionByName(offers, allowMissingColumns=True)
     pairs = together.withColumn("_p", F.lag("_p").over(Window.partitionBy("_at").orderBy("_size", "_kind"))).where("_kind = 1")
     met = pairs.select("_p.*", "sequence_id", F.col("_size").alias("_was"), "_gap")
     kept = down.where("_gap >= _takes").select("sequence_id", F.col("room").alias("_was"), "_gap")
     rows = met.unionByName(kept, allowMissingColumns=True)
-    rows = rows.join(shifts, (F.col("_was") == F.col("_of")) & (F.coalesce("length", F.lit(0)) == F.col("_by")))
-    return rows.select(*PIECE, "sequence_id", (capacity - F.col("_was")).alias("offset"), "room", (F.col("_gap") + F.col("_shift")).alias("_gap"))
+    by = F.coalesce("length", F.lit(0))
+    return rows.select(*PIECE, "sequence_id", (capacity - F.col("_was")).alias("offset"), (F.col("_was") - by).alias("room"), (F.col("_gap") + shifted(moved, F.col("_was"), by, capacity)).alias("_gap"))
 
 
 def groups(waiting: dict[int, int], capacity: int, sequence: int, rooms: Counter) -> list[tuple[int, ...]]:
@@ -180,10 +197,23 @@ def groups(waiting: dict[int, int], capacity: int, sequence: int, rooms: Counter
     return [tuple(run) for run in runs]
 
 
-def opened(pieces: DataFrame, runs: list[tuple[int, ...]]) -> DataFrame:
+def opened(pieces: DataFrame, runs: list[tuple[int, ...]], capacity: int) -> DataFrame:
     """The pieces of ``runs``, with the columns PLACE; a sequence's first piece has its gap."""
-    table = numbers(pieces.sparkSession, "_x, _first, _n, _sequence, _each, _offset, _room, _gaps", runs)
-    rows = pieces.join(table, F.col("length") == F.col("_x")).withColumn("_at", F.col("_rank") - F.col("_first")).where("_at >= 0 AND _at < _n")
+    of: dict[int, list[tuple[int, ...]]] = {}
+    for run in sorted(runs):
+        of.setdefault(run[0], []).append(run)
+    table, begin = [(0, 0, 0, 0, 1, 0, 0, 0)], {}  # the first run has no pieces: that of all other lengths
+    for x, own in of.items():
+        begin[x] = len(table) + 1
+        table += own
+    length, rank = F.col("length"), F.col("_rank")
+    at = looked_up(begin, length, capacity, 1)
+    for k in range(1, max(map(len, of.values()))):
+        later = {x: own[k][1] for x, own in of.items() if len(own) > k}
+        at = at + F.when(rank >= looked_up(later, length, capacity, sys.maxsize), 1).otherwise(0)
+    rows = pieces.withColumn("_run", at.cast("int"))
+    rows = rows.withColumns({name: F.element_at(constants(run[i] for run in table), F.col("_run")) for i, name in enumerate(RUN)})
+    rows = rows.withColumn("_at", rank - F.col("_first")).where("_at >= 0 AND _at < _n")
     gap, new = F.expr("_at div _each"), F.expr("_at % _each = 0 AND _room > 0")
     offset = F.expr("_offset + (_at % _each) * _x")
     return rows.select(*PIECE, (F.col("_sequence") + gap).alias("sequence_id"), offset.alias("offset"), F.when(new, F.col("_room")).alias("room"), F.when(new, F.col("_gaps") + gap).alias("_gap"))
@@ -221,7 +251,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     for band, waiting, swept, runs in supersteps(counts, capacity):
         rows = cut.where(F.col("length").between(*band))
         parts = [matched(rows, gaps, waiting, swept, capacity)] if gaps is not None else []
-        parts += [opened(rows, runs)] if runs else []
+        parts += [opened(rows, runs, capacity)] if runs else []
         step = keep(reduce(DataFrame.unionByName, parts))
         placed.append(step.where("length IS NOT NULL").select(*nothing.columns))
         gaps = step.where("room > 0").select("sequence_id", "room", "_gap")

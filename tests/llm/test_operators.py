@@ -140,6 +140,20 @@ def test_sweep_is_the_stack_of_single_rows(lengths, rooms):
     assert got == pairs
 
 
+def test_packing_broadcasts_nothing(docs, monkeypatch):
+    """What is broadcast stays in the driver's memory over many supersteps: the figures of a sweep are constants of its plan."""
+    plans, kept = [], packing.keep
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(packing, "keep", seen)
+    rows = packing.pack(docs, tokenizer_file(), capacity=64)
+    assert rows.count() and len(plans) > 4
+    assert not [p for p in plans[2:] if "broadcast" in p or "LocalRelation" in p or "LogicalRDD" in p or " Join " in p]
+
+
 def test_packing_of_many_short_and_long_documents(spark):
     """Bands, sweeps and full groups at a small capacity: whole, gapless, and hardly more sequences than best-fit decreasing."""
     r = np.random.default_rng(3)
