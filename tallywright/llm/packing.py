@@ -20,10 +20,9 @@ rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import sys
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,6 +37,9 @@ from .tokens import encoder
 HARMONICS, SHARED = 6, 4
 #: A band sweeps on while a sweep places at least one in so many of the pieces that wait.
 LITTLE = 64
+#: A rank among pieces of one length has so many bits at most.
+BITS = 48
+
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32."""
@@ -65,7 +67,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
 
 
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
-RUN = ["_x", "_first", "_n", "_sequence", "_each", "_offset", "_room", "_gaps"]
 PLACE = [*PIECE, "sequence_id", "offset", "room", "_gap"]
 
 
@@ -79,26 +80,31 @@ def bands(capacity: int) -> list[tuple[int, int]]:
     return [b for b in out if b[0] <= b[1]]
 
 
-def constants(values: Iterable[int]) -> Column:
-    """Whole numbers as one constant array."""
-    return F.split(F.lit(",".join(map(str, values)) or "0"), ",").cast("array<long>")
+def figures(names: str, find: Callable[..., Iterable[np.ndarray]]) -> Callable[..., Column]:
+    """Whole numbers, as a struct, that find has for columns of whole numbers, in numpy.
+
+    What it looks up goes to the tasks with it: constants are written out in a plan's text, which stays with the driver for each superstep anew, and so does what is broadcast.
+    """
+
+    def found(*keys: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(names.split(), find(*[k.to_numpy() for k in keys]))))
+
+    return F.pandas_udf(found, ", ".join(f"{n} long" for n in names.split()))
 
 
-def looked_up(values: dict[int, int], key: Column, most: int, other: int = 0) -> Column:
-    """values[key] for a key from 0 to most, other where there is none. No join: what is broadcast stays with the driver until it collects its garbage."""
-    return F.element_at(constants(values.get(i, other) for i in range(most + 1)), (key + 1).cast("int"))
+def by_size(names: str, values: dict[int, tuple[int, ...]], most: int) -> Callable[..., Column]:
+    """The figures values[size] of a size from 0 to most; 0 where there are none."""
+    table = np.zeros((len(names.split()), most + 1), np.int64)
+    for size, own in values.items():
+        table[:, size] = own
+    return figures(names, lambda size: table[:, size])
 
 
-def shifted(moved: dict[tuple[int, int], tuple[int, int]], room: Column, length: Column, most: int) -> Column:
-    """The number that moved has for (room, length): a room's lengths lie beside each other in one array."""
-    keys = sorted(moved)
-    number = Counter(r for r, _ in keys)
-    first, at = {}, 1
-    for r in sorted(number):
-        first[r], at = at, at + number[r]
-    start = looked_up(first, room, most).cast("int")
-    own = F.slice(constants(x for _, x in keys), start, looked_up(number, room, most).cast("int"))
-    return F.element_at(constants(moved[k][1] for k in keys), (start + F.array_position(own, length) - 1).cast("int"))
+def shifted(moved: dict[tuple[int, int], tuple[int, int]], most: int) -> Callable[..., Column]:
+    """The number that moved has for (room, length)."""
+    keys = np.array([r * (most + 1) + x for r, x in sorted(moved)], np.int64)
+    shifts = np.array([moved[k][1] for k in sorted(moved)], np.int64)
+    return figures("shift", lambda room, length: [shifts[np.searchsorted(keys, room * (most + 1) + length)]])
 
 
 def sweep(lengths: dict[int, int], rooms: dict[int, int]) -> tuple[dict, dict, Counter, dict]:
@@ -141,21 +147,19 @@ def sweep(lengths: dict[int, int], rooms: dict[int, int]) -> tuple[dict, dict, C
 def matched(pieces: DataFrame, gaps: DataFrame, counts: dict[int, int], swept: tuple[dict, dict, Counter, dict], capacity: int) -> DataFrame:
     """One row a gap, with the columns PLACE: the piece it takes, or nulls, and the room left."""
     heights, takes, _, moved = swept
-    of_length = {x: (h, u, counts[x]) for x, (h, u) in heights.items()}
-    height, waits, counted = (looked_up({x: v[i] for x, v in of_length.items()}, F.col("length"), capacity) for i in range(3))
-    up = pieces.withColumn("_height", height).where((F.col("_rank") >= waits) & (F.col("_rank") < counted))
-    asks = up.select((F.col("_height") + F.col("_rank")).alias("_at"), F.col("length").alias("_size"), F.lit(0).alias("_kind"), F.struct(*PIECE).alias("_p"))
-    top, number = (looked_up({r: v[i] for r, v in takes.items()}, F.col("room"), capacity) for i in range(2))
-    known = looked_up(dict.fromkeys(takes, 1), F.col("room"), capacity) == 1
-    down = gaps.where(known).withColumns({"_height": top, "_takes": number})
-    offers = down.where("_gap < _takes").select((F.col("_height") - F.col("_gap")).alias("_at"), F.col("room").alias("_size"), F.lit(1).alias("_kind"), "sequence_id", "_gap")
+    of_length = by_size("height waits counted", {x: (h, u, counts[x]) for x, (h, u) in heights.items()}, capacity)
+    up = pieces.withColumn("_of", of_length("length")).where("_rank >= _of.waits AND _rank < _of.counted")
+    asks = up.select((F.col("_of.height") + F.col("_rank")).alias("_at"), F.col("length").alias("_size"), F.lit(0).alias("_kind"), F.struct(*PIECE).alias("_p"))
+    of_room = by_size("height takes known", {r: (h, n, 1) for r, (h, n) in takes.items()}, capacity)
+    down = gaps.withColumn("_of", of_room("room")).where("_of.known = 1")
+    offers = down.where("_gap < _of.takes").select((F.col("_of.height") - F.col("_gap")).alias("_at"), F.col("room").alias("_size"), F.lit(1).alias("_kind"), "sequence_id", "_gap")
     together = asks.unionByName(offers, allowMissingColumns=True)
     pairs = together.withColumn("_p", F.lag("_p").over(Window.partitionBy("_at").orderBy("_size", "_kind"))).where("_kind = 1")
     met = pairs.select("_p.*", "sequence_id", F.col("_size").alias("_was"), "_gap")
-    kept = down.where("_gap >= _takes").select("sequence_id", F.col("room").alias("_was"), "_gap")
+    kept = down.where("_gap >= _of.takes").select("sequence_id", F.col("room").alias("_was"), "_gap")
     rows = met.unionByName(kept, allowMissingColumns=True)
     by = F.coalesce("length", F.lit(0))
-    return rows.select(*PIECE, "sequence_id", (capacity - F.col("_was")).alias("offset"), (F.col("_was") - by).alias("room"), (F.col("_gap") + shifted(moved, F.col("_was"), by, capacity)).alias("_gap"))
+    return rows.select(*PIECE, "sequence_id", (capacity - F.col("_was")).alias("offset"), (F.col("_was") - by).alias("room"), (F.col("_gap") + shifted(moved, capacity)("_was", by)["shift"]).alias("_gap"))
 
 
 def groups(waiting: dict[int, int], capacity: int, sequence: int, rooms: Counter) -> list[tuple[int, ...]]:
@@ -197,26 +201,27 @@ def groups(waiting: dict[int, int], capacity: int, sequence: int, rooms: Counter
     return [tuple(run) for run in runs]
 
 
-def opened(pieces: DataFrame, runs: list[tuple[int, ...]], capacity: int) -> DataFrame:
+def run_of(runs: list[tuple[int, ...]]) -> Callable[..., Column]:
+    """Sequence, offset, room and rank of the gap for (length, rank) of a piece of ``runs``; sequence -1 for others, room 0 where a piece has no gap."""
+    x, first, n, sequence, each, offset, room, gaps = np.array(sorted(runs), np.int64).T
+    begin = (x << BITS) + first
+
+    def find(length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+        k = np.maximum(np.searchsorted(begin, (length << BITS) + rank, "right") - 1, 0)
+        at = rank - first[k]
+        own = (x[k] == length) & (at >= 0) & (at < n[k])
+        group, place = at // each[k], at % each[k]
+        return np.where(own, sequence[k] + group, -1), offset[k] + place * x[k], np.where(place == 0, room[k], 0), gaps[k] + group
+
+    return figures("sequence offset room gap", find)
+
+
+def opened(pieces: DataFrame, runs: list[tuple[int, ...]]) -> DataFrame:
     """The pieces of ``runs``, with the columns PLACE; a sequence's first piece has its gap."""
-    of: dict[int, list[tuple[int, ...]]] = {}
-    for run in sorted(runs):
-        of.setdefault(run[0], []).append(run)
-    table, begin = [(0, 0, 0, 0, 1, 0, 0, 0)], {}  # the first run has no pieces: that of all other lengths
-    for x, own in of.items():
-        begin[x] = len(table) + 1
-        table += own
-    length, rank = F.col("length"), F.col("_rank")
-    at = looked_up(begin, length, capacity, 1)
-    for k in range(1, max(map(len, of.values()))):
-        later = {x: own[k][1] for x, own in of.items() if len(own) > k}
-        at = at + F.when(rank >= looked_up(later, length, capacity, sys.maxsize), 1).otherwise(0)
-    rows = pieces.withColumn("_run", at.cast("int"))
-    rows = rows.withColumns({name: F.element_at(constants(run[i] for run in table), F.col("_run")) for i, name in enumerate(RUN)})
-    rows = rows.withColumn("_at", rank - F.col("_first")).where("_at >= 0 AND _at < _n")
-    gap, new = F.expr("_at div _each"), F.expr("_at % _each = 0 AND _room > 0")
-    offset = F.expr("_offset + (_at % _each) * _x")
-    return rows.select(*PIECE, (F.col("_sequence") + gap).alias("sequence_id"), offset.alias("offset"), F.when(new, F.col("_room")).alias("room"), F.when(new, F.col("_gaps") + gap).alias("_gap"))
+    rows = pieces.withColumn("_of", run_of(runs)("length", "_rank")).where("_of.sequence >= 0")
+    new = F.col("_of.room") > 0
+    gap = [F.when(new, F.col("_of.room")).alias("room"), F.when(new, F.col("_of.gap")).alias("_gap")]
+    return rows.select(*PIECE, F.col("_of.sequence").alias("sequence_id"), F.col("_of.offset").alias("offset"), *gap)
 
 
 def supersteps(counts: dict[int, int], capacity: int) -> Iterator[tuple]:
@@ -251,7 +256,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     for band, waiting, swept, runs in supersteps(counts, capacity):
         rows = cut.where(F.col("length").between(*band))
         parts = [matched(rows, gaps, waiting, swept, capacity)] if gaps is not None else []
-        parts += [opened(rows, runs, capacity)] if runs else []
+        parts += [opened(rows, runs)] if runs else []
         step = keep(reduce(DataFrame.unionByName, parts))
         placed.append(step.where("length IS NOT NULL").select(*nothing.columns))
         gaps = step.where("room > 0").select("sequence_id", "room", "_gap")

@@ -154,6 +154,19 @@ def test_packing_broadcasts_nothing(docs, monkeypatch):
     assert not [p for p in plans[2:] if "broadcast" in p or "LocalRelation" in p or "LogicalRDD" in p or " Join " in p]
 
 
+def test_packing_plans_do_not_grow_with_the_capacity(docs, monkeypatch):
+    """A plan's text stays with the driver: the figures of a sweep are not written out in it."""
+    plans, kept = [], packing.keep
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().toString())
+        return kept(df)
+
+    monkeypatch.setattr(packing, "keep", seen)
+    assert packing.pack(docs, tokenizer_file(), capacity=512).count() and len(plans) > 4
+    assert max(map(len, plans)) < 60_000
+
+
 def test_packing_of_many_short_and_long_documents(spark):
     """Bands, sweeps and full groups at a small capacity: whole, gapless, and hardly more sequences than best-fit decreasing."""
     r = np.random.default_rng(3)
