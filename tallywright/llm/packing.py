@@ -48,11 +48,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
     ship(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path).encode_all
         for batch in batches:
             out = []
-            for row, text in enumerate(batch["text"]):
-                ids = encode(text) + end
+            for row, own in enumerate(encode(batch["text"])):
+                ids = own + end
                 n = len(ids) // 4
                 a, b, k = 0, n % capacity or capacity, 0
                 while a < n:

@@ -147,7 +147,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
 
         fs, top = FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         fs.create_dir(top, recursive=True)
-        encode, open_file, done = encoder(tokenizer_path).encode, None, []
+        encode, open_file, done = encoder(tokenizer_path).encode_all, None, []
         width = 2 if encoder(tokenizer_path).vocabulary <= 1 << 16 else 4
         end = np.array([end_id], "<u4")
 
@@ -160,14 +160,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
             done.append((number, path, n_docs, n_ids))
 
         for batch in batches:
-            for number, doc_id, text in zip(batch["_file"], batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], strict=True):
+            for number, doc_id, ids in zip(batch["_file"], batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), encode(batch["text"]), strict=True):
                 if open_file is None or open_file[0] != number:
                     if open_file:
                         finish()
                     temporary = f"{top}/.{number:05d}-{uuid.uuid4().hex}"
                     stream = fs.open_output_stream(temporary)
                     open_file = (number, stream, Writer(stream, width, frame_bytes), temporary)
-                open_file[2].put(None if doc_id is None else int(doc_id), np.concatenate((np.frombuffer(encode(text), "<u4"), end)))
+                open_file[2].put(None if doc_id is None else int(doc_id), np.concatenate((np.frombuffer(ids, "<u4"), end)))
         if open_file:
             finish()
         yield pd.DataFrame(done, columns=["number", "path", "docs", "ids"])

@@ -61,6 +61,28 @@ def test_encoder_is_the_tokenizer(text):
     assert np.frombuffer(_ENCODER.encode(text), "<u4").tolist() == reference_ids(text)
 
 
+_ODD = st.text(alphabet=st.characters(exclude_categories=("Cs",)), max_size=30) | st.text(alphabet=" \n\t'.,!_aBst1²é中<|>\x1c ", max_size=40) | st.lists(st.sampled_from(["the", " of", "'s", " 's", "\n", "  ", ". ", " queéanquement", " Thanatth"]), max_size=9).map("".join)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | _ODD, max_size=30))
+def test_encoder_of_many_texts_is_the_tokenizer(texts):
+    global _SMALL
+    _SMALL = globals().get("_SMALL") or Encoder(tokenizer_file(), cached_pieces=50)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in _SMALL.encode_all(texts)] == [_SMALL.plain(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_encoder_looks_up_a_word_once_for_many_texts():
+    """However small the cache, a word costs one merge a group of texts; new plain words don't go through the library one by one."""
+    own = Encoder(tokenizer_file(), cached_pieces=5)
+    merged, merge = [], own.merges.encode
+    own.merges.encode = lambda pieces: merged.extend(pieces) or merge(pieces)
+    own.cache.model = None
+    texts = [" " + words(seed % 7, 40) for seed in range(60)]
+    assert len(list(own.encode_all(texts))) == 60
+    assert len(merged) == len(set(merged))
+
+
 def test_token_files_round_trip(spark, docs, none):
     files = tokenfile.write_token_files(docs, tokenizer_file(), frame_bytes=64)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read_token_files(spark, files).collect()), key=lambda r: r[1])
