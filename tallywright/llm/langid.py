@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from .shared import ship
+from .shared import ship, tables_of, tidied
 
 FEW = 12
 #: Symbols of texts that are parsed together.
@@ -123,7 +123,7 @@ def built(spark: SparkSession, symbols: list[np.ndarray]) -> list[np.ndarray]:
             made = [edges_of(np.frombuffer(s, "u1")).tobytes() for s in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["i", "edges"])
 
-    found = rows.repartition(max(1, len(symbols)), "i").mapInArrow(run, "i int, edges binary").collect()
+    found = rows.repartition(max(1, len(symbols)), "i").mapInArrow(tidied(run), "i int, edges binary").collect()
     return [np.frombuffer(r["edges"], "i4").reshape(-1, 3) for r in sorted(found, key=lambda r: r["i"])]
 
 
@@ -212,16 +212,12 @@ def learn(labelled: DataFrame, docs_per_language: int = 64, chars_per_language:
     return Model(samples, lambda symbols: built(labelled.sparkSession, symbols))
 
 
-_TABLES: dict[str, tuple] = {}
-_MODELS: dict[str, Model] = {}
-
-
 def unpacked(key: str, packed: bytes) -> Model:
-    """One for each Python worker."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = pickle.loads(packed)
-    return _MODELS[key]
+    """One for each Python worker, until it works for another operator."""
+    known = tables_of("langid")
+    if known.get("model", ("",))[0] != key:
+        known["model"] = key, pickle.loads(packed)
+    return known["model"][1]
 
 
 def phrases(model: Model, key: str, docs: list[np.ndarray]) -> np.ndarray:
@@ -230,10 +226,11 @@ def phrases(model: Model, key: str, docs: list[np.ndarray]) -> np.ndarray:
 
 
 def group_phrases(model: Model, key: str, group: int, docs: list[np.ndarray]) -> np.ndarray:
-    if f"{key}-{group}" not in _TABLES:
-        _TABLES.clear()  # one group's table at a time, however many languages
-        _TABLES[f"{key}-{group}"] = model.table(group)
-    table, starts, _ = _TABLES[f"{key}-{group}"]
+    known = tables_of("langid")
+    if known.get("table", ("",))[0] != (own := f"{key}-{group}"):
+        known.pop("table", None)  # one group's table at a time, however many languages
+        known["table"] = own, model.table(group)
+    table, starts, _ = known["table"][1]
     lengths = np.array([len(d) for d in docs], "i8")
     all_symbols = np.concatenate(docs) if docs else np.zeros(0, "u1")
     first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
@@ -357,7 +354,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 made = [pa.array(pred, "string"), pa.array(score, "float64"), pa.array(rate, "float64"), pa.array(size, "int64")]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *MADE])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .hashing import PRIME, mixed, salts, slices_hash
 from .linking import COMMON, link
-from .shared import KEY, identity, joined, keep, sheltered, ship, with_key, written
+from .shared import KEY, identity, joined, keep, sheltered, ship, tidied, with_key, written
 
 WORDS = 5
 ROWS, BANDS = 5, 21
@@ -147,7 +147,7 @@ def sketch_rows(docs: DataFrame, percent: int = 85) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "n_shingles", "digest", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *identity(F.col("text"), "t"), "text")
-    return rows.mapInArrow(run, "doc_id long, t1 long, t2 long, n_shingles long, digest binary, bands array<long>")
+    return rows.mapInArrow(tidied(run), "doc_id long, t1 long, t2 long, n_shingles long, digest binary, bands array<long>")
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 sets = [raw[8 * x : 8 * y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if y > x]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["digest", "set"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, set binary")
+    return docs.select("text").mapInArrow(tidied(run), "digest binary, set binary")
 
 
 def similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -183,7 +183,7 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * both >= percent * (len(u) + len(v) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], names=["a", "b"])
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(tidied(run), "a long, b long")
 
 
 #: Slots of the table of frequencies that orders elements: a fixed size, whatever the corpus.
@@ -203,7 +203,7 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         slot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(total[slot], pa.int64())], names=["slot", "n"])
 
-    rows = sets.select("set").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    rows = sets.select("set").mapInArrow(tidied(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     out = np.zeros(SLOTS, "i4")
     for r in rows.toArrow().to_batches():
         out[r.column(0).to_numpy()] = np.minimum(r.column(1).to_numpy(), 2**31 - 1)
@@ -233,7 +233,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype("i8")) for c in (keys, nodes, sizes, places)], names=["key", "node", "size", "place"])
 
-    return sets.select("node", "set").mapInArrow(run, "key long, node long, size long, place long")
+    return sets.select("node", "set").mapInArrow(tidied(run), "key long, node long, size long, place long")
 
 
 def grouped(docs: DataFrame, percent: int) -> DataFrame:

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import keep, ranked, ship
+from .shared import keep, ranked, ship, tables_of, tidied
 from .tokens import encoder
 
 #: Lengths above capacity / (HARMONICS + 1) have bands of their own by how many fill a sequence; shorter ones share bands.
@@ -63,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) ->
             yield made.astype({"doc_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInPandas(tidied(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -87,6 +87,7 @@ def figures(names: str, find: Callable[..., Iterable[np.ndarray]]) -> Callable[.
     """
 
     def found(*keys: pd.Series) -> pd.DataFrame:
+        tables_of("figures")  # the texts are encoded by now: workers need no tokenizer any more
         return pd.DataFrame(dict(zip(names.split(), find(*[k.to_numpy() for k in keys]))))
 
     return F.pandas_udf(found, ", ".join(f"{n} long" for n in names.split()))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -78,11 +80,15 @@ def joined(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
     return out if how == "left_anti" else out.drop("__doc", "__t1", "__t2")
 
 
+#: Bytes of a batch of rows for Python: the JVM and each worker hold several, beside the heap. Spark's own limit is a number of rows and so much, whatever the texts' lengths.
+BATCH, BYTES, USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", "12m", "67108864b"
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, unless they find it as the driver does (by PYTHONPATH or the working folder)."""
+    """Sends this package to the executors, unless they find it as the driver does (by PYTHONPATH or the working folder). Batches are BYTES unless set otherwise."""
+    if spark.conf.get(BATCH, USUAL) == USUAL:
+        spark.conf.set(BATCH, BYTES)
     top = Path(__file__).resolve().parents[2]
     known = [Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
     context = spark.sparkContext
@@ -92,6 +98,43 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def tidy() -> None:
+    """Gives the system back what memory this process has free: allocators keep it, and a Python worker lives on through the stages that follow."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+#: What an operator keeps in a Python worker between its tasks: its name and tables, those of one operator at a time.
+_TABLES: dict[str, dict] = {}
+
+
+def tables_of(operator: str) -> dict:
+    """This worker's tables of an operator; those of any other are let go, as workers outlive the stages they were made for."""
+    if operator not in _TABLES:
+        held = bool(_TABLES)
+        _TABLES.clear()
+        if held:
+            tidy()
+        _TABLES[operator] = {}
+    return _TABLES[operator]
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and tidy() when a task ends."""
+
+    def tidily(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return tidily
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -6,12 +6,13 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import tables_of, tidy
+
 #: A piece is a union of whole pre-tokens of the byte-level pattern: every place between two pieces is a place where that
 #: pattern always parts a text, so the pieces' ids in a row are the text's ids.
 PIECE = re.compile(r" ?[^\W_]+(?:'[^\W_]+)*| ?(?:[^\s\w]|_)+[^\W_]*|\s+(?!\S)|\s+")
@@ -176,7 +177,16 @@ class Encoder:
         yield from self._together(group)
 
     def _together(self, texts: list[str | None]) -> Iterator[bytes]:
-        """A blank before anything but white space begins a pre-token, so what lies between blanks is encoded by itself, with the blank before it."""
+        heads, ends, data = self._made(texts)
+        tidy()
+        for head, a, b in zip(heads, ends, ends[1:]):
+            yield head + data[a:b]
+
+    def _made(self, texts: list[str | None]) -> tuple[list[bytes], list[int], memoryview]:
+        """The ids up to each text's first blank, and those of what follows, with their places.
+
+        A blank before anything but white space begins a pre-token, so what lies between blanks is encoded by itself, with the blank before it.
+        """
         heads, rests = [], []
         for text in texts:
             parts = bool(text) and " " in text and not WIDE.search(text) and not self.in_one_go(text)
@@ -184,7 +194,10 @@ class Encoder:
             heads.append(self.encode(head))
             rests.append(rest)
         words = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        del rests
         known = words.flatten().dictionary_encode()
+        starts = np.frombuffer(words.buffers()[1], np.int32 if pa.types.is_list(words.type) else np.int64, len(words) + 1).copy()
+        del words  # of the texts' copies one at a time
         pieces, ends = [], [0]
         for word in known.dictionary.to_numpy(zero_copy_only=False):
             if word.isalpha():
@@ -193,14 +206,12 @@ class Encoder:
                 pieces += PIECE.findall(" " + word)
             ends.append(len(pieces))
         made = pa.array(map(self._looked_up(set(pieces)).__getitem__, pieces), pa.large_binary())
+        del pieces
         _, offsets, data = made.buffers()
         ends = np.frombuffer(offsets, np.int64, len(made) + 1)[ends]
         ids = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), data]).take(known.indices)
         _, offsets, data = ids.buffers()
-        ends = np.frombuffer(offsets, np.int64, len(ids) + 1)[np.frombuffer(words.buffers()[1], np.int32 if pa.types.is_list(words.type) else np.int64, len(words) + 1)].tolist()
-        data = memoryview(data or b"")
-        for head, a, b in zip(heads, ends, ends[1:]):
-            yield head + data[a:b]
+        return heads, np.frombuffer(offsets, np.int64, len(ids) + 1)[starts].tolist(), memoryview(data or b"")
 
     def _looked_up(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids by piece: the cache's, those of new short ones that are one pre-token made beside each other."""
@@ -219,7 +230,9 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker."""
-    return Encoder(path)
+    """One for each Python worker, until it works for another operator."""
+    known = tables_of("tokens")
+    if path not in known:
+        known[path] = Encoder(path)
+    return known[path]

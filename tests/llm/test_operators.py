@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import pickle
 import re
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallywright.llm import components, langid, linededup, linking, maxscore, minhash, mixing, packing, permindex, pii, sharding, tokenfile
+from tallywright.llm import components, langid, linededup, linking, maxscore, minhash, mixing, packing, permindex, pii, sharding, shared, tokenfile
 from tallywright.llm import vectors as vectors_module
 from tallywright.llm.queries import tokenizer_file
-from tallywright.llm.tokens import Encoder
+from tallywright.llm.tokens import Encoder, encoder
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, size int, shard string, target double, n int"
@@ -83,6 +88,59 @@ def test_encoder_looks_up_a_word_once_for_many_texts():
     assert len(merged) == len(set(merged))
 
 
+#: Prints the MB that stay with a process after a task, and after three groups of texts.
+_HELD = """
+import re
+import numpy as np
+from tallywright.llm.queries import tokenizer_file
+from tallywright.llm.shared import tidied
+from tallywright.llm.tokens import TOGETHER, encoder
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def run(batches):
+    for batch in batches:
+        texts = [bytes(2000) for _ in range(100_000)]
+        stay.extend(texts[::500])  # so that little of the heap's end is free
+        yield len(texts)
+
+stay, before = [], held()
+sum(tidied(run)(iter([1])))
+print(held() - before)
+letters = np.frombuffer("aeiotnsr  ".encode("utf-32-le"), "u4")
+rng = np.random.default_rng(1)
+texts = [letters[rng.integers(0, 10, 1 << 19)].tobytes().decode("utf-32-le") for _ in range(3 * (TOGETHER >> 19))]
+encode, before = encoder(tokenizer_file()).encode_all, held()
+sum(map(len, encode(texts)))
+print(held() - before)
+"""
+
+
+def test_workers_keep_little_memory_between_tasks_and_groups():
+    top = Path(tokenfile.__file__).parents[2]
+    task, groups = map(float, subprocess.run([sys.executable, "-c", _HELD], cwd=top, capture_output=True, text=True, check=True).stdout.split())
+    assert task < 50
+    assert groups < 55
+
+
+def test_workers_hold_one_operators_tables(spark):
+    encoder(tokenizer_file())
+    model = langid.Model({"en": langid.letters("some words of a language")})
+    langid.phrases(langid.unpacked("k", pickle.dumps(model)), "k", [model.symbols(langid.letters("words"))])
+    assert sorted(shared._TABLES) == ["langid"]
+    packing.by_size("room", {1: (1,)}, 4).func(pd.Series([1]))
+    assert sorted(shared._TABLES) == ["figures"]
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    """Thirty texts of a million characters each, in one partition."""
+    shared.ship(spark)
+    long = spark.range(30, numPartitions=1).select(F.repeat(F.lit("x"), 1_000_000).alias("text"))
+    rows = long.mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert sum(r.n for r in rows) == 30 and max(r.n for r in rows) <= 13
+
+
 def test_token_files_round_trip(spark, docs, none):
     files = tokenfile.write_token_files(docs, tokenizer_file(), frame_bytes=64)
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.read_token_files(spark, files).collect()), key=lambda r: r[1])
