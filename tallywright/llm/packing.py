@@ -151,16 +151,18 @@ def matched(pieces: DataFrame, gaps: DataFrame, counts: dict[int, int], swept: t
     of_length = by_size("height waits counted", {x: (h, u, counts[x]) for x, (h, u) in heights.items()}, capacity)
     up = pieces.withColumn("_of", of_length("length")).where("_rank >= _of.waits AND _rank < _of.counted")
     asks = up.select((F.col("_of.height") + F.col("_rank")).alias("_at"), F.col("length").alias("_size"), F.lit(0).alias("_kind"), F.struct(*PIECE).alias("_p"))
-    of_room = by_size("height takes known", {r: (h, n, 1) for r, (h, n) in takes.items()}, capacity)
+    of_room = by_size("height takes known shift", {r: (h, n, 1, moved.get((r, 0), (0, 0))[1]) for r, (h, n) in takes.items()}, capacity)
     down = gaps.withColumn("_of", of_room("room")).where("_of.known = 1")
     offers = down.where("_gap < _of.takes").select((F.col("_of.height") - F.col("_gap")).alias("_at"), F.col("room").alias("_size"), F.lit(1).alias("_kind"), "sequence_id", "_gap")
     together = asks.unionByName(offers, allowMissingColumns=True)
     pairs = together.withColumn("_p", F.lag("_p").over(Window.partitionBy("_at").orderBy("_size", "_kind"))).where("_kind = 1")
     met = pairs.select("_p.*", "sequence_id", F.col("_size").alias("_was"), "_gap")
-    kept = down.where("_gap >= _of.takes").select("sequence_id", F.col("room").alias("_was"), "_gap")
+    met = met.withColumn("_shift", shifted(moved, capacity)("_was", "length")["shift"])
+    # no task has two pandas functions in a row: each would have a worker of its own, and those stay
+    kept = down.where("_gap >= _of.takes").select("sequence_id", F.col("room").alias("_was"), "_gap", F.col("_of.shift").alias("_shift"))
     rows = met.unionByName(kept, allowMissingColumns=True)
     by = F.coalesce("length", F.lit(0))
-    return rows.select(*PIECE, "sequence_id", (capacity - F.col("_was")).alias("offset"), (F.col("_was") - by).alias("room"), (F.col("_gap") + shifted(moved, capacity)("_was", by)["shift"]).alias("_gap"))
+    return rows.select(*PIECE, "sequence_id", (capacity - F.col("_was")).alias("offset"), (F.col("_was") - by).alias("room"), (F.col("_gap") + F.col("_shift")).alias("_gap"))
 
 
 def groups(waiting: dict[int, int], capacity: int, sequence: int, rooms: Counter) -> list[tuple[int, ...]]:

@@ -133,6 +133,16 @@ def test_workers_hold_one_operators_tables(spark):
     assert sorted(shared._TABLES) == ["figures"]
 
 
+def test_a_superstep_has_no_pandas_function_above_another(spark):
+    """One of two pieces goes into one of two gaps; what all rows get after is no work for Python."""
+    pieces = spark.createDataFrame([(1, 0, 0, 5, 7, 0), (2, 0, 0, 6, 8, 0)], "doc_id long, piece int, start long, length long, ids_crc32 long, _rank long")
+    gaps = spark.createDataFrame([(10, 5, 0), (11, 3, 0)], "sequence_id long, room long, _gap long")
+    step = packing.matched(pieces, gaps, {5: 1, 6: 1}, packing.sweep({5: 1, 6: 1}, {5: 1, 3: 1}), 9)
+    assert {(r.doc_id, r.sequence_id, r.offset, r.room, r._gap) for r in step.collect()} >= {(1, 10, 4, 0, 0), (None, 11, 6, 3, 0)}
+    plan = step._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("ArrowEvalPython")
+
+
 def test_batches_for_python_are_bounded_in_bytes(spark):
     """Thirty texts of a million characters each, in one partition."""
     shared.ship(spark)
