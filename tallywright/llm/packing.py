@@ -90,7 +90,8 @@ def figures(names: str, find: Callable[..., Iterable[np.ndarray]]) -> Callable[.
         tables_of("figures")  # the texts are encoded by now: workers need no tokenizer any more
         return pd.DataFrame(dict(zip(names.split(), find(*[k.to_numpy() for k in keys]))))
 
-    return F.pandas_udf(found, ", ".join(f"{n} long" for n in names.split()))
+    # else filters repeat it below themselves, and each pandas function of a task in a row has a worker of its own
+    return F.pandas_udf(found, ", ".join(f"{n} long" for n in names.split())).asNondeterministic()
 
 
 def by_size(names: str, values: dict[int, tuple[int, ...]], most: int) -> Callable[..., Column]:

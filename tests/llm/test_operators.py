@@ -143,6 +143,12 @@ def test_a_superstep_has_no_pandas_function_above_another(spark):
     assert plan.index("Union") < plan.index("ArrowEvalPython")
 
 
+def test_figures_that_a_filter_uses_are_found_once(spark):
+    rows = spark.range(3).withColumn("_of", packing.by_size("room", {1: (7,)}, 4)("id")).where("_of.room > 0")
+    assert [r._of.room for r in rows.collect()] == [7]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_batches_for_python_are_bounded_in_bytes(spark):
     """Thirty texts of a million characters each, in one partition."""
     shared.ship(spark)
