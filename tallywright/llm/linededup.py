@@ -2,16 +2,17 @@
 
 Lines are compared by their lower-case, trimmed form; blank lines (nothing but white space) always stay. Every distinct
 line is written once, with a number; all that follows works on those. A line's set holds its distinct shingles of ``K``
-code points (a shorter line is one shingle). Its signature is made of all of them: ``ROWS * BANDS`` fixed points lie evenly on the ring
-of 64-bit hashes, and the coordinate of a point is the first hash at or after it. Two lines agree in a coordinate with the
-probability of their similarity, whatever their lengths. A band joins ``ROWS`` coordinates whose points lie ``STRIDE`` apart. In a
-line of few shingles one hash holds a long arc of the ring, and coordinates depend on each other. So lines of at most ``FEW`` different
-shingles, and those that can be as similar as asked to one of them, have coordinates of their own: in each the least of the shingles'
-hashes with its number as seed. At similarity 0.8 a pair shares no band once in 200,000, whatever its size (a test counts 50,000
+code points (a shorter line is one shingle). Its signature is made of all of them: ``BANDS`` fixed points lie evenly on the ring
+of 64-bit hashes, and the band of a point is the first ``ROWS`` hashes at or after it. Two lines agree in a band if the first ``ROWS``
+of both lines' hashes together are shared, with the probability of nearly their similarity to the power of ``ROWS``, whatever their lengths. In a
+line of few shingles one hash holds a long arc of the ring, and bands are the same. So lines of at most ``FEW`` different
+shingles, and those that can be as similar as asked to one of them, have bands of their own, of ``OWN_ROWS``: two for each number, the least and
+the greatest of the shingles' hashes with that number as seed. At similarity 0.8 a pair shares no band once in 200,000, whatever its size (a test counts 50,000
 pairs each of 4 to 64 shared shingles). Candidates are verified on their full sets, links are joined by distributed
 union-find, and of each component the first line (smallest doc_id, then row, then line number) stays.
 
-Band keys are shuffled once. A key that a large share of the lines has is dealt into parts (see ``hot_keys``), so that no
+Lines that are somewhat alike, as those that quote one passage, meet in a band too, in a number of pairs that grows with the square of the lines:
+that is why a band has five rows, and why pairs are verified in rounds. Band keys are shuffled once. A key that a large share of the lines has is dealt into parts (see ``hot_keys``), so that no
 task gets a whole hot bucket.
 
 Edge cases: a null text has no lines; lines part at line feeds; blank lines are kept, each its own component; lines of
@@ -23,6 +24,7 @@ deduplicated(), where of equal rows (same doc_id and text) with lines that are n
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,13 +32,14 @@ from pyspark.sql import functions as F
 from .linking import link, prefix_size
 from .shared import KEY, identity, joined, keep, sheltered, with_key, written
 
-#: Code points of a shingle, and bytes of one in UTF-32, where all have the same width.
-K, WIDTH = 8, 4
-ROWS, BANDS, STRIDE = 3, 17, 4
+#: Code points of a shingle.
+K = 8
+ROWS, BANDS = 5, 31
+OWN_ROWS, OWN_BANDS = 3, 18
 #: Lines of at most so many different shingles are signed by themselves.
-FEW = 40
+FEW = 64
 #: The points of the ring of hashes, ascending.
-POINTS = [(i << 64) // (ROWS * BANDS) - (1 << 63) for i in range(ROWS * BANDS)]
+POINTS = [(i << 64) // BANDS - (1 << 63) for i in range(BANDS)]
 
 
 def takes_part(line: Column) -> Column:
@@ -61,38 +64,48 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def hashes(line: Column) -> Column:
-    """The hashes of all shingles of a line, repeated ones too."""
+    """The hashes of all shingles of a line, in UTF-16, repeated ones too."""
+
+    def shingles(b: Column, width: int) -> Callable[[Callable[[Column], Column]], Column]:
+        """b: the line where each code point has so many bytes."""
+        starts = F.sequence(F.lit(1), F.greatest(F.length(b) - K * width, F.lit(0)) + 1, F.lit(width))
+        return lambda use: F.transform(starts, lambda i: F.xxhash64(use(F.substring(b, i, F.lit(K * width)))))
 
     def cut(b: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(b) - K * WIDTH, F.lit(0)) + 1, F.lit(WIDTH))
-        return F.transform(starts, lambda i: F.xxhash64(F.substring(b, i, F.lit(K * WIDTH))))
+        # letters outside the basic plane take four bytes: such a line is cut in UTF-32, where all do
+        wide = bound(F.encode(line, "UTF-32"), lambda c: shingles(c, 4)(lambda x: F.encode(F.decode(x, "UTF-32"), "UTF-16BE")))
+        return F.when(F.length(b) == 2 * F.length(line), shingles(b, 2)(lambda x: x)).otherwise(wide)
 
-    return bound(F.encode(line, "UTF-32"), cut)
+    return bound(F.encode(line, "UTF-16BE"), cut)
 
 
 def band_keys(lines: DataFrame, percent: int = 80) -> DataFrame:
-    """node, key: BANDS rows for each row of lines (node, line), and as many more for sets between FEW and what may be like one of FEW.
+    """node, key: BANDS or OWN_BANDS rows for each row of lines (node, line), and both for sets between FEW and what may be like one of FEW.
 
     On the ring, the place of a point among the sorted hashes and points, less the points before it, tells how many hashes lie before it.
     """
     points = F.array(*[F.lit(p) for p in POINTS])
-    ordered = lines.select("node", F.sort_array(F.array_distinct(hashes(F.col("line")))).alias("ring"))
-    merged = ordered.select("node", "ring", F.sort_array(F.concat("ring", points)).alias("both"), F.size("ring").alias("n"))
-    none, first = F.array().cast("array<int>"), F.sequence(F.lit(0), F.lit(BANDS - 1))
-    on_ring = F.when(F.col("n") > FEW, first).otherwise(none)
-    own = F.when(F.col("n") * percent <= 100 * FEW, F.transform(first, lambda b: b + BANDS)).otherwise(none)
-    banded = merged.select("node", "ring", "both", F.explode(F.concat(on_ring, own)).alias("band"))
+    band = F.col("band")
 
-    def coordinate(at: Column) -> Column:
-        at = F.pmod(at, F.lit(ROWS * BANDS))
-        before = F.array_position("both", F.element_at(points, (at + 1).cast("int"))) - 1 - at
-        return F.element_at("ring", (F.pmod(before, F.size("ring")) + 1).cast("int"))
+    def own(number: Column) -> Column:
+        """The keys of two bands."""
+        ends = lambda p: [F.slice(p, 1, OWN_ROWS), F.slice(F.reverse(p), 1, OWN_ROWS)]
+        seeded = F.sort_array(F.transform("ring", lambda h: F.xxhash64(h, number)))
+        return bound(seeded, lambda p: F.array(*[F.xxhash64(2 * number + BANDS + k, end) for k, end in enumerate(ends(p))]))
 
-    def least(number: Column) -> Column:
-        return F.array_min(F.transform("ring", lambda h: F.xxhash64(h, number)))
+    def following(r: int) -> Column:
+        return F.element_at("ring", (F.pmod(F.col("before") + r, F.col("n")) + 1).cast("int"))
 
-    each = [F.when(F.col("band") < BANDS, coordinate(F.col("band") * ROWS + r * STRIDE)).otherwise(least(F.col("band") * ROWS + r)) for r in range(ROWS)]
-    return banded.select("node", F.xxhash64("band", *each).alias("key"))
+    ordered = lines.select("node", F.sort_array(F.array_distinct(hashes(F.col("line")))).alias("ring")).withColumn("n", F.size("ring"))
+    few = F.when(F.col("n") * percent <= 100 * FEW, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(OWN_BANDS // 2 - 1)), own))).otherwise(F.array().cast("array<long>"))
+    merged = ordered.select("node", "ring", "n", few.alias("own"), F.sort_array(F.concat("ring", points)).alias("both"))
+    # no lambdas from here on: where there is one, Spark writes rows, and each band's would hold copies of the arrays
+    banded = merged.select("node", "ring", "n", "own", "both", F.explode(F.sequence(F.lit(0), F.lit(BANDS + OWN_BANDS - 1))).alias("band"))
+    banded = banded.where(((band < BANDS) & (F.col("n") > FEW)) | ((band >= BANDS) & (F.size("own") > 0)))
+    before = F.when(band < BANDS, F.array_position("both", F.element_at(points, band + 1)) - 1 - band)
+    placed = banded.select("node", "ring", "n", "own", "band", before.alias("before"))
+    key = F.when(band < BANDS, F.xxhash64("band", *[following(r) for r in range(ROWS)])).otherwise(F.element_at("own", band - BANDS + 1))
+    return placed.select("node", key.alias("key"))
 
 
 #: One line of so many tells which keys are hot; a key is if it has one line of HOT or more.
@@ -103,7 +116,7 @@ def hot_keys(lines: DataFrame, percent: int = 80) -> DataFrame:
     """key, parts: band keys that so large a share of all lines has that their members must be dealt into parts.
 
     Found on a sample of lines, as it only decides how rows are spread: which pairs are linked doesn't depend on it. The share a
-    key must have bounds the table to 2 * BANDS * HOT rows, whatever the corpus.
+    key must have bounds the table to 2 * (BANDS + OWN_BANDS) * HOT rows, whatever the corpus.
     """
     sample = lines.where(F.pmod(F.xxhash64("node"), F.lit(ONE_OF)) == 0)
     n = sample.count()
@@ -113,11 +126,26 @@ def hot_keys(lines: DataFrame, percent: int = 80) -> DataFrame:
 
 def shared_keys(lines: DataFrame, percent: int = 80) -> DataFrame:
     """key, node: the members of all buckets that more than one line is in."""
-    dealt = band_keys(lines, percent).join(F.broadcast(hot_keys(lines, percent)), "key", "left")  # 2 * BANDS * HOT rows at most
-    part = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts")))
+    dealt = band_keys(lines, percent).join(F.broadcast(hot_keys(lines, percent)), "key", "left")  # 2 * (BANDS + OWN_BANDS) * HOT rows at most
+    hot = F.col("parts").isNotNull()
+    part = F.when(hot, F.xxhash64("key", F.pmod(F.xxhash64("node"), "parts"))).otherwise(F.col("key"))
     others = F.count("*").over(Window.partitionBy("part"))  # one long, so that the sort is by radix
-    counted = dealt.select("key", "node", part.alias("part"), F.col("parts").isNotNull().alias("hot")).withColumn("n", others)
-    return counted.where(F.col("hot") | (F.col("n") > 1)).select("key", "node")
+    # of a key that isn't hot the part is the key, which goes through the shuffle once
+    counted = dealt.select(part.alias("part"), "node", F.when(hot, F.col("key")).alias("hot")).withColumn("n", others)
+    return counted.where(F.col("hot").isNotNull() | (F.col("n") > 1)).select(F.coalesce("hot", "part").alias("key"), "node")
+
+
+#: Lines of a corpus for each pair that is verified at once: a pair takes a line's text through the shuffle, so a round takes half as much as all lines do.
+LINES_A_PAIR = 2
+
+
+def similar_in_rounds(pairs: DataFrame, texts: DataFrame, percent: int, most: int) -> DataFrame:
+    """similar() on at most about so many pairs at once, whose shuffle files go before the next round; pairs are a table."""
+    rounds = max(1, -(-pairs.count() // max(1, most)))
+    if rounds == 1:
+        return similar(pairs, texts, percent)
+    part = F.pmod(F.xxhash64("a", "b"), F.lit(rounds))
+    return reduce(DataFrame.unionByName, [keep(similar(pairs.where(part == i), texts, percent)) for i in range(rounds)])
 
 
 def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -131,8 +159,8 @@ def similar(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     able = of_both.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     with_x = able.join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
     with_y = with_x.join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    both = with_y.withColumn("both", F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y")))))
-    return both.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+    both = F.size(F.array_intersect(hashes(F.col("x")), hashes(F.col("y"))))
+    return with_y.where((100 + percent) * both >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 #: Slots of the table of frequencies that is broadcast: a fixed size, whatever the corpus.
@@ -161,8 +189,9 @@ def linked_lines(lines: DataFrame, percent: int) -> DataFrame:
         return written(lines.join(nodes, "node", "left_semi").select("node", "line", size.cast("long").alias("size")), "candidates")
 
     def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        return similar(pairs, texts, percent)
+        return similar_in_rounds(pairs, texts, percent, n // LINES_A_PAIR)
 
+    n = lines.count()
     members = written(shared_keys(lines, percent), "buckets")
     return link(members, load, verify, lambda texts: prefixes(texts, percent), percent)
 

@@ -712,6 +712,27 @@ def test_recall_by_number_of_shingles(spark):
     assert max(missed_pairs.values()) <= 3 and sum(missed_pairs.values()) <= 9, missed_pairs
 
 
+def test_pairs_are_verified_in_rounds_of_half_as_many_as_there_are_lines(spark, monkeypatch):
+    """A pair takes a text through the shuffle: near copies have many more pairs than lines."""
+    r = np.random.default_rng(24)
+    base = text_of(r, *[7] * 15)
+    rows = [(i, base[:k] + text_of(r, 3) + base[k + 3 :]) for i, k in enumerate(r.integers(0, len(base) - 4, 40).tolist())]
+    at_once, one = [], linededup.similar
+    monkeypatch.setattr(linededup, "similar", lambda pairs, *a: at_once.append(pairs.count()) or one(pairs, *a))
+    assert got_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)) == sorted(brute_lines(rows))
+    assert sum(at_once) > 5 * len(rows) and max(at_once) <= len(rows)  # dealt by a hash: half as many, about
+
+
+def test_lines_that_quote_one_passage_seldom_meet(spark):
+    """2,000 lines quote one passage, at a similarity of 0.32: of 2 million pairs 1,069,856 met in 17 bands of three rows."""
+    r = np.random.default_rng(25)
+    common = text_of(r, *[7] * 10)
+    lines = [(i, text_of(r, *[7] * 5) + common + text_of(r, *[7] * 5)) for i in range(2_000)]
+    keys = linededup.band_keys(spark.createDataFrame(lines, "node long, line string"))
+    met = keys.alias("x").join(keys.alias("y"), "key").where("x.node < y.node").select("x.node", F.col("y.node").alias("other")).distinct().count()
+    assert met < 400_000
+
+
 def test_short_lines_take_part_and_blank_ones_stay(spark):
     d = spark.createDataFrame([(1, "ietzte.\n\t\n\na"), (2, "Ietzte. \n\t\n\nstteen erachtz."), (3, "b\nA\nstteen erachtz.")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.deduplicated(d).collect()}
